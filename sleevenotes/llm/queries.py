@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 from .common import read
 
 #: DuckDB: CRC-32 of a text's UTF-8 bytes, by the usual table.
@@ -21,6 +21,44 @@ def crc_sql(text: str) -> str:
     )
 
 
+def op1_ngram_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("score")
+
+
+def _op1_sql(threshold: int = -50_000, buckets: int = 16384, max_trusted: int = 20_000) -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH worded AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS ws, row_number() OVER () AS r FROM documents
+), base AS (
+  SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{word}')) AS lines FROM worded
+), windows AS (
+  SELECT r, i, [ws[i], ws[i + 1], ws[i + 2]] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM worded)
+), twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1
+), repeats AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY r
+), occurrences AS (SELECT r, i, ws[i] AS w, lead(ws[i]) OVER (PARTITION BY r ORDER BY i) AS v FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded)
+), vocabulary AS (SELECT w, {crc_sql("w")} AS h FROM (SELECT DISTINCT w FROM occurrences), {CRC_TABLE}
+), grams AS (
+  SELECT r, a.h % {buckets} AS bucket FROM occurrences o JOIN vocabulary a ON o.w = a.w
+  UNION ALL SELECT r, (a.h * 31 + b.h) % {buckets} FROM occurrences o JOIN vocabulary a ON o.w = a.w JOIN vocabulary b ON o.v = b.w
+), trusted AS (
+  SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL), {CRC_TABLE}
+  ORDER BY {crc_sql("CAST(doc_id AS VARCHAR)")}, doc_id LIMIT {max_trusted}
+), counts AS (
+  SELECT bucket, count(*) AS raw, count(t.doc_id) AS target FROM grams JOIN worded w USING (r) LEFT JOIN trusted t ON w.doc_id = t.doc_id GROUP BY bucket
+), totals AS (SELECT sum(raw) AS rs, sum(target) AS ts FROM counts
+), model AS (SELECT bucket, CASE WHEN ts > 0 THEN CAST(round((ln((target + 1) / (ts + {buckets})) - ln((raw + 1) / (rs + {buckets}))) * 1e6) AS BIGINT) ELSE 0 END AS weight FROM counts, totals
+), scores AS (SELECT r, count(*) AS n_ngrams, CAST(sum(weight) AS BIGINT) AS score_micro FROM grams JOIN model USING (bucket) GROUP BY r
+), joined AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_ngrams, 0) AS n_ngrams, coalesce(score_micro, 0) AS score_micro
+  FROM base LEFT JOIN repeats USING (r) LEFT JOIN scores USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND score_micro >= {threshold} * n_ngrams AS kept
+FROM joined"""
+
+
 SHARDS, SHARD_SEED, SHARD_BLOCKS = 24, 20260101, 4096
 
 
@@ -58,8 +96,8 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_feistel_shards, op9_entropy_mix)}
+    return {f.__name__: f for f in (op1_ngram_llr, op8_feistel_shards, op9_entropy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_feistel_shards": _op8_sql()}
+    return {"op1_ngram_llr": _op1_sql(), "op8_feistel_shards": _op8_sql()}
