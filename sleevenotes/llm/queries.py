@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import encoding, fingerprints, html, langid, mixing, quality, sharding, urls
 from .common import read
 
 #: DuckDB: CRC-32 of a text's UTF-8 bytes, by the usual table.
@@ -59,6 +59,34 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NO
 FROM joined"""
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(read(spark, sf_dir, "documents"))
+
+
+def held_out():  # noqa: ANN201
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+def op5_forward_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    langs, table = langid.learn(docs.filter(~held_out()).select("text", "lang"))
+    predicted = langid.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), langs, table)
+    return predicted.drop("text")
+
+
+def op6_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
+def op7_max_plus_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, CRC-32 of the ids (as little-endian 32-bit numbers), and whether decoding gives the text back."""
+    return encoding.encode(read(spark, sf_dir, "documents"), digest=True)
+
+
 SHARDS, SHARD_SEED, SHARD_BLOCKS = 24, 20260101, 4096
 
 
@@ -96,7 +124,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_llr, op8_feistel_shards, op9_entropy_mix)}
+    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
