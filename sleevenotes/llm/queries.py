@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, fingerprints, html, langid, mixing, quality, sharding, urls
+from . import encoding, fingerprints, html, langid, mixing, nearsets, quality, sharding, urls
 from .common import read
 
 #: DuckDB: CRC-32 of a text's UTF-8 bytes, by the usual table.
@@ -123,8 +123,13 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "rate", F.col("copies").cast("int").alias("copies"))
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = nearsets.link(read(spark, sf_dir, "documents"), size=2)
+    return linked.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix)}
+    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix, op10_chosen_path)}
 
 
 def oracle_sql() -> dict[str, str]:
