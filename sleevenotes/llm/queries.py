@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, fingerprints, html, langid, mixing, nearsets, quality, sharding, urls
+from . import encoding, fingerprints, html, langid, mixing, nearsets, quality, sharding, suffixes, urls
 from .common import read
 
 #: DuckDB: CRC-32 of a text's UTF-8 bytes, by the usual table.
@@ -63,6 +63,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op3_level_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_neighbours(read(spark, sf_dir, "documents"))
 
@@ -129,7 +133,7 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix, op10_chosen_path)}
+    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op3_level_suffixes, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix, op10_chosen_path)}
 
 
 def oracle_sql() -> dict[str, str]:
