@@ -14,15 +14,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate table with a checkpoint in the shared folder of the session.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only where it is unset (local runs, tests) a
-    temporary folder is set.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that ``spark.checkpoint.dir`` names; only where it is unset (local runs, tests) a
+    temporary one is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate table with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

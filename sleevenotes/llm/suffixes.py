@@ -292,19 +292,20 @@ def _finish(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, in
     return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, extra string"
 
 
-def _result(doc: int, text: bytes, spans: list[np.ndarray], keep: bool) -> tuple:
+def _result(doc: int, text: bytes, spans: list[np.ndarray], keep: bool, extra: str | None) -> tuple:
     starts, stops = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (spans[::2], spans[1::2]))
     removed, runs, left = _finish(text, starts, stops)
-    return (None if doc == LAST else int(doc), len(text), removed, runs, hashlib.sha256(left).hexdigest(), left if keep else None)
+    return (None if doc == LAST else int(doc), len(text), removed, runs, hashlib.sha256(left).hexdigest(), left if keep else None, extra)
 
 
-def remove_repeats(docs: DataFrame, keep: bool = False, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes, if ``keep``; else null)."""
+def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] = (), batches: int = BATCHES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if ``keep``; else null), and the columns to ``carry``."""
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    extra = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", extra.alias("extra"))
     facts = narrow.agg(
         F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("cuts")
     ).first()
@@ -338,7 +339,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, batches: int = BATCHES)
         out: list[dict] = []
         if not len(frame):
             return _table(out, kinds)
-        g, doc, texts = frame.column("g")[0].as_py(), _ids(frame), _raw(frame)
+        g, doc, texts, extras = frame.column("g")[0].as_py(), _ids(frame), _raw(frame), frame.column("extra").to_pylist()
         known = [_keys(answers, kind) for kind in (FOUND, OPEN)]
         found = []
         for owners, raw, ends in segments(texts):
@@ -385,17 +386,17 @@ def remove_repeats(docs: DataFrame, keep: bool = False, batches: int = BATCHES)
         for r, text in enumerate(texts):
             own = spans.get(r, [])
             if r not in left:
-                out.append(dict(zip(names, _result(doc[r], text, own, keep), strict=True)) | {"what": done})
+                out.append(dict(zip(names, _result(doc[r], text, own, keep, extras[r]), strict=True)) | {"what": done})
                 continue
             windows, places = left[r]
             flat = np.array([np.concatenate(own[::2]), np.concatenate(own[1::2])], np.int64) if own else np.empty((2, 0), np.int64)
-            out.append({"what": pending, "g": g, "doc_id": None if doc[r] == LAST else int(doc[r]), "kept": text, "spans": flat.tobytes(), "windows": windows.tobytes(), "places": places.astype(np.int64).tobytes()})
+            out.append({"what": pending, "g": g, "doc_id": None if doc[r] == LAST else int(doc[r]), "kept": text, "extra": extras[r], "spans": flat.tobytes(), "windows": windows.tobytes(), "places": places.astype(np.int64).tobytes()})
         return _table(out, kinds)
 
     passed = settle(grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(first_pass, kinds))
     entries = passed.filter(F.col("what") == entry).select(*_names(ENTRIES))
     second = _look_up(entries, parts, False)
-    waiting = passed.filter(F.col("what") == pending).select("g", "doc_id", "kept", "spans", "windows", "places")
+    waiting = passed.filter(F.col("what") == pending).select("g", "doc_id", "kept", "extra", "spans", "windows", "places")
 
     def second_pass(frame: pa.Table, answers: pa.Table) -> pa.Table:
         known = _keys(answers)
@@ -403,9 +404,27 @@ def remove_repeats(docs: DataFrame, keep: bool = False, batches: int = BATCHES)
         for doc, row in zip(_ids(frame), frame.to_pylist(), strict=True):
             before = np.frombuffer(row["spans"], np.int64).reshape(2, -1)
             at = np.frombuffer(row["places"], np.int64)[_in(np.frombuffer(row["windows"], np.uint64), known)]
-            out.append(_result(doc, row["kept"], [before[0], before[1], at, at + WINDOW], keep))
+            out.append(_result(doc, row["kept"], [before[0], before[1], at, at + WINDOW], keep, row["extra"]))
         return _table(out, RESULT)
 
     finished = waiting.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(second_pass, RESULT)
     names = _names(RESULT)
-    return passed.filter(F.col("what") == done).select(*names).unionByName(finished)
+    result = passed.filter(F.col("what") == done).select(*names).unionByName(finished)
+    if not carry:
+        return result.drop("extra")
+    carried = F.from_json("extra", docs.select(*carry).schema)
+    return result.withColumn("extra", carried).select(*names[:-1], *[F.col("extra")[c].alias(c) for c in carry])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, n_chars and others) with the repeats taken out of the texts.
+
+    A character of several bytes goes with any of its bytes. Documents of which no word is left, though they had one,
+    go; documents without repeats stay as they are.
+    """
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    left = remove_repeats(docs.withColumn("_text_null", F.col("text").isNull()), True, (*others, "_text_null"))
+    kept = left.filter((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(r"[^\x20\x09-\x0D]"))
+    # Bytes that are no whole character any more would be read as replacement characters: those are taken out.
+    text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    return kept.withColumn("text", F.when(~F.col("_text_null"), text)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
