@@ -215,7 +215,7 @@ def link(docs: DataFrame, size: int = 5, threshold: float = THRESHOLD, recall: f
 
     member = signed.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     whole = classes.join(joined, "id", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return member.join(whole, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.join(whole, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _pairs_apart(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:

@@ -422,9 +422,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character of several bytes goes with any of its bytes. Documents of which no word is left, though they had one,
     go; documents without repeats stay as they are.
     """
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = remove_repeats(docs.withColumn("_text_null", F.col("text").isNull()), True, (*others, "_text_null"))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    narrow = docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("_text_null")).alias("_others"))
+    left = remove_repeats(narrow, True, ("_others",))
     kept = left.filter((F.col("n_removed") == 0) | F.decode("kept", "ISO-8859-1").rlike(r"[^\x20\x09-\x0D]"))
     # Bytes that are no whole character any more would be read as replacement characters: those are taken out.
     text = F.when(F.is_valid_utf8(F.col("kept").cast("string")), F.col("kept").cast("string")).otherwise(F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
-    return kept.withColumn("text", F.when(~F.col("_text_null"), text)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    whole = F.when(~F.col("_others._text_null"), text)
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": whole, "n_chars": F.length(whole).cast("long")}
+    return kept.select(*[made.get(c, F.col("_others")[c]).alias(c) for c in docs.columns])
