@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .pieces import DEFAULT_MODEL, NEVER, UNIT, Vocabulary, load
+from .pieces import BYTE_SCORE, DEFAULT_MODEL, NEVER, UNIT, Vocabulary, load
 
 CHUNK = 8192
 #: Chunk matrices combined in one step; a document's blocks of chunks are combined in a second.
@@ -42,19 +42,10 @@ BLOCK = 256
 class Encoder:
     """Encodes texts and chunks of texts; units seen before are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000):
-        self.v, self.remember, self.known = vocabulary, remember, {}
-
-    def best(self, text: str, start: int = 0) -> tuple[list[int], list[tuple[int, tuple[int, ...]]]]:
-        """Scores and last steps (start, ids) of the best paths from ``start`` to every place of the text."""
-        scores, steps = [NEVER] * (len(text) + 1), [(0, ())] * (len(text) + 1)
-        scores[start] = 0
-        for i in range(start, len(text)):
-            if scores[i] > NEVER:
-                for j, ids, s in self.v.edges(text, i):
-                    if scores[i] + s > scores[j]:
-                        scores[j], steps[j] = scores[i] + s, (i, ids)
-        return scores, steps
+    def __init__(self, vocabulary: Vocabulary, remember: int = 200_000):
+        self.v, self.remember = vocabulary, remember
+        self.known: dict[str, tuple[tuple[int, ...], int]] = {}  # parts
+        self.units: dict[str, tuple[int, ...]] = {}
 
     def path(self, steps: list[tuple[int, tuple[int, ...]]], start: int, end: int) -> tuple[int, ...]:
         parts = []
@@ -63,25 +54,71 @@ class Encoder:
             parts.append(ids)
         return tuple(k for ids in reversed(parts) for k in ids)
 
+    def part(self, text: str) -> tuple[tuple[int, ...], int]:
+        """Ids and score of a text that is not cut any further."""
+        starts, scores, longest, n = self.v.starts, self.v.scores, self.v.longest, len(text)
+        best, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0
+        for i in range(n):
+            here = best[i]
+            if here == NEVER:
+                continue
+            for j in range(i + 1, min(n, i + longest) + 1):
+                k = starts.get(text[i:j])
+                if k is None:
+                    break
+                if k >= 0 and here + scores[k] > best[j]:
+                    best[j], back[j], piece[j] = here + scores[k], i, k
+            if text[i] not in self.v.ids:
+                spelled = here + BYTE_SCORE * len(text[i].encode("utf-8", "surrogatepass"))
+                if spelled > best[i + 1]:
+                    best[i + 1], back[i + 1], piece[i + 1] = spelled, i, -1
+        ids: list[int] = []
+        while n:
+            i = back[n]
+            ids += reversed(self.v.character(text[i])) if piece[n] < 0 else (piece[n],)
+            n = i
+        return tuple(reversed(ids)), best[-1]
+
     def unit(self, text: str) -> tuple[tuple[int, ...], int]:
+        """Ids and score of a unit: it is cut where no piece has its two neighbouring characters side by side."""
+        pairs, cuts = self.v.pairs, [0]
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in pairs:
+                cuts.append(i)
+        if len(cuts) == 1:
+            return self._remembered(text)
+        ids: tuple[int, ...] = ()
+        score = 0
+        for lo, hi in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            more, s = self._remembered(text[lo:hi])
+            ids, score = ids + more, score + s
+        return ids, score
+
+    def _remembered(self, text: str) -> tuple[tuple[int, ...], int]:
         found = self.known.get(text)
         if found is None:
-            scores, steps = self.best(text)
-            found = self.path(steps, 0, len(text)), scores[-1]
-            if len(text) <= 64 and len(self.known) < self.remember:  # frequent units come early
+            found = self.part(text)
+            if len(self.known) < self.remember and len(text) <= 64:  # frequent parts come early
                 self.known[text] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        units, room = self.units, self.remember
         for u in UNIT.findall(" " + text):
-            out += self.unit(u)[0]
+            ids = units.get(u)
+            if ids is None:
+                ids = self.unit(u)[0]
+                if len(units) < room and len(u) <= 64:
+                    units[u] = ids
+            out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
-        surfaces, first = self.v.surfaces, self.v.first_byte
-        text = "".join([surfaces[k] for k in ids]) if min(ids, default=first + 256) >= first + 256 else self._with_bytes(ids)
-        return text[1:]
+        first = self.v.first_byte
+        plain = not len(ids) or np.array(ids).min() >= first + 256
+        return ("".join(map(self.v.surfaces.__getitem__, ids)) if plain else self._with_bytes(ids))[1:]
 
     def _with_bytes(self, ids: list[int]) -> str:
         first = self.v.first_byte
