@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
-from .pieces import DEFAULT_MODEL, Vocabulary, load
+from .pieces import DEFAULT_MODEL, PieceTable, Vocabulary, load
 
 RUN = re.compile(r"[^\W\d_]+")
 STRETCH = 48
@@ -47,6 +47,17 @@ def stretches(word: str) -> list[str]:
     return [whole[i : i + STRETCH + 1] for i in range(0, len(whole), STRETCH + 1)]
 
 
+_tables: dict[int, PieceTable] = {}
+
+
+def _pieces(vocabulary: Vocabulary) -> PieceTable:
+    """One table a worker process and vocabulary."""
+    key = hash(tuple(vocabulary.scores))
+    if key not in _tables:
+        _tables[key] = PieceTable(vocabulary.ids)
+    return _tables[key]
+
+
 class Forward:
     """Sums over segmentations, for many words of one length at a time.
 
@@ -58,18 +69,21 @@ class Forward:
 
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
         spare = np.array([[0.0]] + [[self.BYTE**k] for k in range(1, 5)]).repeat(table.shape[1], axis=1)
-        self.v, self.none = vocabulary, len(table)
+        self.v, self.none, self.pieces = vocabulary, len(table), _pieces(vocabulary)
         self.table = np.concatenate([table, spare])  # rows after the pieces: nothing, then characters of 1 to 4 bytes
 
     def edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(start, end, row of each word's piece there); words have the same length."""
-        get, none, n = self.v.ids.get, self.none, len(words[0])
+        n = len(words[0])
+        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+        size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         for i in range(n):
-            rows = np.array([get(w[i], -len(w[i].encode("utf-8", "surrogatepass"))) for w in words])
-            yield i, i + 1, np.where(rows < 0, none - rows, rows)
-            for j in range(i + 2, min(n, i + self.v.longest) + 1):
-                rows = np.array([get(w[i:j], none) for w in words])
-                if (rows != none).any():
+            hashes = self.pieces.seed(len(words))
+            for j in range(i + 1, min(n, i + self.v.longest) + 1):
+                hashes = self.pieces.extend(hashes, codes[:, j - 1])
+                found = self.pieces.look_up(hashes)
+                rows = np.where(found >= 0, found, self.none + size[:, i] if j == i + 1 else self.none)
+                if j == i + 1 or (found >= 0).any():
                     yield i, j, rows
 
     def log_sums(self, words: list[str]) -> np.ndarray:
@@ -142,12 +156,21 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
             names, probabilities = shared.value
             forward = Forward(vocabulary.value, probabilities)
             sums = np.zeros(probabilities.shape)
-            for batch in batches:
+            held: dict[str, list[tuple[str, int]]] = {name: [] for name in names}
+
+            def add(least: int) -> None:
                 for c, name in enumerate(names):
-                    own = batch[batch["lang"] == name]
-                    parts = [(part, n) for word, n in zip(own["word"], own["n"], strict=True) for part in stretches(word)]
-                    for places in by_length([part for part, _ in parts]):
-                        sums[:, c] += forward.expected([parts[i][0] for i in places], np.array([parts[i][1] for i in places], float), c)
+                    if len(held[name]) > least:
+                        parts = [(part, n) for word, n in held[name] for part in stretches(word)]
+                        held[name].clear()
+                        for places in by_length([part for part, _ in parts]):
+                            sums[:, c] += forward.expected([parts[i][0] for i in places], np.array([parts[i][1] for i in places], float), c)
+
+            for batch in batches:
+                for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
+                    held[lang].append((word, n))
+                add(20_000)
+            add(0)
             ks, cs = np.nonzero(sums)
             yield pd.DataFrame({"piece": ks, "lang": cs, "n": np.round(sums[ks, cs], 6)})
 
@@ -166,7 +189,7 @@ _known: dict[int, tuple] = {}
 class Scorer:
     """Log likelihoods of texts. Words that were met early, the frequent ones, are remembered for later batches."""
 
-    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 500_000):
         self.forward, self.remember = Forward(vocabulary, table), remember
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, table.shape[1]))
