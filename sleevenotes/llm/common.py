@@ -23,10 +23,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Removes a query's shuffle files when it ends, rather than when the driver happens to collect its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate table with a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an intermediate table with a checkpoint in the shared folder.
+
+    What the table was shuffled from is not needed any more then, so its files go at once.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(TIDY, before)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

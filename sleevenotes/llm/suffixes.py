@@ -31,6 +31,7 @@ part.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,6 +194,18 @@ def _in(values: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
+def _windows_in(text: bytes, known: np.ndarray) -> np.ndarray:
+    """Where the text's windows are among the known ones.
+
+    A window that is found in a smaller id than the group's smallest is found in a smaller id for all of the group.
+    """
+    places = [np.empty(0, np.int64)]
+    for at in range(0, len(text) - WINDOW + 1 if len(known) else 0, BLOCK):
+        part = text[at : at + BLOCK + WINDOW - 1]
+        places.append(at + np.flatnonzero(_in(_window_hashes(_words(part), np.arange(len(part) - WINDOW + 1)), known)))
+    return np.concatenate(places)
+
+
 def _least_by_key(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each key's first entry of the smallest id, and that id for every entry."""
     order = np.lexsort((doc, key))
@@ -332,7 +345,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
     hits = _look_up(grouped.groupBy("g").applyInArrow(index, ENTRIES), parts, True)
 
     # Rows of four kinds: finished documents, entries of open windows, and documents with open windows.
-    kinds = f"what int, {RESULT}, {ENTRIES}, spans binary, windows binary, places binary"
+    kinds = f"what int, {RESULT}, {ENTRIES}, spans binary"
     done, entry, pending = 0, 1, 2
 
     def first_pass(frame: pa.Table, answers: pa.Table) -> pa.Table:
@@ -352,7 +365,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             at = np.repeat(first[open_], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             found.append((owner, first + base[seg], last + base[seg] + WINDOW, key, np.repeat(open_, count), at + np.repeat(base[seg][open_], count), _window_hashes(v, at), np.repeat(minimizer[open_] % U(buckets), count).astype(np.int64)))
         spans: dict[int, list[np.ndarray]] = {}
-        left: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        waiting_rows: set[int] = set()
 
         def cover(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
             order = np.argsort(owner, kind="stable")
@@ -376,35 +389,30 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             cover(by[here], place[here], place[here] + WINDOW)
             mark = np.zeros(len(one), np.uint32)
             out += [dict(zip(_names(ENTRIES), r, strict=True)) | {"what": entry} for r in _packed(g, buckets, cuts, bucket[one], doc[by][one], window[one], mark)]
-            by, place, window = by[~here], place[~here], window[~here]
-            order = np.argsort(by, kind="stable")
-            o = by[order]
-            bounds = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1], [True]])) if len(o) else [0]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                left[int(o[lo])] = window[order[lo:hi]], place[order[lo:hi]]
+            waiting_rows.update(by[~here].tolist())
         names = _names(RESULT)
         for r, text in enumerate(texts):
             own = spans.get(r, [])
-            if r not in left:
+            if r not in waiting_rows:
                 out.append(dict(zip(names, _result(doc[r], text, own, keep, extras[r]), strict=True)) | {"what": done})
                 continue
-            windows, places = left[r]
             flat = np.array([np.concatenate(own[::2]), np.concatenate(own[1::2])], np.int64) if own else np.empty((2, 0), np.int64)
-            out.append({"what": pending, "g": g, "doc_id": None if doc[r] == LAST else int(doc[r]), "kept": text, "extra": extras[r], "spans": flat.tobytes(), "windows": windows.tobytes(), "places": places.astype(np.int64).tobytes()})
+            out.append({"what": pending, "g": g, "doc_id": None if doc[r] == LAST else int(doc[r]), "kept": zlib.compress(text, 1), "extra": extras[r], "spans": flat.astype(np.int32).tobytes()})
         return _table(out, kinds)
 
     passed = settle(grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(first_pass, kinds))
     entries = passed.filter(F.col("what") == entry).select(*_names(ENTRIES))
     second = _look_up(entries, parts, False)
-    waiting = passed.filter(F.col("what") == pending).select("g", "doc_id", "kept", "extra", "spans", "windows", "places")
+    waiting = passed.filter(F.col("what") == pending).select("g", "doc_id", "kept", "extra", "spans")
 
     def second_pass(frame: pa.Table, answers: pa.Table) -> pa.Table:
         known = _keys(answers)
         out = []
         for doc, row in zip(_ids(frame), frame.to_pylist(), strict=True):
-            before = np.frombuffer(row["spans"], np.int64).reshape(2, -1)
-            at = np.frombuffer(row["places"], np.int64)[_in(np.frombuffer(row["windows"], np.uint64), known)]
-            out.append(_result(doc, row["kept"], [before[0], before[1], at, at + WINDOW], keep, row["extra"]))
+            text = zlib.decompress(row["kept"])
+            before = np.frombuffer(row["spans"], np.int32).reshape(2, -1).astype(np.int64)
+            at = _windows_in(text, known)
+            out.append(_result(doc, text, [before[0], before[1], at, at + WINDOW], keep, row["extra"]))
         return _table(out, RESULT)
 
     finished = waiting.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(second_pass, RESULT)
