@@ -12,9 +12,9 @@ A document's set holds the hashes of its distinct word shingles. Two documents a
    j^d or more, so ``trees = ln(1 - recall) / ln(1 - j^d)`` trees reach the target recall.
 3. *Large leaves.* Nodes still large at the last level are dense groups. Each member is compared with the leaf's hub (the
    member with the lowest hash in that tree). When the links so far are joined, members outside the leaf's largest
-   component are compared with every member of the leaf, so no pair of different components goes unseen.
-4. *Links.* Candidate pairs pass a size test and a test of 32 four-bit minwise tokens (which keeps a pair at the
-   threshold with a probability above 0.9999), and are confirmed on the full sets. Pairs are confirmed in two rounds:
+   component are compared with every member of the leaf, block by block, so no pair of different components goes unseen.
+4. *Links.* Candidate pairs pass a size test and a test of 32 (in large leaves of 128) four-bit minwise tokens, which
+   keeps a pair at the threshold with a probability above 0.9999, and are confirmed on the full sets. Pairs are confirmed in two rounds:
    first each set's smallest and most similar partner, then every pair whose two components are still apart.
 
 Sets are computed from whole texts, once for the trees and once for the documents that some pair names.
@@ -40,8 +40,10 @@ from .components import components
 from .fingerprints import shingle_hashes
 
 THRESHOLD = 0.8
-MINWISE, SKETCHED = 64, 32
-SKETCH_MATCHES = 15
+U = np.uint64
+MINWISE, SKETCHED = 128, 32
+#: Equal four-bit tokens asked for, of the first 32 and of all 128: over four standard deviations below what a pair at the threshold has.
+SKETCH_MATCHES, FULL_MATCHES = 15, 86
 _RANDOM = np.random.default_rng(20260101)
 _FACTORS = _RANDOM.integers(1, 2**32, MINWISE, np.uint64).astype(np.uint32) | np.uint32(1)
 _MASKS = _RANDOM.integers(0, 2**32, MINWISE, np.uint64).astype(np.uint32)
@@ -78,11 +80,10 @@ def paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
     return out
 
 
-def sketch(tokens: np.ndarray) -> tuple[int, int]:
-    """Two longs of 16 four-bit tokens each."""
-    low = (tokens[:SKETCHED] & np.uint32(15)).astype(np.uint64)
-    words = [int(sum(int(x) << 4 * i for i, x in enumerate(low[k : k + 16]))) for k in (0, 16)]
-    return tuple(w - (1 << 64) if w >> 63 else w for w in words)
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Longs of 16 four-bit tokens each."""
+    low = (tokens & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    return np.bitwise_or.reduce(low, axis=1).view(np.int64).tolist()
 
 
 def trees_for(recall: float, depth: int, threshold: float = THRESHOLD) -> int:
@@ -96,57 +97,58 @@ def _signatures(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingles(text, size)
                 if not len(s):
-                    rows.append((doc, 0, None, None, 0, 0, None))
+                    rows.append((doc, 0, None, None, None, None))
                     continue
                 x = _mix(s, np.arange(1, len(s) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 y = _mix(x, s)
                 f1, f2 = (int(np.bitwise_xor.reduce(v).view(np.int64)) for v in (x, y))
                 t = minwise(s)
-                rows.append((doc, len(s), f1, f2, *sketch(t), paths(t, trees, depth).ravel()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "s1", "s2", "nodes"]).astype({"f1": "Int64", "f2": "Int64"})
+                rows.append((doc, len(s), f1, f2, sketch(t), paths(t, trees, depth).ravel()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "f1", "f2", "sketch", "nodes"]).astype({"f1": "Int64", "f2": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, nodes array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, sketch array<long>, nodes array<long>")
 
 
-def _matches(a: str, b: str) -> Column:
+def _matches(a: Column, b: Column) -> Column:
     """Number of equal four-bit tokens of two longs."""
-    x = F.col(a).bitwiseXOR(F.col(b))
+    x = a.bitwiseXOR(b)
     y = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     z = y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(0x1111111111111111))
     return F.lit(16) - F.bit_count(z)
 
 
-def _similar(percent: int) -> Column:
-    """Size and sketch test of the sides a and b."""
-    return (F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent) & (_score() >= SKETCH_MATCHES)
+def _score(longs: int) -> Column:
+    total = F.lit(0)
+    for k in range(longs):
+        total = total + _matches(F.col("a.sketch")[k], F.col("b.sketch")[k])
+    return total
 
 
-def _score() -> Column:
-    return _matches("a.s1", "b.s1") + _matches("a.s2", "b.s2")
-
-
-def _pairs(a: DataFrame, b: DataFrame, on: Column, percent: int) -> DataFrame:
-    return a.alias("a").join(b.alias("b"), on & _similar(percent)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), _score().alias("score"))
+def _pairs(a: DataFrame, b: DataFrame, on: Column, percent: int, whole: bool = False) -> DataFrame:
+    """Pairs a < b that meet, pass the size test and have enough tokens in common; ``score`` is among 32 tokens."""
+    alike = _score(MINWISE // 16) >= FULL_MATCHES if whole else _score(SKETCHED // 16) >= SKETCH_MATCHES
+    sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    return a.alias("a").join(b.alias("b"), on & sizes & alike).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), _score(SKETCHED // 16).alias("score"))
 
 
 def candidates(reps: DataFrame, depth: int, small: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a < b, score), and the members of large leaves (node, id, n, s1, s2)."""
+    """Candidate pairs (a < b, score), and the members of large leaves (node, id, n, sketch)."""
     found = None
     # A row for each tree: the nodes of that tree only.
-    rows = reps.select("id", "n", "s1", "s2", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"size(nodes) div {depth} - 1")), lambda t: F.slice("nodes", t * depth + 1, depth))).alias("path"))
+    rows = reps.select("id", "n", F.slice("sketch", 1, SKETCHED // 16).alias("sketch"), F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"size(nodes) div {depth} - 1")), lambda t: F.slice("nodes", t * depth + 1, depth))).alias("path"))
     for level in range(depth):
         at = rows.withColumn("node", F.get("path", F.lit(level)))
         sizes = at.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
         met = at.join(sizes, "node")
-        few = met.filter(F.col("members") <= small).select("node", "id", "n", "s1", "s2")
+        few = met.filter(F.col("members") <= small).select("node", "id", "n", "sketch")
         pairs = _pairs(few, few, (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")), percent)
         found = pairs if found is None else found.unionByName(pairs)
-        rows = met.filter(F.col("members") > small).select("id", "n", "s1", "s2", "path", "node")
+        rows = met.filter(F.col("members") > small).select("id", "n", "sketch", "path", "node")
         if level < depth - 1:
             rows = settle(rows.drop("node"))
-    leaves = settle(rows.select("node", "id", "n", "s1", "s2"))
-    hubs = leaves.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "n", "s1", "s2")).alias("m")).select("node", "m.id", "m.n", "m.s1", "m.s2")
-    starred = _pairs(hubs, leaves, (F.col("a.node") == F.col("b.node")) & (F.col("a.id") != F.col("b.id")), percent)
+    leaves = settle(rows.select("node", "id").join(reps.select("id", "n", "sketch"), "id"))
+    hubs = leaves.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")).alias("m")).select("node", "m.id", "m.n", "m.sketch")
+    starred = _pairs(hubs, leaves, (F.col("a.node") == F.col("b.node")) & (F.col("a.id") != F.col("b.id")), percent, True)
     return settle(found.unionByName(starred).groupBy("a", "b").agg(F.max("score").alias("score"))), leaves
 
 
@@ -179,7 +181,7 @@ def link(docs: DataFrame, size: int = 5, threshold: float = THRESHOLD, recall: f
     known = signed.filter("n > 0 AND doc_id IS NOT NULL")
     # The rows of a class agree in everything but the id.
     classes = settle(known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")))
-    reps = settle(known.join(classes.select("id"), known["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "s1", "s2", "nodes"))
+    reps = settle(known.join(classes.select("id"), known["doc_id"] == classes["id"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch", "nodes"))
     pairs, leaves = candidates(reps, depth, small, percent)
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(leaves.select("id")).distinct()
     texts = settle(docs.select(F.col("doc_id").alias("id"), "text").join(named, "id", "left_semi").dropDuplicates(["id"]))
@@ -205,22 +207,73 @@ def link(docs: DataFrame, size: int = 5, threshold: float = THRESHOLD, recall: f
     # Third round, large leaves: members outside the largest component of their leaf, against all members of the leaf.
     placed = leaves.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = placed.groupBy("node", "component").agg(F.count("*").alias("members"))
-    main = parts.groupBy("node").agg(F.max(F.struct("members", "component"))["component"].alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    split = placed.join(main.select("node", "main"), "node")
-    outside = split.filter("component != main")
-    rest = _pairs_apart(outside, split, percent)
-    third = settle(rest.join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(confirm(third, texts, size, percent))
-    joined = components(settle(links))
+    main = parts.groupBy("node").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("members"), F.count("*").alias("parts")).filter("parts > 1")
+    split = placed.join(main.select("node", F.col("top.component").alias("main"), "members", (F.col("members") - F.col("top.members")).alias("outside")), "node")
+    joined = components(settle(links.union(_within_leaves(split, texts, size, percent))))
 
     member = signed.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2")
     whole = classes.join(joined, "id", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return member.join(whole, ["f1", "f2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _pairs_apart(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (F.col("a.id") != F.col("b.id"))
-    return _pairs(a, b, on, percent).select("a", "b").distinct()
+def _within_leaves(split: DataFrame, texts: DataFrame, size: int, percent: int, block: int = 256) -> DataFrame:
+    """Links ``a, b`` between members outside a leaf's main component and members of other components.
+
+    split: ``node, id, n, sketch, component, main, members, outside``. Members and outsiders are cut into blocks, and each
+    pair of blocks is one small group, to which every text comes once; no row is made for a pair that is not linked.
+    """
+
+    def blocks(count: str):  # noqa: ANN202
+        return F.ceil(F.col(count) / block).cast("int")
+
+    own = (F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), blocks("members")))).cast("int")
+    out = (F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), blocks("outside")))).cast("int")
+    members = split.select("node", "id", "n", "sketch", "component", own.alias("mine"), F.explode(F.sequence(F.lit(0), blocks("outside") - 1)).alias("theirs"))
+    outside = split.filter("component != main").select("node", "id", "n", "sketch", "component", F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("mine"), out.alias("theirs"))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            a, b = (np.array([np.array(x, np.int64) for x in f["sketch"]]).view(np.uint64) for f in (left, right))
+            ids, others = left["id"].to_numpy(), right["id"].to_numpy()
+            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
+            group = dict(zip([*ids, *others], [*left["component"], *right["component"]], strict=True))
+            known: dict[int, np.ndarray] = {}
+            text = dict(zip([*ids, *others], [*left["text"], *right["text"]], strict=True))
+            parent: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            def shingled(i: int) -> np.ndarray:
+                if i not in known:
+                    known[i] = shingles(text[i], size)
+                return known[i]
+
+            for k in range(len(right)):
+                x = a ^ b[k]
+                x |= x >> U(1)
+                x |= x >> U(2)
+                equal = MINWISE - np.bitwise_count(x & U(0x1111111111111111)).sum(axis=1)
+                near = np.flatnonzero((equal >= FULL_MATCHES) & (100 * np.minimum(na, nb[k]) >= percent * np.maximum(na, nb[k])))
+                for m in near[np.argsort(-equal[near], kind="stable")]:  # the likeliest first: their links spare the others
+                    i, j = int(ids[m]), int(others[k])
+                    p, q = find(group[i]), find(group[j])
+                    if p == q:
+                        continue
+                    s, t = shingled(i), shingled(j)
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        links.append((min(i, j), max(i, j)))
+                        parent[max(p, q)] = min(p, q)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    key = ("node", "mine", "theirs")
+    right = outside.join(texts, "id")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own: both sides come from one table
+    return members.join(texts, "id").groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
