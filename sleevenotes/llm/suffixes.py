@@ -43,8 +43,8 @@ from .common import settle, shuffle_partitions
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
-#: Bytes handled by numpy at once, text bytes aimed at in one group of documents, and batches of the index.
-BLOCK, GROUP_BYTES, BATCHES = 1 << 20, 24 << 20, 8
+#: Bytes handled by numpy at once; text bytes aimed at for a group of documents and for a bucket; batches of the index.
+BLOCK, GROUP_BYTES, BUCKET_BYTES, BATCHES = 1 << 20, 8 << 20, 32 << 20, 4
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 _C1, _C2, _C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -323,8 +323,8 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
         F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("doc_id", F.array(*[F.lit(i / batches) for i in range(1, batches)]), F.lit(1000)).alias("cuts")
     ).first()
     parts = shuffle_partitions(spark)
-    groups = max(parts, (facts["bytes"] or 0) // GROUP_BYTES + 1)
-    buckets = groups
+    # Packed rows number groups times buckets: both follow the input's bytes, so that rows stay worth their overhead.
+    groups, buckets = ((facts["bytes"] or 0) // size + 1 for size in (GROUP_BYTES, BUCKET_BYTES))
     cuts = np.array(sorted(set(facts["cuts"] or [])), np.int64)
     grouped = narrow.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
