@@ -3,15 +3,17 @@
 Pages of one host share a wrapper. A page's element tree (block elements only; siblings of the same tag and class count
 as one repeated element) is aligned with those of the other pages by simple tree matching: two trees match if their
 roots do, and their children are matched in order so that the most nodes match. Aligned nodes become one node of the
-host's template, the others optional nodes. Each node keeps a sample of distinct pages (those whose text has the lowest
-hash, so samples merge and copies of a page count once) with the texts found in it. Text that nearly all sampled pages
-have in the same node is constant and belongs to the template; what varies is a slot. A page's main text are the texts
-of the varying slots that stand for the article: slots in menus, headers, footers, sidebars, notices, adverts, forms,
-scripts or reader comments, known by element or class, are not content.
+host's template, the others optional nodes. Pages are then aligned with their host's template, and the distinct pages (copies of
+a page count once) that have a text in a node are counted, all of them. Text that nearly all pages with a node have
+there is constant and belongs to the template; what varies is a slot. A page's main text are the texts of the varying
+slots that stand for the article: slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader
+comments, known by element or class, are not content.
 
 Every task folds its pages into one partial template for each host, and a host's partial templates, one for each task
-at most, are merged: a hot host sends as many small trees as there are tasks. Templates then meet the pages by host;
-they are broadcast if their measured size is small, and otherwise joined with the hot hosts' pages salted over copies.
+at most, are merged: a hot host sends as many small trees as there are tasks. Templates then meet the pages by host,
+once for the counts and once, with the constant texts, for the result; they are broadcast if their measured size is
+small, and otherwise joined with the hot hosts' pages salted over copies. Counts by host, node and text are combined
+before they are shuffled.
 
 Defined cases: null or empty html gives an empty text; a null url, or one without host, has the host ""; a host with
 fewer than ``EVIDENCE`` distinct pages has no constants; repeated rows are extracted alike; other columns play no part.
@@ -19,10 +21,10 @@ fewer than ``EVIDENCE`` distinct pages has no constants; repeated rows are extra
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,12 +56,12 @@ BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-SAMPLE, EVIDENCE, CONSTANT = 16, 3, 0.9
+EVIDENCE, CONSTANT = 3, 0.9
 BROADCAST_BYTES = 16 << 20
 
 
 def _text_hash(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
@@ -131,48 +133,58 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
 
 
 class Node:
-    """An element of a template: signature, children in order, and texts by sampled page."""
+    """An element of a template: signature, children in order, and (once numbered) its place in preorder."""
 
-    __slots__ = ("sign", "children", "pages")
+    __slots__ = ("sign", "children", "number")
 
     def __init__(self, sign: str):
-        self.sign, self.children, self.pages = sign, [], {}
+        self.sign, self.children, self.number = sign, [], 0
 
     def dump(self) -> list:
-        return [self.sign, [c.dump() for c in self.children], [[k, v] for k, v in sorted(self.pages.items())]]
+        return [self.sign, [c.dump() for c in self.children]]
 
     @classmethod
     def load(cls, raw: list) -> Node:
         node = cls(raw[0])
-        node.children, node.pages = [cls.load(c) for c in raw[1]], {k: v for k, v in raw[2]}
+        node.children = [cls.load(c) for c in raw[1]]
         return node
 
-    def constants(self) -> frozenset[int]:
-        """Hashes of the texts that nearly all sampled pages have here."""
-        if len(self.pages) < EVIDENCE:
-            return frozenset()
-        counts: dict[int, int] = {}
-        for texts in self.pages.values():
-            for t in texts:
-                counts[t] = counts.get(t, 0) + 1
-        return frozenset(t for t, n in counts.items() if n >= CONSTANT * len(self.pages))
+    def numbered(self) -> Node:
+        """Numbers the nodes in preorder; the root is 0."""
+        todo, n = [self], 0
+        while todo:
+            node = todo.pop()
+            node.number, n = n, n + 1
+            todo.extend(reversed(node.children))
+        return self
 
 
 def tree(found: list[tuple[tuple[str, ...], str]]) -> Node:
     """A page as a tree; siblings of one signature are one node."""
-    page = _text_hash("\x00".join(t for _, t in found))
     root = Node("")
-    for path, text in found:
+    for path in dict.fromkeys(path for path, _ in found):
         node = root
         for sign in path:
             node = next((c for c in node.children if c.sign == sign), None) or _add(node, sign)
-        texts = node.pages.setdefault(page, [])
-        h = _text_hash(text)
-        if h not in texts:
-            texts.append(h)
     return root
 
 
+def places(found: list[tuple[tuple[str, ...], str]], template: Node) -> dict[tuple[str, ...], int]:
+    """Number of the template's node for every path of a page that is aligned with one."""
+    own = tree(found)
+    partner = {id(y): x for x, y in match(template, own)[1]}
+    out: dict[tuple[str, ...], int] = {(): template.number}
+
+    def walk(node: Node, path: tuple[str, ...]) -> None:
+        for c in node.children:
+            if id(c) in partner:
+                out[*path, c.sign] = partner[id(c)].number
+            walk(c, (*path, c.sign))
+
+    walk(own, ())
+    return out
+
+
 def _add(node: Node, sign: str) -> Node:
     node.children.append(Node(sign))
     return node.children[-1]
@@ -215,8 +227,6 @@ def merge(a: Node, b: Node) -> Node:
     partner = {id(y): x for x, y in pairs}
 
     def join(x: Node, y: Node) -> None:
-        pages = {**x.pages, **y.pages}
-        x.pages = {k: pages[k] for k in sorted(pages)[:SAMPLE]}
         at = 0
         for c in y.children:
             own = partner.get(id(c))
@@ -242,21 +252,18 @@ def beside(path: tuple[str, ...]) -> bool:
     return False
 
 
-def main_text(page: str, template: Node | None) -> str:
+class Wrapper:
+    """A host's template with the constant texts of its nodes."""
+
+    def __init__(self, template: str, constants: str | None):
+        self.template = Node.load(json.loads(template)).numbered()
+        self.constants = {(c["node"], c["text"]) for c in json.loads(constants or "[]")}
+
+
+def main_text(page: str, wrapper: Wrapper | None) -> str:
     found = blocks(page)
-    constant: dict[tuple[str, ...], frozenset[int]] = {}
-    if template is not None and found:
-        own = tree(found)
-        partner = {id(y): x for x, y in match(template, own)[1]}
-
-        def walk(node: Node, path: tuple[str, ...]) -> None:
-            for c in node.children:
-                if id(c) in partner:
-                    constant[*path, c.sign] = partner[id(c)].constants()
-                walk(c, (*path, c.sign))
-
-        walk(own, ())
-    slots = [(path, text) for path, text in found if not beside(path) and _text_hash(text) not in constant.get(path, ())]
+    at = places(found, wrapper.template) if wrapper is not None and found else {}
+    slots = [(path, text) for path, text in found if not beside(path) and not (path in at and (at[path], _text_hash(text)) in wrapper.constants)]
     inside = [text for path, text in slots if any(s.split(".")[0] in ("article", "main") for s in path)]
     return " ".join(inside or [text for _, text in slots])
 
@@ -266,14 +273,20 @@ def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
+        seen: set[tuple[str, int]] = set()  # a structure that is in the template adds nothing
         flush = lambda: pd.DataFrame([(h, json.dumps(t.dump())) for h, t in known.items()], columns=["host", "template"])
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                own = tree(blocks(page))
-                known[host] = merge(known[host], own) if host in known else own
+                found = blocks(page)
+                structure = (host, hash(tuple(dict.fromkeys(path for path, _ in found))))
+                if structure not in seen:
+                    seen.add(structure)
+                    own = tree(found)
+                    known[host] = merge(known[host], own) if host in known else own
             if len(known) > hosts_at_once:
                 yield flush()
                 known.clear()
+                seen.clear()
         yield flush()
 
     def combine(group: pd.DataFrame) -> pd.DataFrame:
@@ -287,28 +300,67 @@ def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
     return partial.groupBy("host").applyInPandas(combine, "host string, template string")
 
 
+def constants(met: DataFrame) -> DataFrame:
+    """``host, constants`` (JSON: node and text hash) from ``host, html, template`` of all pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Node] = {}
+        for batch in batches:
+            rows = []
+            for host, page, raw in zip(batch["host"], batch["html"], batch["template"], strict=True):
+                if host not in known:
+                    if len(known) > 500:
+                        known.clear()
+                    known[host] = Node.load(json.loads(raw)).numbered()
+                found = blocks(page)
+                at = places(found, known[host])
+                pairs = dict.fromkeys((at[path], _text_hash(text)) for path, text in found if path in at)
+                whole = _text_hash("\x00".join("\x01".join((*path, text)) for path, text in found))
+                rows.append((host, whole, [n for n, _ in pairs], [t for _, t in pairs]))
+            yield pd.DataFrame(rows, columns=["host", "page", "nodes", "texts"])
+
+    pages = met.mapInPandas(run, "host string, page long, nodes array<int>, texts array<long>").dropDuplicates(["host", "page"])
+    # Each node of a page, with a null text for the page itself, and each of its texts.
+    here = F.transform(F.array_distinct("nodes"), lambda n: F.struct(n.alias("node"), F.lit(None).cast("long").alias("text")))
+    texts = F.transform(F.arrays_zip("nodes", "texts"), lambda x: F.struct(x["nodes"].alias("node"), x["texts"].alias("text")))
+    counted = pages.select("host", F.explode(F.concat(here, texts)).alias("x")).groupBy("host", "x.node", "x.text").agg(F.count("*").alias("n"))
+    counted = settle(counted.filter(F.col("n") >= EVIDENCE * CONSTANT))  # fewer are constant nowhere
+    of_node = counted.filter("text IS NULL").select("host", "node", F.col("n").alias("pages"))
+    found = counted.filter("text IS NOT NULL").join(of_node, ["host", "node"]).filter((F.col("pages") >= EVIDENCE) & (F.col("n") >= CONSTANT * F.col("pages")))
+    return found.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("node", "text")))).alias("constants"))
+
+
+def _meet(hosted: DataFrame, by_host: DataFrame, broadcast: bool, salts: int) -> DataFrame:
+    if broadcast:
+        return hosted.join(F.broadcast(by_host), "host", "left")
+    copies = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(copies, ["host", "salt"], "left")
+
+
 def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int = 32) -> DataFrame:
     """page_id, url, text, n_chars."""
     small_batches(pages.sparkSession, 200)
     hosted = with_parts(pages.select("page_id", "url", "html")).select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "host")
+
+    def small(by_host: DataFrame, *columns: str) -> bool:
+        size = sum(F.coalesce(F.length(c), F.lit(0)) for c in columns)
+        return by_host.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= broadcast_bytes
+
     induced = settle(templates(hosted))
-    size = induced.agg(F.coalesce(F.sum(F.length("template")), F.lit(0))).first()[0]
-    if size <= broadcast_bytes:
-        met = hosted.join(F.broadcast(induced), "host", "left")
-    else:
-        copies = induced.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(copies, ["host", "salt"], "left")
+    met = _meet(hosted, induced, small(induced, "template"), salts)
+    wrappers = settle(induced.join(constants(met.select("host", "html", "template")), "host", "left"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Node] = {}
+        known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
-            for host, page, raw in zip(batch["host"], batch["html"], batch["template"], strict=True):
+            for host, page, raw, same in zip(batch["host"], batch["html"], batch["template"], batch["constants"], strict=True):
                 if host not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[host] = Node.load(json.loads(raw)) if raw else None
+                    known[host] = Wrapper(raw, same) if raw else None
                 texts.append(main_text(page, known[host]))
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return met.select("page_id", "url", "html", "host", "template").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    met = _meet(hosted, wrappers, small(wrappers, "template", "constants"), salts)
+    return met.select("page_id", "url", "html", "host", "template", "constants").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -223,6 +223,19 @@ def test_wrapper_text(spark):
         assert (got[20], got[21], got[22], got[23]) == ("", "", "only this", "plain <text")
 
 
+def test_wrapper_text_counts_all_pages_of_a_host(spark):
+    # Of each host's 100 pages 85 have the same first line (content), and 95 the same last one (template).
+    page = "<div class=top><p>{}</p></div><div class=text><p>body {}</p></div><div class=end><p>{}</p></div>"
+    filled = lambda h, i: page.format("often here" if i % 20 >= 3 else f"top {h} {i}", f"{h} {i}", "nearly always" if i % 20 else f"end {h} {i}")
+    rows = [(100 * h + i, f"http://h{h}.net/{i}", filled(h, i)) for h in range(10) for i in range(100)]
+    rows += [(1000 + i, "http://h0.net/0", filled(0, 0)) for i in range(40)]  # copies count once
+    got = {r["page_id"]: r["text"] for r in rows_of(html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")))}
+    for h in range(10):
+        for i in range(100):
+            assert got[100 * h + i] == " ".join(["often here" if i % 20 >= 3 else f"top {h} {i}", f"body {h} {i}"] + ([] if i % 20 else [f"end {h} {i}"]))
+    assert all(got[1000 + i] == got[0] for i in range(40))
+
+
 def test_tree_matching_counts_nodes():
     a, b = (html.tree(html.blocks(p)) for p in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><h1>x</h1><section>y</section><ul><li>z</ul></div>"))
     assert html.match(a, b)[0] == 5
