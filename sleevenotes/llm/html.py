@@ -9,6 +9,11 @@ there is constant and belongs to the template; what varies is a slot. A page's m
 slots that stand for the article: slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts or reader
 comments, known by element or class, are not content.
 
+The article's own place is its article or main element or, on pages without one, the smallest element around the nodes
+that vary on most pages of the host. Inside it a text is constant only on much more evidence: nearly all distinct pages
+of the host, ``ARTICLE_EVIDENCE`` of them or more, have it, and on the page at hand such texts are less than half of the
+article; near-copies of one article share more than that, and keep it all.
+
 Every task folds its pages into one partial template for each host, and a host's partial templates, one for each task
 at most, are merged: a hot host sends as many small trees as there are tasks. Templates then meet the pages by host,
 once for the counts and once, with the constant texts, for the result; they are broadcast if their measured size is
@@ -56,7 +61,7 @@ BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-EVIDENCE, CONSTANT = 3, 0.9
+EVIDENCE, ARTICLE_EVIDENCE, CONSTANT = 3, 8, 0.9
 BROADCAST_BYTES = 16 << 20
 
 
@@ -252,20 +257,52 @@ def beside(path: tuple[str, ...]) -> bool:
     return False
 
 
+def in_article(path: tuple[str, ...]) -> bool:
+    return any(sign.split(".")[0] in ("article", "main") for sign in path)
+
+
 class Wrapper:
-    """A host's template with the constant texts of its nodes."""
+    """A host's template with the constant texts of its nodes, those also constant inside an article (``firm``), and the
+    numbers of the nodes that hold the article on pages without an article or main element."""
 
-    def __init__(self, template: str, constants: str | None):
+    def __init__(self, template: str, constants: str | None, varying: str | None):
         self.template = Node.load(json.loads(template)).numbered()
-        self.constants = {(c["node"], c["text"]) for c in json.loads(constants or "[]")}
+        found = json.loads(constants or "[]")
+        self.constants = {(c["node"], c["text"]) for c in found}
+        self.firm = {(c["node"], c["text"]) for c in found if c["firm"]}
+        self.article = self._around(set(json.loads(varying or "[]")))
+
+    def _around(self, varying: set[int]) -> set[int]:
+        """Numbers of the smallest element around all varying nodes and of all below it; of all nodes if none varies."""
+        common: list[Node] | None = None
+
+        def walk(node: Node, above: list[Node], path: tuple[str, ...]) -> None:
+            nonlocal common
+            if node.number in varying and not beside(path):
+                # A node's own text is in the element around it: siblings that are alike are one node.
+                common = above if common is None else [x for x, y in zip(common, above, strict=False) if x is y]
+            for c in node.children:
+                walk(c, [*above, node], (*path, c.sign))
+
+        walk(self.template, [], ())
+        out, todo = set(), [common[-1] if common else self.template]
+        while todo:
+            node = todo.pop()
+            out.add(node.number)
+            todo.extend(node.children)
+        return out
 
 
 def main_text(page: str, wrapper: Wrapper | None) -> str:
     found = blocks(page)
     at = places(found, wrapper.template) if wrapper is not None and found else {}
-    slots = [(path, text) for path, text in found if not beside(path) and not (path in at and (at[path], _text_hash(text)) in wrapper.constants)]
-    inside = [text for path, text in slots if any(s.split(".")[0] in ("article", "main") for s in path)]
-    return " ".join(inside or [text for _, text in slots])
+    kept = [(path, text) for path, text in found if not beside(path)]
+    marked = [(path, text) for path, text in kept if in_article(path)]
+    pieces = [(text, path in at and (at[path], _text_hash(text)), bool(marked) or path not in at or at[path] in wrapper.article) for path, text in marked or kept]
+    article = sum(len(text) for text, _, inside in pieces if inside)
+    same = sum(len(text) for text, key, inside in pieces if inside and key and key in wrapper.firm)
+    firm = wrapper.firm if wrapper is not None and 2 * same < article else frozenset()
+    return " ".join(text for text, key, inside in pieces if not (key and key in (firm if inside else wrapper.constants)))
 
 
 def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
@@ -301,7 +338,7 @@ def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
 
 
 def constants(met: DataFrame) -> DataFrame:
-    """``host, constants`` (JSON: node and text hash) from ``host, html, template`` of all pages."""
+    """``host, constants, varying`` (JSON: node, text hash and whether firm; nodes) from ``host, html, template`` of all pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
@@ -320,14 +357,22 @@ def constants(met: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["host", "page", "nodes", "texts"])
 
     pages = met.mapInPandas(run, "host string, page long, nodes array<int>, texts array<long>").dropDuplicates(["host", "page"])
-    # Each node of a page, with a null text for the page itself, and each of its texts.
-    here = F.transform(F.array_distinct("nodes"), lambda n: F.struct(n.alias("node"), F.lit(None).cast("long").alias("text")))
-    texts = F.transform(F.arrays_zip("nodes", "texts"), lambda x: F.struct(x["nodes"].alias("node"), x["texts"].alias("text")))
-    counted = pages.select("host", F.explode(F.concat(here, texts)).alias("x")).groupBy("host", "x.node", "x.text").agg(F.count("*").alias("n"))
-    counted = settle(counted.filter(F.col("n") >= EVIDENCE * CONSTANT))  # fewer are constant nowhere
-    of_node = counted.filter("text IS NULL").select("host", "node", F.col("n").alias("pages"))
-    found = counted.filter("text IS NOT NULL").join(of_node, ["host", "node"]).filter((F.col("pages") >= EVIDENCE) & (F.col("n") >= CONSTANT * F.col("pages")))
-    return found.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("node", "text")))).alias("constants"))
+    # Each node of a page, with a null text and the number of its texts, and each of its texts. The root stands for the page.
+    every = F.array_union(F.array(F.lit(0)), F.array_distinct("nodes"))
+    here = F.transform(every, lambda n: F.struct(n.alias("node"), F.lit(None).cast("long").alias("text"), F.size(F.filter("nodes", lambda m: m == n)).alias("k")))
+    texts = F.transform(F.arrays_zip("nodes", "texts"), lambda x: F.struct(x["nodes"].alias("node"), x["texts"].alias("text"), F.lit(1).alias("k")))
+    counted = pages.select("host", F.explode(F.concat(here, texts)).alias("x")).groupBy("host", "x.node", "x.text").agg(F.count("*").alias("n"), F.sum("x.k").alias("k"))
+    counted = settle(counted.filter((F.col("n") >= EVIDENCE * CONSTANT) | F.col("text").isNull()))  # fewer are constant nowhere
+    of_node = counted.filter("text IS NULL").select("host", "node", F.col("n").alias("pages"), "k")
+    of_host = of_node.filter("node = 0").select("host", F.col("pages").alias("host_pages"))
+    found = counted.filter("text IS NOT NULL").select("host", "node", "text", "n").join(of_node, ["host", "node"])
+    found = settle(found.filter((F.col("pages") >= EVIDENCE) & (F.col("n") >= CONSTANT * F.col("pages"))).select("host", "node", "text", "n"))
+    # Nodes that have other texts than the constant ones on at least half of the host's pages.
+    rest = of_node.join(found.groupBy("host", "node").agg(F.sum("n").alias("same")), ["host", "node"], "left").join(of_host, "host")
+    slots = rest.filter(2 * (F.col("k") - F.coalesce("same", F.lit(0))) >= F.col("host_pages")).groupBy("host").agg(F.to_json(F.sort_array(F.collect_list("node"))).alias("varying"))
+    firm = (F.col("host_pages") >= ARTICLE_EVIDENCE) & (F.col("n") >= CONSTANT * F.col("host_pages"))
+    same = found.join(of_host, "host").groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("node", "text", firm.alias("firm"))))).alias("constants"))
+    return of_host.select("host").join(same, "host", "left").join(slots, "host", "left")
 
 
 def _meet(hosted: DataFrame, by_host: DataFrame, broadcast: bool, salts: int) -> DataFrame:
@@ -354,13 +399,13 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int
         known: dict[str, Wrapper | None] = {}
         for batch in batches:
             texts = []
-            for host, page, raw, same in zip(batch["host"], batch["html"], batch["template"], batch["constants"], strict=True):
+            for host, page, raw, same, slots in zip(batch["host"], batch["html"], batch["template"], batch["constants"], batch["varying"], strict=True):
                 if host not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[host] = Wrapper(raw, same) if raw else None
+                    known[host] = Wrapper(raw, same, slots) if raw else None
                 texts.append(main_text(page, known[host]))
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    met = _meet(hosted, wrappers, small(wrappers, "template", "constants"), salts)
-    return met.select("page_id", "url", "html", "host", "template", "constants").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    met = _meet(hosted, wrappers, small(wrappers, "template", "constants", "varying"), salts)
+    return met.select("page_id", "url", "html", "host", "template", "constants", "varying").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -236,6 +236,24 @@ def test_wrapper_text_counts_all_pages_of_a_host(spark):
     assert all(got[1000 + i] == got[0] for i in range(40))
 
 
+def test_wrapper_text_keeps_what_articles_share(spark):
+    bare = "<div class=top><p>Our site</p></div><div class=text>{}</div>"
+    marked = "<div class=top><p>Our site</p></div><article>{}</article>"
+    shared = "<h1>Title</h1><p>a long paragraph in every copy of it<p>and one more that is also in all<p>"
+    quote = "<h2>Rare</h2><blockquote>said by all three</blockquote>"
+    rows, wanted = [], {}
+    for h, (page, n) in enumerate((p, n) for p in (bare, marked) for n in (3, 12)):
+        for i in range(n):  # near-copies of one article and nothing else
+            rows.append((100 * h + i, f"http://copies{h}.net/{i}", page.format(f"{shared}word{i}")))
+            wanted[100 * h + i] = f"Title a long paragraph in every copy of it and one more that is also in all word{i}"
+    for h, page in enumerate((bare, marked)):
+        for i in range(30):  # nodes that three articles have, with the same text
+            rows.append((1000 + 100 * h + i, f"http://rare{h}.net/{i}", page.format(f"<p>first {i}</p>{quote if i < 3 else ''}<p>last {i}")))
+            wanted[1000 + 100 * h + i] = f"first {i} {'Rare said by all three ' if i < 3 else ''}last {i}"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in rows_of(html.extract(pages))} == wanted
+
+
 def test_tree_matching_counts_nodes():
     a, b = (html.tree(html.blocks(p)) for p in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><h1>x</h1><section>y</section><ul><li>z</ul></div>"))
     assert html.match(a, b)[0] == 5
