@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alignment, garbage_reasons, similarity, track_number
+from ..functions.text import alignment, garbage_reasons, int_prefix, similarity, track_number
 from .votes import plurality
 
 #: Weights of the seven factors, and of fields in tag completeness.
 WEIGHTS = {"dominance": 0.40, "tag_coverage": 0.15, "title_quality": 0.12, "filename_consistency": 0.07, "completeness": 0.12, "aa_consistency": 0.06, "folder_alignment": 0.08}
+HEURISTIC = 0.60
 FIELD_WEIGHTS = {"artist": 0.20, "title": 0.20, "album": 0.15, "albumartist": 0.10, "year": 0.10, "genre": 0.08, "bpm": 0.07, "key": 0.05, "label": 0.03, "isrc": 0.02}
 
 
@@ -24,8 +25,15 @@ def numbers(df: DataFrame, by: list[str], number: Column) -> DataFrame:
     return out.withColumn("completeness", F.greatest(F.lit(0.0), score)).withColumn("consecutive", (F.size("have") > 0) & (F.size("gaps") == 0) & (F.size("repeats") == 0)).drop("have")
 
 
-def shape(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts, median tempo, formats, years and discs of each folder."""
+def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame:
+    """Counts, median tempo, formats, years and discs of each folder.
+
+    With ``stem``, the file's name, files without a disc number take it from a three-digit prefix: 213 is track 13 of disc 2.
+    """
+    disc = F.col("discnumber")
+    if stem is not None:
+        tagged, prefix = int_prefix(F.coalesce(disc, F.lit(""))), F.regexp_extract(F.trim(stem), r"^(\d{3})", 1).try_cast("int")
+        disc = F.when(tagged != 0, tagged).when((prefix >= 100) & (prefix % 100 >= 1), F.floor(prefix / 100).cast("int"))
     formats = df.groupBy(*by, "ext").agg(F.count("*").alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "_n")))).alias("formats"))
     any_tag = F.coalesce("album", "albumartist", "artist", "title").isNotNull()
     year = F.col("year").try_cast("int")
@@ -35,7 +43,7 @@ def shape(df: DataFrame, by: list[str]) -> DataFrame:
         F.median(F.col("bpm").try_cast("double")).alias("median_bpm"),
         F.bool_and(F.col("ext") == ".flac").alias("lossless"),
         (F.max(year) - F.min(year)).alias("year_spread"),
-        (F.count_distinct("discnumber") > 1).alias("multi_disc"),
+        (F.count_distinct(disc) > 1).alias("multi_disc"),
         (F.count_distinct(F.lower(F.trim("artist"))) / F.count("artist")).alias("unique_artists"),
         F.sum("size").alias("bytes"),
     )
@@ -84,11 +92,11 @@ def presence(df: DataFrame, fields: list[str]) -> DataFrame:
     return long.select("field", "present", (F.col("_total") - F.col("present")).alias("empty"), F.when(F.col("_total") > 0, F.col("present") / F.col("_total")).alias("rate"))
 
 
-def confidence(df: DataFrame, by: list[str], folder_name: Column, proposed: Column, order: str = "file_id", stem_title: Column | None = None) -> DataFrame:
+def confidence(df: DataFrame, by: list[str], folder_name: Column, proposed: Column, order: str = "file_id", stem_title: Column | None = None, heuristic: Column | None = None) -> DataFrame:
     """The seven factors of every folder, and ``confidence``, their weighted sum.
 
     The votes on album, artist and album artist come from one pass; ``proposed`` may use ``album`` and ``albumartist``,
-    their winners.
+    their winners, and so may ``heuristic``: whether the proposal is a guess, which leaves ``HEURISTIC`` of the sum.
     """
     fields = ["album", "albumartist", "artist"]
     long = df.select(*by, order, *[F.lower(F.trim(F.col(f))).alias(f) for f in fields]).unpivot([*by, order], fields, "field", "value")
@@ -110,6 +118,8 @@ def confidence(df: DataFrame, by: list[str], folder_name: Column, proposed: Colu
     total = F.lit(0.0)
     for factor, w in WEIGHTS.items():
         total = total + F.col(factor) * w
+    if heuristic is not None:
+        total = F.when(heuristic, total * HEURISTIC).otherwise(total)
     return scored.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).select(
         *by, "files", "folder_name", "proposed_name", *WEIGHTS, F.size("gaps").alias("track_gaps"), F.size("repeats").alias("track_dupes"), "confidence"
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sleevenotes.functions import text as T
-from sleevenotes.operators import dedupe, learn, quality, routing, runs, votes
+from sleevenotes.operators import classify, dedupe, learn, quality, routing, runs, votes
 
 
 def one(spark, column, **values):
@@ -81,3 +81,25 @@ def test_incremental_and_free_names(spark):
     plan = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", "y")], "source string, target string")
     got = {r["source"]: r["final"] for r in runs.free_names(plan, spark.createDataFrame([("y",)], "target string")).collect()}
     assert got == {"1": "x", "2": "x (1)", "3": "y (1)"}
+
+
+def test_embedded_releases_are_partial_below_their_total(spark):
+    tags = {"a": ["1/7", "2/7"], "b": ["1/2", "2/2"], "c": ["2", "3"], "d": ["1", "3"], "e": ["2/2", "3"], "g": ["1/0", "2/0"]}
+    df = spark.createDataFrame([("f", 10 * i + k, a, t) for i, (a, ts) in enumerate(tags.items()) for k, t in enumerate(ts)], "folder string, file_id int, album string, tn string")
+    found = classify.embedded_releases(df, ["folder"], F.lit("x"), F.col("album"), T.track_number(F.col("tn")), least=2, total=T.track_total(F.col("tn")))
+    assert {r["album_key"]: r["partial"] for r in found.collect()} == {"a": True, "b": False, "c": False, "d": True, "e": False, "g": False}
+
+
+def test_crate_kind_comes_before_content_type(spark):
+    df = spark.createDataFrame([(f, k, "x", "y", c) for f, c in (("p", "set"), ("q", "singles"), ("r", None)) for k in range(8)], "folder string, file_id int, artist string, albumartist string, crate string")
+    got = {r["folder"]: r["content_type"] for r in classify.content_type(df, ["folder"], F.col("folder"), crate=F.col("crate")).collect()}
+    assert got == {"p": "crate_set", "q": "crate_singles", "r": "album"}
+
+
+def test_discs_from_file_names_and_heuristic_confidence(spark):
+    files = {"p": [("1", "x"), (None, "213 y")], "q": [(None, "101 x"), ("0", "102 y")], "r": [("1", "201 x"), ("1/2", "y")], "s": [(None, "100 x"), (None, "200 x"), (None, "300 y")]}
+    rows = [(f, k, d, n, "al", "ar", "ar", "Some title", "2001", "120", ".flac", 1, str(k + 1)) for f, fs in files.items() for k, (d, n) in enumerate(fs)]
+    df = spark.createDataFrame(rows, "folder string, file_id int, discnumber string, stem string, album string, albumartist string, artist string, title string, year string, bpm string, ext string, size int, tracknumber string")
+    assert {r["folder"]: r["multi_disc"] for r in quality.shape(df, ["folder"], F.col("stem")).collect()} == {"p": True, "q": False, "r": False, "s": False}
+    sure, guess = ({r["folder"]: r["confidence"] for r in quality.confidence(df, ["folder"], F.col("folder"), F.col("album"), heuristic=h).collect()} for h in (None, F.col("folder") == "p"))
+    assert abs(guess["p"] - 0.6 * sure["p"]) < 1e-9 and guess["q"] == sure["q"] > 0
