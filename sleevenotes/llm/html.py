@@ -45,7 +45,7 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
+MARKS = re.compile(r"[^a-z_-]+")
 #: Elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -55,12 +55,14 @@ BLOCK = frozenset(
 CLOSES = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SCOPES = frozenset("article aside blockquote body div dl fieldset figure footer form header main nav ol section table td th ul".split())
-#: Elements that are no part of an article, and words of a class, id or role that say the same.
+#: Elements that are no part of an article, and whole tokens of a class, id or role that say the same of any element but
+#: those in WHOLE, which wrap the article whatever they are called.
 BESIDES = frozenset("nav aside footer form head button select option menu dialog fieldset legend".split())
 BESIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form header login masthead menu modal nav navbar navigation newsletter notice "
     "pagination popup promo promoted related replies reply search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+WHOLE = frozenset("html body main article".split())
 EVIDENCE, ARTICLE_EVIDENCE, CONSTANT = 3, 8, 0.9
 BROADCAST_BYTES = 16 << 20
 
@@ -69,6 +71,12 @@ def _text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _tokens(attributes: str) -> set[str]:
+    """Tokens of class, id and role, without digits and signs other than hyphens within."""
+    named = " ".join(x for found in NAMED.findall(attributes) for x in found if x)
+    return {t for t in (MARKS.sub("", raw).strip("-_") for raw in named.lower().split()) if t}
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(path, text) of every piece of text of a page, in order. A path names the block elements around it."""
     stack: list[str] = []  # open elements; inline ones too
@@ -112,11 +120,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             sign = ""
             if tag in BLOCK:
                 flush()
-                named = " ".join(x for found in NAMED.findall(m[4]) for x in found if x)
-                sign = tag + ("." + ".".join(sorted(set(WORDS.findall(named.lower())))) if named else "")
+                sign = ".".join((tag, *sorted(_tokens(m[4]))))
             elif m[4]:
-                named = " ".join(x for found in NAMED.findall(m[4]) for x in found if x)
-                words = BESIDE_WORDS.intersection(WORDS.findall(named.lower()))
+                words = BESIDE_WORDS.intersection(_tokens(m[4]))
                 if words:
                     flush()
                     sign = tag + "." + ".".join(sorted(words))
@@ -251,7 +257,7 @@ def beside(path: tuple[str, ...]) -> bool:
     inside = False
     for sign in path:
         tag, *words = sign.split(".")
-        if tag in BESIDES or BESIDE_WORDS.intersection(words) or (tag == "header" and not inside):
+        if tag in BESIDES or (tag not in WHOLE and BESIDE_WORDS.intersection(words)) or (tag == "header" and not inside):
             return True
         inside = inside or tag in ("article", "main")
     return False

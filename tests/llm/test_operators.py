@@ -254,6 +254,14 @@ def test_wrapper_text_keeps_what_articles_share(spark):
     assert {r["page_id"]: r["text"] for r in rows_of(html.extract(pages))} == wanted
 
 
+def test_side_words_are_whole_tokens_and_spare_what_wraps_the_article():
+    for wrapped in (
+        "<body class='has-sidebar'><p>text</p></body>", "<body class='search-enabled'><p>text</p>", "<body class=search><main id=comments><p>text</p></main></body>", "<article class='post comment-open'><p>text</p></article>",
+        "<div id='content-with-sidebar'><p>text</p></div>", "<article><div class='article-header'><h1>text</h1></div></article>", "<p><span class='no-ads'>text</span>",
+    ):
+        assert html.main_text(wrapped + "<div class='wide sidebar'>side</div><div id=ad-1>buy</div><p><span class=share>send</span>", None) == "text"
+
+
 def test_tree_matching_counts_nodes():
     a, b = (html.tree(html.blocks(p)) for p in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><h1>x</h1><section>y</section><ul><li>z</ul></div>"))
     assert html.match(a, b)[0] == 5
