@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sleevenotes.llm import encoding, langid, mixing, nearsets, suffixes
 from sleevenotes.llm.common import shared_folder
@@ -35,10 +36,19 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    copies = mixing.mix(mixing.with_size(docs)).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    # The ids are unique here: near-deduplication left one row of each.
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them.
+
+    Ids may be null or repeated: rows meet their copies by a hash of all their columns. Rows equal in all of them share
+    the sum of their copies evenly.
+    """
+    columns = [F.col(c) for c in docs.columns]
+    keyed = docs.withColumns({f"_key{k}": F.xxhash64(F.lit(k), *columns, *[c.isNull() for c in columns]) for k in (1, 2)})
+    sizes = mixing.with_size(keyed.select(F.struct("_key1", "_key2").alias("doc_id"), "source", "text"))
+    copies = mixing.mix(sizes).groupBy(F.col("doc_id._key1").alias("_key1"), F.col("doc_id._key2").alias("_key2")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    row = F.row_number().over(Window.partitionBy("_key1", "_key2").orderBy("_all"))
+    own = F.floor(F.col("_all") / F.col("_rows")) + F.when(row <= F.col("_all") % F.col("_rows"), 1).otherwise(0)
+    met = keyed.join(copies.filter("_all > 0"), ["_key1", "_key2"]).withColumn("_own", own.cast("int")).filter("_own > 0")
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
+import collections
+
 import corpus_pipeline as P
+from sleevenotes.llm import mixing
 
 
 def test_stages_keep_the_columns_and_work_on_what_is_left(spark, small):
@@ -10,3 +13,17 @@ def test_stages_keep_the_columns_and_work_on_what_is_left(spark, small):
     assert ids <= {r["doc_id"] for r in documents.select("doc_id").collect()}
     assert result.groupBy("doc_id").count().filter("count > 2").count() == 0
     assert result.filter("n_tokens != size(ids)").count() == 0
+
+
+def test_mixing_takes_rows_with_null_and_repeated_ids_once_each(spark):
+    words = lambda k: " ".join(f"w{k}" for _ in range(1 + k % 7))
+    rows = [(None if k % 3 == 0 else k // 2, words(k), "en", "abc"[k % 3 if k % 5 else 0]) for k in range(240)]
+    rows += [(None, "same row", "en", "b")] * 5 + [(7, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = collections.Counter(tuple(r) for r in P.mixed(spark, docs, "").collect())
+    have = collections.Counter(rows)
+    assert all(n <= 2 * have[r] for r, n in got.items())
+    size = lambda r: len((r[1] or "").split())
+    targets = {r["source"]: r["target"] for r in mixing.mix(mixing.with_size(docs)).select("source", "target").distinct().collect()}
+    for s, target in targets.items():
+        assert abs(sum(n * size(r) for r, n in got.items() if r[3] == s) - target) <= max(size(r) for r in rows if r[3] == s) + 1e-6
