@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from compare import TABLES, canon  # noqa: E402
 
-from sleevenotes import queries as catalog  # noqa: E402
+from sleevenotes import catalog  # noqa: E402
 
 
 @pytest.fixture(scope="module")
