@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 #: A word is a run of characters other than the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,29 +27,43 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Removes a query's shuffle files when it ends, rather than when the driver happens to collect its garbage.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is settled, its query's shuffle files go when it ends, rather than when the driver happens to collect
+#: its garbage, and joins on hot keys are split even where that costs another shuffle.
+SETTLING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"}
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate table with a checkpoint in the shared folder.
-
-    What the table was shuffled from is not needed any more then, so its files go at once.
-    """
+    """Cut the lineage of an intermediate table with a checkpoint in the shared folder."""
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(TIDY, "false")
-    spark.conf.set(TIDY, "true")
+    before = {k: spark.conf.get(k, "false") for k in SETTLING}
+    for k, v in SETTLING.items():
+        spark.conf.set(k, v)
     try:
         return df.select("*").checkpoint(eager=True)
     finally:
-        spark.conf.set(TIDY, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+_kept: dict[object, object] = {}
+
+
+def kept(key: object, make: Callable[[], T]) -> T:
+    """What a worker process keeps between batches and tasks: one thing at a time, so that operators run in turn by the
+    same process (the stages of a pipeline) do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]  # type: ignore[return-value]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, records: int = 500) -> None:
-    """Keep Arrow batches small: rows hold whole texts, and a worker's memory is bounded by what a batch holds."""
+def small_batches(spark: SparkSession, records: int = 500, size: int = 8 << 20) -> None:
+    """Keep Arrow batches small, in rows and in bytes: rows hold whole texts, and a worker's memory is bounded by what a
+    batch holds. The settings stay: plans are made when the caller asks for rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

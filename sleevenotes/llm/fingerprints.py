@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches
+from .common import kept, shuffle_partitions, small_batches
 
 K, SHINGLE = 128, 5
 FULL = 2.0**64
@@ -39,15 +39,12 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before; emptied when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
-_hashes = WordHashes()
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x = x * _FIN
@@ -58,7 +55,8 @@ def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of all runs of ``size`` words; of the whole sequence if there are fewer words."""
     if not words:
         return np.empty(0, np.uint64)
-    h = np.array([_hashes[w] for w in words], np.uint64)
+    known = kept(WordHashes, WordHashes)
+    h = np.array([known[w] for w in words], np.uint64)
     n = max(1, len(h) - size + 1)
     mixed = np.full(n, np.uint64(min(len(h), size)), np.uint64)
     for k in range(min(size, len(h))):

@@ -129,7 +129,7 @@ def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = nearsets.link(read(spark, sf_dir, "documents"), size=2)
-    return linked.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return linked.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -263,8 +263,8 @@ def test_side_words_are_whole_tokens_and_spare_what_wraps_the_article():
 
 
 def test_tree_matching_counts_nodes():
-    a, b = (html.tree(html.blocks(p)) for p in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><h1>x</h1><section>y</section><ul><li>z</ul></div>"))
-    assert html.match(a, b)[0] == 5
+    a, b = (html.blocks(p)[0] for p in ("<div><h1>a</h1><p>b</p><ul><li>c</ul></div>", "<div><h1>x</h1><section>y</section><ul><li>z</ul></div>"))
+    assert html.Matching(a, b).total == 5
     both = html.merge(a, b)
     assert [c.sign for c in both.children[0].children] == ["h1", "section", "p", "ul"]
 
@@ -405,12 +405,49 @@ def test_near_duplicates_match_brute_force(spark, small_node):
 def test_near_duplicates_odd_cases(spark, odd, none):
     linked = nearsets.link(odd)
     got = {r["doc_id"]: r["component_id"] for r in rows_of(linked)}
-    assert got[6] == 5 and got[7] == 5 and got[8] == 8 and got[None] is None and linked.count() == odd.count()
+    assert got[6] == 5 and got[7] == 5 and got[8] == 8 and got[None] == 5 and linked.count() == odd.count()
     kept = nearsets.keep_one(odd, linked)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [1, 2, 3, 4, 5, 8, 9, 10, 11, 12]
     assert nearsets.link(none).count() == 0
 
 
+def test_near_duplicates_under_shared_and_null_ids(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randint(0, 300)}" for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, b), (7, b + " tail"), (9, a), (None, c), (None, c + " tail"), (None, d), (11, d), (5, a), (None, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = nearsets.link(docs)
+    got = sorted((str(x["doc_id"]), x["n_shingles"] > 0, str(x["component_id"])) for x in rows_of(linked))
+    assert got == sorted([("5", True, "5")] * 3 + [("7", True, "5"), ("9", True, "5")] + [("None", True, "None")] * 2 + [("None", True, "11"), ("11", True, "11"), ("None", False, "None"), ("6", False, "6")])
+    kept = sorted(map(str, (tuple(x) for x in nearsets.keep_one(docs, linked).collect())))
+    assert kept in [sorted(map(str, [(5, a), (5, b), (None, one), (11, d), (None, None), (6, "")])) for one in (c, c + " tail")]
+
+
+def test_a_dense_group_is_compared_within_its_leaf(spark):
+    # Copies of one text with edits of their own: few are linked with each other, but all are with the text itself.
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        copy = list(base)
+        for k in r.sample(range(100), 8 if i % 3 else 4):
+            copy[k] = f"x{i}_{k}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"o{i}_{k}" if k % 30 == 7 else w for k, w in enumerate(base[:70] + [f"t{k}" for k in range(30)]))) for i in range(60)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in rows_of(nearsets.link(spark.createDataFrame(rows, "doc_id long, text string"), size=1, small=8))}
+    assert got == brute_components(rows, 1)
+
+
+def test_survival_of_the_branching_process():
+    assert math.isclose(nearsets.survival(1), 1 - (0.75 * 0.2 + 0.25 * 0.04))
+    tokens = np.random.default_rng(3).integers(0, 2**32, (400, nearsets.MINWISE), np.uint64).astype(np.uint32)
+    other = np.where(np.random.default_rng(5).random(tokens.shape) < 0.8, tokens, tokens + np.uint32(1))
+    met = [len(set(nearsets.paths(x, 8, 3, 0.25)[:, 3].tolist()) & set(nearsets.paths(y, 8, 3, 0.25)[:, 3].tolist())) > 0 for x, y in zip(tokens, other)]
+    assert sum(met) / len(met) > 0.98
+    assert [len(nearsets.paths(tokens[0], 1000, 1, 0.25)) in range(1180, 1320), nearsets.depth_for(10**11, 32) > nearsets.depth_for(10**5, 32)] == [True, True]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows_of(components(edges))}
