@@ -10,9 +10,11 @@ stretches combine by an associative product, so a giant document need not be wal
 3. combine a document's matrices, block by block, and choose the states at all cuts (`choose_states`);
 4. backtrace each chunk between its two states, in parallel (`backtrace`).
 
-Within a chunk, a piece never spans the place where a space follows another character. Everything between the first and
-last such place is encoded once for all states, so the matrix is an outer sum; only a chunk without spaces needs one
-pass for each entry state. Ordinary documents are a single chunk and are encoded where they are read.
+Everywhere, a text is first cut where no piece has the two neighbouring characters side by side, since no piece spans such
+a place: the best path is that of the parts, one after another. Parts are mostly words, which recur; new ones are walked
+many at a time (`Encoder.walk`), as arrays. Within a chunk, everything between the first and last such place is encoded
+once for all states, so the matrix is an outer sum; only a chunk without such a place needs one pass for each entry state.
+Ordinary documents are a single chunk and are encoded where they are read.
 
 The round trip is exact for every text: a space is put before the text (a word piece begins with one) and taken away on
 decoding, characters without a piece are spelled in bytes, and nothing is normalised.
@@ -23,6 +25,7 @@ very long texts take the chunked path; other columns are kept out of the way by
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,8 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .pieces import BYTE_SCORE, DEFAULT_MODEL, NEVER, UNIT, Vocabulary, load
+from .common import kept, small_batches
+from .pieces import BYTE_SCORE, DEFAULT_MODEL, NEVER, PieceTable, Vocabulary, load
 
 CHUNK = 8192
 #: Chunk matrices combined in one step; a document's blocks of chunks are combined in a second.
@@ -40,12 +43,33 @@ BLOCK = 256
 
 
 class Encoder:
-    """Encodes texts and chunks of texts; units seen before are remembered."""
+    """Encodes texts and chunks of texts; parts seen before are remembered."""
+
+    #: Parts up to this long are walked many at a time; pairs of characters are looked up in a table of 2 ** BITS places.
+    TOGETHER, BITS = 48, 22
 
     def __init__(self, vocabulary: Vocabulary, remember: int = 200_000):
         self.v, self.remember = vocabulary, remember
-        self.known: dict[str, tuple[tuple[int, ...], int]] = {}  # parts
-        self.units: dict[str, tuple[int, ...]] = {}
+        self.pieces = PieceTable(vocabulary.ids)
+        self.scores = np.array([*vocabulary.scores, NEVER], np.int64)
+        pairs = np.array(sorted(vocabulary.pairs), "<U2").view(np.uint32).reshape(-1, 2)
+        self.side_by_side = np.zeros(1 << self.BITS, bool)
+        self.side_by_side[self._pair(pairs[:, 0], pairs[:, 1])] = True
+        self.known: dict[str, int] = {}  # remembered parts, by number
+        # Ids of all remembered parts, one part after another; where each begins, its length and its score.
+        self.flat, self.begin, self.size, self.sums = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        first = vocabulary.first_byte
+        spelled = [bytes([k - first]) if first <= k < first + 256 else s.encode("utf-8", "surrogatepass") for k, s in enumerate(vocabulary.surfaces)]
+        self.letters, self.width = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
+        self.where = np.cumsum(self.width) - self.width
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - self.BITS)
+
+    def places(self, text: str) -> np.ndarray:
+        """Places within a text that no piece spans. (Two pairs may share a place of the table: a cut less, never one too many.)"""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.flatnonzero(~self.side_by_side[self._pair(codes[:-1], codes[1:])]) + 1
 
     def path(self, steps: list[tuple[int, tuple[int, ...]]], start: int, end: int) -> tuple[int, ...]:
         parts = []
@@ -54,82 +78,136 @@ class Encoder:
             parts.append(ids)
         return tuple(k for ids in reversed(parts) for k in ids)
 
-    def part(self, text: str) -> tuple[tuple[int, ...], int]:
-        """Ids and score of a text that is not cut any further."""
-        starts, scores, longest, n = self.v.starts, self.v.scores, self.v.longest, len(text)
-        best, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    def part(self, text: str) -> tuple[list[int], int]:
+        """Ids and score of one part."""
+        scores, steps = self._steps(text, 0, len(text))
+        return list(self.path(steps, 0, len(text))), scores[-1]
+
+    def walk(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (one part after another), numbers of ids and scores of parts of one length."""
+        n, m = len(parts[0]), len(parts)
+        codes = np.array(parts, f"<U{n}").view(np.uint32).reshape(m, n)
+        size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        best, back, piece = np.full((n + 1, m), NEVER), np.zeros((n + 1, m), np.int64), np.full((n + 1, m), -1)
         best[0] = 0
         for i in range(n):
-            here = best[i]
-            if here == NEVER:
-                continue
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = starts.get(text[i:j])
-                if k is None:
-                    break
-                if k >= 0 and here + scores[k] > best[j]:
-                    best[j], back[j], piece[j] = here + scores[k], i, k
-            if text[i] not in self.v.ids:
-                spelled = here + BYTE_SCORE * len(text[i].encode("utf-8", "surrogatepass"))
-                if spelled > best[i + 1]:
-                    best[i + 1], back[i + 1], piece[i + 1] = spelled, i, -1
-        ids: list[int] = []
-        while n:
-            i = back[n]
-            ids += reversed(self.v.character(text[i])) if piece[n] < 0 else (piece[n],)
-            n = i
-        return tuple(reversed(ids)), best[-1]
-
-    def unit(self, text: str) -> tuple[tuple[int, ...], int]:
-        """Ids and score of a unit: it is cut where no piece has its two neighbouring characters side by side."""
-        pairs, cuts = self.v.pairs, [0]
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                cuts.append(i)
-        if len(cuts) == 1:
-            return self._remembered(text)
-        ids: tuple[int, ...] = ()
-        score = 0
-        for lo, hi in zip(cuts, [*cuts[1:], len(text)], strict=True):
-            more, s = self._remembered(text[lo:hi])
-            ids, score = ids + more, score + s
-        return ids, score
-
-    def _remembered(self, text: str) -> tuple[tuple[int, ...], int]:
-        found = self.known.get(text)
-        if found is None:
-            found = self.part(text)
-            if len(self.known) < self.remember and len(text) <= 64:  # frequent parts come early
-                self.known[text] = found
-        return found
+            hashes = self.pieces.seed(m)
+            for j in range(i + 1, min(n, i + self.v.longest) + 1):
+                hashes = self.pieces.extend(hashes, codes[:, j - 1])
+                k = self.pieces.look_up(hashes)
+                score = self.scores[k]
+                if j == i + 1:
+                    score = np.where(k < 0, BYTE_SCORE * size[:, i], score)
+                elif (k < 0).all():
+                    continue
+                score = best[i] + score
+                better = np.flatnonzero(score > best[j])
+                best[j, better], back[j, better], piece[j, better] = score[better], i, k[better]
+        ids, at, rows = np.full((m, n), -1, np.int32), np.full(m, n), np.arange(m)
+        counts = np.zeros(m, np.int64)
+        spelled = np.zeros(m, bool)
+        while len(rows):  # backwards; ids fill each row from its end
+            here = at[rows]
+            k = piece[here, rows]
+            counts[rows] += 1
+            ids[rows, n - counts[rows]] = k
+            spelled[rows[k < 0]] = True
+            at[rows] = back[here, rows]
+            rows = rows[at[rows] > 0]
+        flat = ids[np.arange(n)[None, :] >= (n - counts)[:, None]]
+        if spelled.any():  # few: a character that has no piece of its own
+            pieces = np.split(flat, np.cumsum(counts)[:-1])
+            for r in np.flatnonzero(spelled):
+                pieces[r] = np.array(self.part(parts[r])[0], np.int32)
+            flat, counts = np.concatenate(pieces), np.array([len(x) for x in pieces])
+        return flat, counts, best[n]
+
+    def _learn(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, numbers of ids and scores of new parts, in their order."""
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(fresh):
+            by_length.setdefault(len(p), []).append(i)
+        order, flats, counts, sums = [], [], [], []
+        for n, places in by_length.items():
+            step = 4096 if n <= self.TOGETHER else 1
+            for k in range(0, len(places), step):
+                some = places[k : k + step]
+                if n <= self.TOGETHER:
+                    flat, count, total = self.walk([fresh[i] for i in some])
+                else:
+                    ids, score = self.part(fresh[some[0]])
+                    flat, count, total = np.array(ids, np.int32), np.array([len(ids)]), np.array([score])
+                order += some
+                flats.append(flat)
+                counts.append(count)
+                sums.append(total)
+        if not order:
+            return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        flat, count, total, at = np.concatenate(flats), np.concatenate(counts), np.concatenate(sums), np.argsort(order)
+        begin = np.cumsum(count) - count
+        return self._gather(flat, begin[at], count[at]), count[at], total[at]
+
+    @staticmethod
+    def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Stretches of an array, one after another."""
+        ends = np.cumsum(size)
+        return flat[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (one text after another), numbers of ids and scores of texts that begin and end where no piece spans."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        joined, ends = "".join(texts), np.cumsum(lengths)
+        if not joined:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        mask = np.zeros(len(joined) + 1, bool)
+        mask[self.places(joined)] = mask[0] = True
+        mask[ends] = True
+        cuts = np.flatnonzero(mask)
+        bounds = cuts.tolist()
+        parts = [joined[i:j] for i, j in itertools.pairwise(bounds)]
+        known = self.known.get
+        own = np.array([known(p, -1) for p in parts])
+        new = np.flatnonzero(own < 0).tolist()
+        fresh = {p: k for k, p in enumerate(dict.fromkeys([parts[i] for i in new]), len(self.begin))}
+        flat, size, sums = self._learn(list(fresh))
+        begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        flat, size, sums = np.concatenate([self.flat, flat]), np.concatenate([self.size, size]), np.concatenate([self.sums, sums])
+        own[new] = [fresh[parts[i]] for i in new]
+        keep = min(len(fresh), self.remember - len(self.known))
+        if keep > 0:  # frequent parts come early
+            self.known |= dict(itertools.islice(fresh.items(), keep))
+            n = len(self.begin) + keep
+            self.begin, self.size, self.sums = begin[:n], size[:n], sums[:n]
+            self.flat = flat[: self.begin[-1] + self.size[-1]]
+        of_text = np.searchsorted(ends, cuts[:-1], "right")
+        return self._gather(flat, begin[own], size[own]), np.bincount(of_text, size[own], len(texts)).astype(np.int64), self._sums(of_text, sums[own], len(texts))
+
+    @staticmethod
+    def _sums(places: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size, np.int64)
+        np.add.at(out, places, values)
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        ids, counts, _ = self.stretches([" " + t for t in texts])
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        units, room = self.units, self.remember
-        for u in UNIT.findall(" " + text):
-            ids = units.get(u)
-            if ids is None:
-                ids = self.unit(u)[0]
-                if len(units) < room and len(u) <= 64:
-                    units[u] = ids
-            out += ids
-        return out
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        first = self.v.first_byte
-        plain = not len(ids) or np.array(ids).min() >= first + 256
-        return ("".join(map(self.v.surfaces.__getitem__, ids)) if plain else self._with_bytes(ids))[1:]
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """Bytes of the text."""
+        return self._gather(self.letters, self.where[ids], self.width[ids])[1:].tobytes()
 
-    def _with_bytes(self, ids: list[int]) -> str:
-        first = self.v.first_byte
-        return b"".join(bytes([k - first]) if first <= k < first + 256 else self.v.surfaces[k].encode("utf-8", "surrogatepass") for k in ids).decode("utf-8", "surrogatepass")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return self.decoded(np.asarray(ids, np.int64)).decode("utf-8", "surrogatepass")
 
     # Chunks. ``text`` is the chunk and its look-ahead, ``size`` the chunk's own length.
 
     def cuts(self, text: str, size: int) -> tuple[int, int]:
         """First and last place, from 1 to size, that no piece spans; 0, 0 if there is none."""
-        places = [i for i in range(1, min(size, len(text) - 1) + 1) if text[i] == " " and text[i - 1] != " "]
-        return (places[0], places[-1]) if places else (0, 0)
+        places = self.places(text[: size + 1])
+        return (int(places[0]), int(places[-1])) if len(places) else (0, 0)
 
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores from each entry state to each exit state; a state counts characters beyond the cut."""
@@ -147,7 +225,7 @@ class Encoder:
                 for b in reach:
                     out[a, b] = scores[size + b]
             return out
-        middle = sum(self.unit(u)[1] for u in UNIT.findall(text[first:last]))
+        middle = int(self.stretches([text[first:last]])[2][0])
         tail = self._ending(text, last, size) if last < size else [0 if i == size else NEVER for i in range(len(text) + 1)]
         for a in range(min(n, first + 1)):
             head = self._ending(text[:first], a, first)[first] if a < first else 0
@@ -178,8 +256,7 @@ class Encoder:
         if not first or entry > first:
             return list(self.path(self._steps(text, entry, size)[1], entry, size + exit_))
         out = list(self.path(self._steps(text[:first], entry, first)[1], entry, first))
-        for u in UNIT.findall(text[first:last]):
-            out += self.unit(u)[0]
+        out += self.stretches([text[first:last]])[0].tolist()
         return out + list(self.path(self._steps(text, last, size)[1], last, size + exit_))
 
 
@@ -199,15 +276,9 @@ def choose_states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[in
     return states[::-1]
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """One encoder a worker process and vocabulary, so that what it remembers serves later batches."""
-    key = hash((len(vocabulary.surfaces), sum(vocabulary.scores)))
-    if key not in _encoders:
-        _encoders[key] = Encoder(vocabulary)
-    return _encoders[key]
+    return kept((Encoder, len(vocabulary.surfaces), sum(vocabulary.scores)), lambda: Encoder(vocabulary))
 
 
 def _map(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -231,18 +302,20 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, dig
     narrow = docs.select(F.col(key).alias("key"), "text")
     out = f"key {kind}, " + ("n_tokens long, ids_crc32 long, round_trip boolean" if digest else "ids array<int>")
 
-    def answer(e: Encoder, ids: list[int] | None, text: str | None) -> tuple:
+    def answer(e: Encoder, ids: np.ndarray | None, text: str | None) -> tuple:
         if not digest:
             return (ids,)
         if ids is None:
             return 0, None, None
-        return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), e.decode(ids) == text
+        return len(ids), zlib.crc32(ids.astype("<u4").tobytes()), e.decoded(ids) == text.encode("utf-8", "surrogatepass")
 
     names = ["n_tokens", "ids_crc32", "round_trip"] if digest else ["ids"]
 
     def small(batch: pd.DataFrame) -> pd.DataFrame:
         e = encoder(shared.value)
-        found = [answer(e, None if t is None else e.encode(t), t) for t in batch["text"]]
+        texts = [t for t in batch["text"] if t is not None]
+        ids = iter(e.encode_all(texts))
+        found = [answer(e, None if t is None else next(ids), t) for t in batch["text"]]
         frame = {n: pd.Series([f[i] for f in found], dtype=object) for i, n in enumerate(names)}
         return pd.DataFrame({"key": batch["key"]} | frame)
 
@@ -253,10 +326,18 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, dig
     reach = shared.value.longest
     giants = narrow.filter(is_giant).withColumn("text_hash", F.sha2("text", 256)).withColumn("text", F.concat(F.lit(" "), "text"))
     counted = giants.groupBy("key", "text_hash").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    chunks = counted.select("key", "text_hash", F.length("text").alias("total"), "copies", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr(f"(length(text) - 1) div {CHUNK}")), lambda i: F.substring("text", i * CHUNK + 1, F.lit(CHUNK + reach)))).alias("chunk", "text"))
-    chunks = chunks.withColumn("size", F.least(F.lit(CHUNK), F.col("total") - F.col("chunk") * CHUNK))
     where = f"key {kind}, text_hash string, chunk int"
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key_, digest_, copies, text in zip(batch["key"], batch["text_hash"], batch["copies"], batch["text"], strict=True):
+                starts = range(0, len(text), CHUNK)
+                for some in (starts[k : k + BLOCK] for k in range(0, len(starts), BLOCK)):
+                    parts = [text[i : i + CHUNK + reach] for i in some]
+                    yield pd.DataFrame({"chunk": [i // CHUNK for i in some], "copies": copies, "text": parts, "size": [min(CHUNK, len(text) - i) for i in some]}).assign(key=pd.Series([key_] * len(some), dtype=batch["key"].dtype), text_hash=digest_)[["key", "text_hash", "chunk", "copies", "text", "size"]]
+
+    chunks = counted.mapInPandas(split, where + ", copies long, text string, size int")
+
     def matrices(batch: pd.DataFrame) -> pd.DataFrame:
         e = encoder(shared.value)
         rows = [e.transfer(t, s).tobytes() for t, s in zip(batch["text"], batch["size"], strict=True)]
@@ -306,14 +387,13 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, dig
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
         group = in_order(group, "chunk")
-        ids = [int(k) for part in group["ids"] for k in part]
+        ids = np.concatenate([np.asarray(part, np.int32) for part in group["ids"]])
         found = answer(encoder(shared.value), ids, "".join(group["text"])[1:])
-        copies = int(group["copies"].iloc[0])
-        frame = {n: pd.Series([found[i]] * copies, dtype=object) for i, n in enumerate(names)}
-        return pd.DataFrame({"key": [group["key"].iloc[0]] * copies} | frame)
+        return group.head(1)[["key", "copies"]].assign(**{n: pd.Series([found[i]], dtype=object, index=group.index[:1]) for i, n in enumerate(names)})
 
     # A group here is one document, whose ids the result holds in one row in any case.
-    big = traced.groupBy("key", "text_hash").applyInPandas(whole, out)
+    big = traced.groupBy("key", "text_hash").applyInPandas(whole, out + ", copies long")
+    big = big.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
     return done.unionByName(big).withColumnRenamed("key", key)
 
 

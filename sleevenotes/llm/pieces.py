@@ -9,7 +9,6 @@ the vocabulary's own space mark, when it occurs in a text, is an ordinary charac
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,8 +18,6 @@ SPACE_MARK = "▁"
 #: Score of one byte of a character that has no piece: below every piece.
 BYTE_SCORE = -14_000_000
 NEVER = -(1 << 60)
-#: No piece has a space after another character, so a unit never shares a piece with its neighbours.
-UNIT = re.compile(r" *[^ ]+| +")
 
 
 @dataclass
