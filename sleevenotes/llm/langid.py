@@ -10,8 +10,10 @@ piece counts given all segmentations (forward-backward) are summed by language o
 rounds of expectation-maximisation from a Zipf prior. The model has one number for each piece and language. A language
 is one of the ``lang`` values of the training rows.
 
-A word is a space and a run of letters, lower-cased; what is not a letter plays no part. Words of over 48 letters are
-scored in stretches of 48.
+A word is a space and a run of letters, lower-cased; what is not a letter plays no part. Words are cut where no piece has
+the two neighbouring characters side by side: no segmentation crosses such a place, so the sum over all segmentations is
+the product of the parts' sums. Parts of up to ``LONG`` characters are summed many at a time, longer ones each for itself,
+by logarithms; neither way leaves a segmentation out.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from, every text is
 ``und``; ties go to the language that comes first; training rows with a null language or text are passed over; repeated
@@ -20,6 +22,7 @@ rows count each time.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,52 +33,56 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import kept, settle, small_batches
 from .pieces import DEFAULT_MODEL, PieceTable, Vocabulary, load
 
 RUN = re.compile(r"[^\W\d_]+")
-STRETCH = 48
+#: Words up to this long are not cut, and parts up to that long are summed many at a time.
+WHOLE, LONG = 24, 64
 UND = "und"
 
 
 def words(text: str) -> list[str]:
-    return RUN.findall(text.lower())
+    """Runs of letters. The pattern lets some numerals pass (fractions, circled digits), which end a run like a digit does."""
+    found = RUN.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return ["".join(run) for w in found for letters, run in itertools.groupby(w, str.isalpha) if letters]
 
 
-def stretches(word: str) -> list[str]:
+def parts(word: str, pairs: frozenset[str]) -> list[str]:
+    """A space and the word, cut (if it is long) where no piece has the two characters side by side."""
     whole = " " + word
-    return [whole[i : i + STRETCH + 1] for i in range(0, len(whole), STRETCH + 1)]
-
-
-_tables: dict[int, PieceTable] = {}
-
-
-def _pieces(vocabulary: Vocabulary) -> PieceTable:
-    """One table a worker process and vocabulary."""
-    key = hash(tuple(vocabulary.scores))
-    if key not in _tables:
-        _tables[key] = PieceTable(vocabulary.ids)
-    return _tables[key]
+    if len(whole) <= WHOLE:
+        return [whole]
+    cuts = [0, *(i for i in range(1, len(whole)) if whole[i - 1 : i + 1] not in pairs), len(whole)]
+    return [whole[i:j] for i, j in itertools.pairwise(cuts)]
 
 
 class Forward:
-    """Sums over segmentations, for many words of one length at a time.
+    """Sums over segmentations, for many parts of words at a time.
 
     ``table`` has the probabilities by piece id and language. A character without a piece counts as its bytes, each of
     probability ``BYTE``.
     """
 
     BYTE = math.exp(-14)
+    #: Sums below this are scaled up, and the scale is kept apart.
+    SMALL = 1e-120
 
     def __init__(self, vocabulary: Vocabulary, table: np.ndarray):
         spare = np.array([[0.0]] + [[self.BYTE**k] for k in range(1, 5)]).repeat(table.shape[1], axis=1)
-        self.v, self.none, self.pieces = vocabulary, len(table), _pieces(vocabulary)
+        self.v, self.none, self.pieces = vocabulary, len(table), PieceTable(vocabulary.ids)
         self.table = np.concatenate([table, spare])  # rows after the pieces: nothing, then characters of 1 to 4 bytes
 
+    def _codes(self, words: list[str]) -> np.ndarray:
+        n = max(map(len, words))
+        return np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+
     def edges(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, row of each word's piece there); words have the same length."""
-        n = len(words[0])
-        codes = np.array(words, f"<U{n}").view(np.uint32).reshape(len(words), n)
+        """(start, end, row of each word's piece there), by start. Shorter words are filled up with zeros, which have no piece."""
+        codes = self._codes(words)
+        n = codes.shape[1]
         size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         for i in range(n):
             hashes = self.pieces.seed(len(words))
@@ -88,15 +95,66 @@ class Forward:
 
     def log_sums(self, words: list[str]) -> np.ndarray:
         """Log of the sum over all segmentations, by word and language."""
-        alpha = np.zeros((len(words[0]) + 1, len(words), self.table.shape[1]))
+        if len(words) == 1 and len(words[0]) > LONG:
+            return np.array([[self._logs(words[0], c)[0][-1] for c in range(self.table.shape[1])]])
+        sizes = np.array([len(w) for w in words])
+        n = int(sizes.max())
+        alpha = np.zeros((n + 1 + self.v.longest, len(words), self.table.shape[1]))
         alpha[0] = 1.0
+        scale, out, at = np.zeros(alpha.shape[1:]), np.zeros(alpha.shape[1:]), 0
         for i, j, rows in self.edges(words):
+            if i != at:
+                at = i
+                ended = np.flatnonzero(sizes == i)
+                out[ended] = np.log(np.maximum(alpha[i, ended], 1e-300)) + scale[ended]
+                if i % 4 == 0:
+                    ahead = alpha[i : i + self.v.longest]
+                    most = ahead.max(axis=0)
+                    low = (most < self.SMALL) & (most > 0)
+                    if low.any():
+                        factor = np.where(low, 1 / np.where(low, most, 1.0), 1.0)
+                        ahead *= factor
+                        scale -= np.log(factor)
             alpha[j] += alpha[i] * self.table[rows]
-        return np.log(np.maximum(alpha[-1], 1e-300))
+        ended = np.flatnonzero(sizes == n)
+        out[ended] = np.log(np.maximum(alpha[n, ended], 1e-300)) + scale[ended]
+        return out
+
+    def _logs(self, word: str, language: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A long word: logs of the sums up to each place and from each place on, and (by length, start) rows of pieces."""
+        codes = self._codes([word])[0]
+        n, most = len(codes), self.v.longest
+        size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+        rows = np.full((most + 1, n), self.none)
+        hashes = self.pieces.seed(n)
+        for k in range(1, min(most, n) + 1):
+            hashes = self.pieces.extend(hashes[: n - k + 1], codes[k - 1 :])
+            found = self.pieces.look_up(hashes)
+            rows[k, : n - k + 1] = np.where(found >= 0, found, self.none + size if k == 1 else self.none)
+        with np.errstate(divide="ignore"):
+            logs = np.log(self.table[:, language])[rows]
+        forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        forward[0] = backward[n] = 0.0
+        for j in range(1, n + 1):
+            k = np.arange(1, min(most, j) + 1)
+            forward[j] = np.logaddexp.reduce(forward[j - k] + logs[k, j - k])
+        for i in range(n - 1, -1, -1):
+            k = np.arange(1, min(most, n - i) + 1)
+            backward[i] = np.logaddexp.reduce(backward[i + k] + logs[k, i])
+        return forward, backward, rows
 
     def expected(self, words: list[str], times: np.ndarray, language: int) -> np.ndarray:
-        """Expected number of each piece, given all segmentations of words that occur so many times."""
-        edges, table = list(self.edges(words)), self.table[:, language]
+        """Expected number of each piece, given all segmentations of words of one length that occur so many times."""
+        table, sums = self.table[:, language], np.zeros(len(self.table))
+        if len(words) == 1 and len(words[0]) > LONG:
+            forward, backward, rows = self._logs(words[0], language)
+            with np.errstate(divide="ignore"):
+                logs = np.log(table)
+            for k in range(1, len(rows)):
+                here = rows[k, : len(forward) - k]
+                sums += np.bincount(here, np.exp(forward[:-k] + logs[here] + backward[k:] - forward[-1]) * times[0], len(table))
+            return sums[: self.none]
+        edges = list(self.edges(words))
         alpha, beta = np.zeros((2, len(words[0]) + 1, len(words)))
         alpha[0], beta[-1] = 1.0, 1.0
         for i, j, rows in edges:
@@ -104,20 +162,22 @@ class Forward:
         for i, j, rows in reversed(edges):
             beta[i] += beta[j] * table[rows]
         share = times / np.maximum(alpha[-1], 1e-300)
-        sums = np.zeros(len(table))
         for i, j, rows in edges:
             sums += np.bincount(rows, alpha[i] * table[rows] * beta[j] * share, len(table))
         return sums[: self.none]
 
 
-def by_length(words: list[str], most: int = 4096) -> Iterator[list[int]]:
-    """Places of words of one length, ``most`` at a time."""
+def by_length(words: list[str], most: int = 4096, together: bool = False) -> Iterator[list[int]]:
+    """Places of words of one length (``together``: of neighbouring lengths, beyond the usual ones), ``most`` at a time
+    or fewer if they are long; words over ``LONG`` characters one at a time."""
     places: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        places.setdefault(len(w), []).append(i)
-    for found in places.values():
-        for k in range(0, len(found), most):
-            yield found[k : k + most]
+        n = len(w)
+        places.setdefault(n if not together or n <= WHOLE or n > LONG else -(-n // 16) * 16, []).append(i)
+    for n, found in places.items():
+        step = 1 if n > LONG else max(1, min(most, most * WHOLE // n))
+        for k in range(0, len(found), step):
+            yield found[k : k + step]
 
 
 def zipf(v: Vocabulary) -> np.ndarray:
@@ -161,10 +221,10 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
             def add(least: int) -> None:
                 for c, name in enumerate(names):
                     if len(held[name]) > least:
-                        parts = [(part, n) for word, n in held[name] for part in stretches(word)]
+                        cut = [(part, n) for word, n in held[name] for part in parts(word, vocabulary.value.pairs)]
                         held[name].clear()
-                        for places in by_length([part for part, _ in parts]):
-                            sums[:, c] += forward.expected([parts[i][0] for i in places], np.array([parts[i][1] for i in places], float), c)
+                        for places in by_length([part for part, _ in cut]):
+                            sums[:, c] += forward.expected([cut[i][0] for i in places], np.array([cut[i][1] for i in places], float), c)
 
             for batch in batches:
                 for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
@@ -183,22 +243,19 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
     return langs, table
 
 
-_known: dict[int, tuple] = {}
-
-
 class Scorer:
     """Log likelihoods of texts. Words that were met early, the frequent ones, are remembered for later batches."""
 
-    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 500_000):
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 300_000):
         self.forward, self.remember = Forward(vocabulary, table), remember
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, table.shape[1]))
 
     def words(self, fresh: list[str]) -> np.ndarray:
-        parts = [(k, part) for k, w in enumerate(fresh) for part in stretches(w)]
+        cut = [(k, part) for k, w in enumerate(fresh) for part in parts(w, self.forward.v.pairs)]
         out = np.zeros((len(fresh), self.rows.shape[1]))
-        for places in by_length([part for _, part in parts]):
-            np.add.at(out, [parts[i][0] for i in places], self.forward.log_sums([parts[i][1] for i in places]))
+        for places in by_length([part for _, part in cut], together=True):
+            np.add.at(out, [cut[i][0] for i in places], self.forward.log_sums([cut[i][1] for i in places]))
         return out
 
     def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
@@ -229,11 +286,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, model: str = D
         return langs[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if key not in _known:  # a worker process serves many tasks
-            _known.clear()
-            vocabulary, _, probabilities = shared.value
-            _known[key] = Scorer(vocabulary, probabilities)
-        s = _known[key]
+        s = kept((Scorer, key), lambda: Scorer(shared.value[0], shared.value[2]))
         for batch in batches:
             found = [one(logs) for logs in s.scores(list(batch["text"]))]
             yield batch.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
