@@ -1,13 +1,14 @@
 """Mixing sources to target token weights by entropy balancing.
 
 Each document d of source s gets a rate w_d, the copies it should have in the mix. Among all rates between 0 and a
-cap, those closest to the base rate (the share, for all documents alike) in Kullback-Leibler divergence, counted by
-word, that meet every source's token constraint ``sum size_d * w_d = target_s`` are an exponential tilt of the base
-rate: ``w_d = min(cap, share * exp(m_s + length_tilt * x_d))``, x_d being the document's size over its source's mean
-size. The multipliers m_s solve the convex dual. `balance` finds them by Newton steps, kept inside a bracket; gradients
-and curvatures are sums over the corpus, computed by Spark. Documents of one source and size have the same rate, so
-those sums run over the counts by (source, size), made once with map-side combining, and not over the documents.
-With ``length_tilt`` 0, the default, no length is favoured.
+cap, those closest to the base rate (the share, for all documents alike) in Kullback-Leibler divergence, every document
+counting alike, that meet every source's token constraint ``sum size_d * w_d = target_s`` are an exponential tilt of the
+base rate: ``w_d = min(cap, share * exp(m_s * x_d))``, x_d being the document's size over its source's mean size. A source
+that is asked for less than the base rate gives gives up its long documents first, since they cost least divergence for a
+word; one that is asked for more repeats them first. The multipliers m_s solve the convex dual. `balance` finds them by
+Newton steps, kept inside a bracket; gradients and curvatures are sums over the corpus, computed by Spark. Documents of
+one source and size have the same rate, so those sums run over the counts by (source, size), made once with map-side
+combining, and not over the documents. A source whose target is its cap has all documents at the cap.
 
 *Rounding.* Copies are whole. Cells of one source and size are taken in order of size and the running sum of
 fractional copies is rounded, so the words taken from a source differ from its target by no more than the size of its
@@ -21,15 +22,17 @@ documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WORD, settle
 
-#: Newton steps; the bracket halves at least whenever a step would leave it.
-MAX_STEPS = 60
+#: Newton steps, after which `balance` gives up with an error; the bracket halves whenever a step would leave it.
+MAX_STEPS = 80
 TOLERANCE = 1e-9
+#: Bracket of the multipliers.
+WIDEST = 1e4
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -58,28 +61,38 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return running.select("source", "source_size", F.when(F.col("_capped"), F.col("_cap")).otherwise(F.col("_w") * level).alias("target"))
 
 
-def balance(cells: DataFrame, targets: DataFrame, base: float = 1.5, cap: float = 2.0, length_tilt: float = 0.0) -> DataFrame:
-    """Multipliers by source: ``source, source_size, target, mean_size, base, multiplier``.
+def rates(size: Column, mean_size: Column, multiplier: Column, base: float, cap: float) -> Column:
+    """``min(cap, base * exp(multiplier * size / mean_size))``; a null multiplier stands for the cap itself."""
+    tilt = F.least(multiplier * size / mean_size, F.lit(700.0))
+    return F.when(multiplier.isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.lit(float(base)) * F.exp(tilt)))
+
+
+def balance(cells: DataFrame, targets: DataFrame, base: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """Multipliers by source: ``source, source_size, target, mean_size, multiplier`` (null: all at the cap).
 
     cells: ``source, size, n`` (documents of that source and size). The dual's derivative for a source,
-    ``sum n * size * min(cap, base * exp(m + length_tilt * x)) - target``, rises in the multiplier m.
+    ``sum n * size * min(cap, base * exp(m * x)) - target``, rises in the multiplier m. A source without words has
+    multiplier 0.
     """
     means = cells.groupBy("source").agg((F.sum(F.col("n") * F.col("size")) / F.sum("n")).alias("mean_size"))
+    full = (F.col("source_size") > 0) & (F.col("target") >= F.col("source_size") * F.lit(cap * (1 - TOLERANCE)))
     state = settle(
         targets.join(means, targets["source"].eqNullSafe(means["source"])).select(
             targets["source"], "source_size", "target", F.when(F.col("mean_size") > 0, F.col("mean_size")).otherwise(1.0).alias("mean_size"),
-            F.lit(float(base)).alias("base"),
-            F.lit(0.0).alias("multiplier"), F.lit(-50.0).alias("lo"), F.lit(50.0).alias("hi"), F.lit(False).alias("done"),
+            F.when(~full, 0.0).alias("multiplier"), F.lit(-WIDEST).alias("lo"), F.lit(WIDEST).alias("hi"), (full | (F.col("source_size") == 0)).alias("done"),
         )
     )
     for _ in range(MAX_STEPS):
+        if state.filter(~F.col("done")).isEmpty():
+            # Sums of doubles differ in their last digits from run to run; rounded multipliers, and all that follows, do not.
+            return state.select("source", "source_size", "target", "mean_size", F.round("multiplier", 8).alias("multiplier"))
         c, s = cells.alias("c"), state.alias("s")
-        rate = F.col("s.base") * F.exp(F.col("s.multiplier") + F.lit(length_tilt) * F.col("c.size") / F.col("s.mean_size"))
-        tokens = F.col("c.n") * F.col("c.size")
+        x = F.col("c.size") / F.col("s.mean_size")
+        rate, tokens = rates(F.col("c.size"), F.col("s.mean_size"), F.col("s.multiplier"), base, cap), F.col("c.n") * F.col("c.size")
         sums = (
-            c.join(s, F.col("c.source").eqNullSafe(F.col("s.source")))
+            c.join(s.filter("NOT s.done"), F.col("c.source").eqNullSafe(F.col("s.source")))
             .groupBy(F.col("s.source").alias("source"))
-            .agg(F.sum(tokens * F.least(rate, F.lit(cap))).alias("taken"), F.sum(F.when(rate < cap, tokens * rate).otherwise(0.0)).alias("curvature"))
+            .agg(F.sum(tokens * rate).alias("taken"), F.sum(F.when(rate < cap, tokens * rate * x).otherwise(0.0)).alias("curvature"))
         )
         u = sums.alias("u")
         gradient = F.col("u.taken") - F.col("s.target")
@@ -87,28 +100,25 @@ def balance(cells: DataFrame, targets: DataFrame, base: float = 1.5, cap: float
         lo = F.when(gradient < 0, F.col("s.multiplier")).otherwise(F.col("s.lo"))
         hi = F.when(gradient > 0, F.col("s.multiplier")).otherwise(F.col("s.hi"))
         inside = newton.isNotNull() & (newton > lo) & (newton < hi)
-        done = F.abs(gradient) <= F.greatest(F.col("s.target"), F.lit(1.0)) * TOLERANCE
+        reached = F.col("s.done") | (F.abs(gradient) <= F.greatest(F.col("s.target"), F.lit(1.0)) * TOLERANCE) | (hi - lo < 1e-11)
         state = settle(
-            s.join(u, F.col("s.source").eqNullSafe(F.col("u.source"))).select(
-                F.col("s.source").alias("source"), "s.source_size", "s.target", "s.mean_size", "s.base",
-                F.when(done | (hi - lo < 1e-12), F.col("s.multiplier")).when(inside, newton).otherwise((lo + hi) / 2).alias("multiplier"),
-                lo.alias("lo"), hi.alias("hi"), (done | (hi - lo < 1e-12)).alias("done"),
+            s.join(u, F.col("s.source").eqNullSafe(F.col("u.source")), "left").select(
+                F.col("s.source").alias("source"), "s.source_size", "s.target", "s.mean_size",
+                F.when(reached, F.col("s.multiplier")).when(inside, newton).otherwise((lo + hi) / 2).alias("multiplier"),
+                lo.alias("lo"), hi.alias("hi"), reached.alias("done"),
             )
         )
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    # Sums of doubles differ in their last digits from run to run; rounded multipliers, and all that follows, do not.
-    return state.select("source", "source_size", "target", "mean_size", "base", F.round("multiplier", 8).alias("multiplier"))
+    raise RuntimeError("the multipliers did not settle")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, length_tilt: float = 0.0, seed: int = 0, split: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 0, split: int = 20_000) -> DataFrame:
     """``docs`` (doc_id, source, size) with ``source_size, target, rate, copies``."""
     narrow = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
     cells = settle(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = source_targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
-    solved = balance(cells, targets, share, cap, length_tilt)
+    solved = balance(cells, targets, share, cap)
     c, m = cells.alias("c"), solved.alias("m")
-    rate = F.least(F.lit(float(cap)), F.col("base") * F.exp(F.col("multiplier") + F.lit(length_tilt) * F.col("size") / F.col("mean_size")))
+    rate = rates(F.col("size"), F.col("mean_size"), F.col("multiplier"), share, cap)
     rated = c.join(m, F.col("c.source").eqNullSafe(F.col("m.source"))).select(F.col("c.source").alias("source"), F.col("c.size").alias("size"), "n", "source_size", "target", rate.alias("rate"))
     upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
     whole = F.floor(F.col("rate") + 1e-9)
