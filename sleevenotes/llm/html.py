@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a wrapper. A page's element tree (block elements only; siblings of the same tag and class count
-as one repeated element) is aligned with those of the other pages by simple tree matching: two trees match if their
+as one repeated element, the list of a wrapper) is aligned with those of the other pages by simple tree matching: two trees match if their
 roots do, and their children are matched in order so that the most nodes match. Aligned nodes become one node of the
 host's template, the others optional nodes. Pages are then aligned with their host's template, and the distinct pages (copies of
 a page count once) that have a text in a node are counted, all of them. Text that nearly all pages with a node have
@@ -20,7 +20,7 @@ once for the counts and once, with the constant texts, for the result; they are
 small, and otherwise joined with the hot hosts' pages salted over copies. Counts by host, node and text are combined
 before they are shuffled.
 
-Defined cases: null or empty html gives an empty text; a null url, or one without host, has the host ""; a host with
+Defined cases: elements may be nested to any depth; null or empty html gives an empty text; a null url, or one without host, has the host ""; a host with
 fewer than ``EVIDENCE`` distinct pages has no constants; repeated rows are extracted alike; other columns play no part.
 """
 
@@ -30,9 +30,11 @@ import hashlib
 import html as entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,11 +79,77 @@ def _tokens(attributes: str) -> set[str]:
     return {t for t in (MARKS.sub("", raw).strip("-_") for raw in named.lower().split()) if t}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(path, text) of every piece of text of a page, in order. A path names the block elements around it."""
+class Node:
+    """An element of a page or a template: signature, children in order, and what follows from its place."""
+
+    __slots__ = ("sign", "parent", "children", "by_sign", "number", "depth", "key", "beside", "inside", "used", "shape", "count")
+
+    def __init__(self, sign: str, parent: Node | None = None):
+        self.sign, self.parent, self.children, self.by_sign = sign, parent, [], {}
+        self.number, self.used, self.shape, self.count = 0, False, 0, 1
+        if parent is None:
+            self.depth, self.key, self.beside, self.inside = 0, 0, False, False
+            return
+        tag, *words = sign.split(".")
+        self.depth, self.key = parent.depth + 1, xxhash.xxh3_64_intdigest(sign, parent.key)
+        self.inside = parent.inside or tag in ("article", "main")
+        # Whether the element is outside the article: some element around it, or itself, says so.
+        self.beside = parent.beside or tag in BESIDES or (tag not in WHOLE and not BESIDE_WORDS.isdisjoint(words)) or (tag == "header" and not parent.inside)
+
+    def child(self, sign: str) -> Node:
+        """The child of a signature; siblings of one signature are one node."""
+        found = self.by_sign.get(sign)
+        if found is None:
+            found = self.by_sign[sign] = Node(sign, self)
+            self.children.append(found)
+        return found
+
+    def use(self) -> None:
+        node: Node | None = self
+        while node is not None and not node.used:
+            node.used, node = True, node.parent
+
+    def in_order(self) -> list[Node]:
+        """The node and all below it, in preorder."""
+        out, todo = [], [self]
+        while todo:
+            node = todo.pop()
+            out.append(node)
+            todo.extend(reversed(node.children))
+        return out
+
+    def finish(self) -> Node:
+        """Numbers the nodes in preorder (the root is 0), and takes a hash of every subtree."""
+        nodes = self.in_order()
+        for n, node in enumerate(nodes):
+            node.number = n
+        for node in reversed(nodes):
+            node.count = 1 + sum(c.count for c in node.children)
+            node.shape = hash((node.sign, *[c.shape for c in node.children]))
+        return self
+
+    def dump(self) -> str:
+        return json.dumps([[node.depth, node.sign] for node in self.in_order()])
+
+    @classmethod
+    def load(cls, raw: str) -> Node:
+        open_: list[Node] = []
+        for depth, sign in json.loads(raw):
+            del open_[depth:]
+            node = cls(sign, open_[-1] if open_ else None)
+            if open_:
+                open_[-1].children.append(node)
+            open_.append(node)
+        return open_[0].finish()
+
+
+def blocks(page: str) -> tuple[Node, list[tuple[Node, str]]]:
+    """A page as a tree of its block elements that hold text, and every piece of text with its node, in order."""
+    root = Node("")
     stack: list[str] = []  # open elements; inline ones too
-    signs: list[str] = []  # signature of each
-    out: list[tuple[tuple[str, ...], str]] = []
+    nodes: list[Node | None] = []  # block elements among them
+    around = [root]
+    out: list[tuple[Node, str]] = []
     pending: list[str] = []
 
     def flush() -> None:
@@ -89,12 +157,15 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                out.append((tuple(s for s in signs if s), text))
+                around[-1].use()
+                out.append((around[-1], text))
 
     def close(at: int) -> None:
-        if any(signs[at:]):
+        ended = sum(n is not None for n in nodes[at:])
+        if ended:
             flush()
-        del stack[at:], signs[at:]
+            del around[-ended:]
+        del stack[at:], nodes[at:]
 
     end = 0
     for m in TOKEN.finditer(page):
@@ -128,7 +199,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                     sign = tag + "." + ".".join(sorted(words))
             if not m[4].rstrip().endswith("/"):
                 stack.append(tag)
-                signs.append(sign)
+                nodes.append(around[-1].child(sign) if sign else None)
+                if sign:
+                    around.append(nodes[-1])
         elif m[2]:
             tag = m[2].lower()
             for i in range(len(stack) - 1, -1, -1):
@@ -140,131 +213,101 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     if end < len(page):
         pending.append(page[end:])
     flush()
-    return out
+    for node in root.in_order():
+        node.children = [c for c in node.children if c.used]
+    return root.finish(), out
 
 
-class Node:
-    """An element of a template: signature, children in order, and (once numbered) its place in preorder."""
+class Matching:
+    """Simple tree matching of two trees: two nodes match if their signatures do, and their children are matched in order
+    so that the most nodes match. Subtrees of one shape match whole."""
 
-    __slots__ = ("sign", "children", "number")
-
-    def __init__(self, sign: str):
-        self.sign, self.children, self.number = sign, [], 0
-
-    def dump(self) -> list:
-        return [self.sign, [c.dump() for c in self.children]]
-
-    @classmethod
-    def load(cls, raw: list) -> Node:
-        node = cls(raw[0])
-        node.children = [cls.load(c) for c in raw[1]]
-        return node
-
-    def numbered(self) -> Node:
-        """Numbers the nodes in preorder; the root is 0."""
-        todo, n = [self], 0
+    def __init__(self, a: Node, b: Node):
+        self.kept: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * (a.count + b.count) + 10_000))  # trees may be chains
+        self.total = self.weigh(a, b)
+        self.pairs: list[tuple[Node, Node]] = []  # below the roots
+        todo = [(a, b)] if self.total else []
         while todo:
-            node = todo.pop()
-            node.number, n = n, n + 1
-            todo.extend(reversed(node.children))
-        return self
-
-
-def tree(found: list[tuple[tuple[str, ...], str]]) -> Node:
-    """A page as a tree; siblings of one signature are one node."""
-    root = Node("")
-    for path in dict.fromkeys(path for path, _ in found):
-        node = root
-        for sign in path:
-            node = next((c for c in node.children if c.sign == sign), None) or _add(node, sign)
-    return root
-
-
-def places(found: list[tuple[tuple[str, ...], str]], template: Node) -> dict[tuple[str, ...], int]:
-    """Number of the template's node for every path of a page that is aligned with one."""
-    own = tree(found)
-    partner = {id(y): x for x, y in match(template, own)[1]}
-    out: dict[tuple[str, ...], int] = {(): template.number}
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        for c in node.children:
-            if id(c) in partner:
-                out[*path, c.sign] = partner[id(c)].number
-            walk(c, (*path, c.sign))
-
-    walk(own, ())
-    return out
-
-
-def _add(node: Node, sign: str) -> Node:
-    node.children.append(Node(sign))
-    return node.children[-1]
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: number of matched nodes, and the matched pairs below the roots."""
-    if a.sign != b.sign:
-        return 0, []
-    n, m = len(a.children), len(b.children)
-    if [c.sign for c in a.children] == [c.sign for c in b.children]:  # the usual case needs no table
-        pairs, total = [], 1
-        for x, y in zip(a.children, b.children, strict=True):
-            w, below = match(x, y)
-            total += w
-            pairs += [(x, y), *below]
-        return total, pairs
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    found: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            w = found[i, j] = match(a.children[i - 1], b.children[j - 1])
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w[0] if w[0] else 0)
-    pairs, i, j = [], n, m
-    while i and j:
-        w = found[i, j]
-        if w[0] and best[i][j] == best[i - 1][j - 1] + w[0]:
-            pairs += [(a.children[i - 1], b.children[j - 1]), *w[1]]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[n][m] + 1, pairs
+            x, y = todo.pop()
+            below = list(zip(x.children, y.children, strict=True)) if x.shape == y.shape else self.kept[id(x), id(y)][1]
+            self.pairs += below
+            todo += below
+
+    def weigh(self, a: Node, b: Node) -> int:
+        if a.sign != b.sign:
+            return 0
+        if a.shape == b.shape:
+            return a.count
+        found = self.kept.get((id(a), id(b)))
+        if found is None:
+            found = self.kept[id(a), id(b)] = self.children(a, b)
+        return found[0] + 1
+
+    def children(self, a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+        """The heaviest chain of child pairs, both sides in order. Only pairs of one signature count, so a table of the
+        best chains by last place in b, kept as prefix maxima, takes the place of a table of all pairs."""
+        where: dict[str, list[int]] = {}
+        for j, c in enumerate(b.children):
+            where.setdefault(c.sign, []).append(j)
+        size = len(b.children)
+        best: list[tuple[int, int]] = [(0, -1)] * (size + 1)
+        chain: list[tuple[int, Node, Node]] = []  # (chain before, pair)
+        for x in a.children:
+            for j in reversed(where.get(x.sign, ())):
+                w, before, k = 0, -1, j
+                while k:  # best chain that ends before place j
+                    if best[k][0] > w:
+                        w, before = best[k]
+                    k -= k & -k
+                w += self.weigh(x, b.children[j])
+                chain.append((before, x, b.children[j]))
+                k = j + 1
+                while k <= size:
+                    if best[k][0] < w:
+                        best[k] = (w, len(chain) - 1)
+                    k += k & -k
+        w, at, k = 0, -1, size
+        while k:
+            if best[k][0] > w:
+                w, at = best[k]
+            k -= k & -k
+        pairs = []
+        while at >= 0:
+            at, x, y = chain[at]
+            pairs.append((x, y))
+        return w, pairs[::-1]
+
+
+def places(own: Node, template: Node) -> dict[int, int]:
+    """Number of the template's node by the number of every node of a page that is aligned with one."""
+    if own.shape == template.shape:
+        return dict(enumerate(range(own.count)))
+    return {0: 0} | {y.number: x.number for x, y in Matching(template, own).pairs}
 
 
 def merge(a: Node, b: Node) -> Node:
     """Template of two templates: matched nodes become one, the others stay, in order."""
-    _, pairs = match(a, b)
-    partner = {id(y): x for x, y in pairs}
-
-    def join(x: Node, y: Node) -> None:
-        at = 0
+    if a.shape == b.shape:
+        return a
+    partner = {id(y): x for x, y in Matching(a, b).pairs}
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        place = {id(c): k for k, c in enumerate(x.children)}
+        after: dict[int, list[Node]] = {}
+        at = -1
         for c in y.children:
             own = partner.get(id(c))
             if own is not None:
-                join(own, c)
-                at = x.children.index(own) + 1
+                todo.append((own, c))
+                at = place[id(own)]
             else:
-                x.children.insert(at, c)
-                at += 1
-
-    join(a, b)
-    return a
-
-
-def beside(path: tuple[str, ...]) -> bool:
-    """Whether a path leads outside the article."""
-    inside = False
-    for sign in path:
-        tag, *words = sign.split(".")
-        if tag in BESIDES or (tag not in WHOLE and BESIDE_WORDS.intersection(words)) or (tag == "header" and not inside):
-            return True
-        inside = inside or tag in ("article", "main")
-    return False
-
-
-def in_article(path: tuple[str, ...]) -> bool:
-    return any(sign.split(".")[0] in ("article", "main") for sign in path)
+                c.parent = x
+                after.setdefault(at, []).append(c)
+        if after:
+            x.children = after.get(-1, []) + [n for k, c in enumerate(x.children) for n in (c, *after.get(k, ()))]
+    return a.finish()
 
 
 class Wrapper:
@@ -272,7 +315,7 @@ class Wrapper:
     numbers of the nodes that hold the article on pages without an article or main element."""
 
     def __init__(self, template: str, constants: str | None, varying: str | None):
-        self.template = Node.load(json.loads(template)).numbered()
+        self.template = Node.load(template)
         found = json.loads(constants or "[]")
         self.constants = {(c["node"], c["text"]) for c in found}
         self.firm = {(c["node"], c["text"]) for c in found if c["firm"]}
@@ -280,31 +323,30 @@ class Wrapper:
 
     def _around(self, varying: set[int]) -> set[int]:
         """Numbers of the smallest element around all varying nodes and of all below it; of all nodes if none varies."""
-        common: list[Node] | None = None
-
-        def walk(node: Node, above: list[Node], path: tuple[str, ...]) -> None:
-            nonlocal common
-            if node.number in varying and not beside(path):
+        common: Node | None = None
+        for node in self.template.in_order():
+            if node.number in varying and not node.beside:
                 # A node's own text is in the element around it: siblings that are alike are one node.
-                common = above if common is None else [x for x, y in zip(common, above, strict=False) if x is y]
-            for c in node.children:
-                walk(c, [*above, node], (*path, c.sign))
-
-        walk(self.template, [], ())
-        out, todo = set(), [common[-1] if common else self.template]
-        while todo:
-            node = todo.pop()
-            out.add(node.number)
-            todo.extend(node.children)
-        return out
+                above = node.parent or node
+                if common is None:
+                    common = above
+                while common is not above:
+                    if common.depth >= above.depth:
+                        common = common.parent
+                    else:
+                        above = above.parent
+        return {node.number for node in (common or self.template).in_order()}
 
 
 def main_text(page: str, wrapper: Wrapper | None) -> str:
-    found = blocks(page)
-    at = places(found, wrapper.template) if wrapper is not None and found else {}
-    kept = [(path, text) for path, text in found if not beside(path)]
-    marked = [(path, text) for path, text in kept if in_article(path)]
-    pieces = [(text, path in at and (at[path], _text_hash(text)), bool(marked) or path not in at or at[path] in wrapper.article) for path, text in marked or kept]
+    own, found = blocks(page)
+    at = places(own, wrapper.template) if wrapper is not None and found else {}
+    kept_ = [(node, text) for node, text in found if not node.beside]
+    marked = [(node, text) for node, text in kept_ if node.inside]
+    pieces = []
+    for node, text in marked or kept_:
+        number = at.get(node.number)
+        pieces.append((text, number is not None and (number, _text_hash(text)), bool(marked) or number is None or number in wrapper.article))
     article = sum(len(text) for text, _, inside in pieces if inside)
     same = sum(len(text) for text, key, inside in pieces if inside and key and key in wrapper.firm)
     firm = wrapper.firm if wrapper is not None and 2 * same < article else frozenset()
@@ -317,14 +359,12 @@ def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Node] = {}
         seen: set[tuple[str, int]] = set()  # a structure that is in the template adds nothing
-        flush = lambda: pd.DataFrame([(h, json.dumps(t.dump())) for h, t in known.items()], columns=["host", "template"])
+        flush = lambda: pd.DataFrame([(h, t.dump()) for h, t in known.items()], columns=["host", "template"])
         for batch in batches:
             for host, page in zip(batch["host"], batch["html"], strict=True):
-                found = blocks(page)
-                structure = (host, hash(tuple(dict.fromkeys(path for path, _ in found))))
-                if structure not in seen:
-                    seen.add(structure)
-                    own = tree(found)
+                own, _ = blocks(page)
+                if (host, own.shape) not in seen:
+                    seen.add((host, own.shape))
                     known[host] = merge(known[host], own) if host in known else own
             if len(known) > hosts_at_once:
                 yield flush()
@@ -335,9 +375,9 @@ def templates(pages: DataFrame, hosts_at_once: int = 2000) -> DataFrame:
     def combine(group: pd.DataFrame) -> pd.DataFrame:
         total = None
         for raw in sorted(group["template"]):
-            node = Node.load(json.loads(raw))
+            node = Node.load(raw)
             total = node if total is None else merge(total, node)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [json.dumps(total.dump())]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [total.dump()]})
 
     partial = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).mapInPandas(fold, "host string, template string")
     return partial.groupBy("host").applyInPandas(combine, "host string, template string")
@@ -354,11 +394,11 @@ def constants(met: DataFrame) -> DataFrame:
                 if host not in known:
                     if len(known) > 500:
                         known.clear()
-                    known[host] = Node.load(json.loads(raw)).numbered()
-                found = blocks(page)
-                at = places(found, known[host])
-                pairs = dict.fromkeys((at[path], _text_hash(text)) for path, text in found if path in at)
-                whole = _text_hash("\x00".join("\x01".join((*path, text)) for path, text in found))
+                    known[host] = Node.load(raw)
+                own, found = blocks(page)
+                at = places(own, known[host])
+                pairs = dict.fromkeys((at[node.number], _text_hash(text)) for node, text in found if node.number in at)
+                whole = _text_hash("\x00".join(f"{node.key:x} {text}" for node, text in found))
                 rows.append((host, whole, [n for n, _ in pairs], [t for _, t in pairs]))
             yield pd.DataFrame(rows, columns=["host", "page", "nodes", "texts"])
 
