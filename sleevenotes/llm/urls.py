@@ -6,8 +6,8 @@ its path. The longest rule that fits decides.
 *Mined rules.* URLs of labelled pages become sets of tokens (scheme, host suffixes, path segments with digits folded,
 query keys). Spark's FP-growth mines token combinations together with the class item; rules "these tokens => bad" are
 kept if their confidence, support and count reach the limits, and pruned if a rule with fewer tokens, all among theirs,
-has at least their confidence. Matching uses an inverted index: a rule is filed under the rarest of its tokens, the
-tokens of a URL are looked up there, and a rule matches if all its tokens are in the URL.
+has at least their confidence. Matching uses an inverted index: a rule is filed under that of its tokens that the fewest
+URLs have, the tokens of a URL are looked up there, and a rule matches if all its tokens are in the URL.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no tokens, so only the default
 verdict (allow) can hold; without labels nothing is mined; a page labelled twice is bad if one label says so; repeated
@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import settle
 
@@ -77,11 +76,12 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, m
 def match(urls: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     """``key, matched_rules`` of the rows whose ``tokens`` hold all tokens of a rule, by the inverted index."""
     spread = rules.select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
-    common = spread.groupBy("token").agg(F.count("*").alias("in_rules"))
-    # The fewer rules share a token, the shorter its list: each rule is filed under its least shared token.
-    first = Window.partitionBy("rule_id").orderBy("in_rules", "token")
-    index = spread.join(common, "token").withColumn("r", F.row_number().over(first)).filter("r = 1").select("token", "rule_id", "antecedent")
-    looked = urls.select(key, "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    asked = urls.select(key, "tokens", F.explode("tokens").alias("token"))
+    # Counts are of those tokens alone that rules have; a token no URL has files its rule where nothing looks.
+    common = asked.join(spread.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("in_urls"))
+    rarest = F.min(F.struct(F.coalesce("in_urls", F.lit(0)).alias("in_urls"), "token"))["token"].alias("token")
+    index = settle(spread.join(common, "token", "left").groupBy("rule_id", "antecedent").agg(rarest))
+    looked = asked.join(index, "token")
     return looked.filter(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy(key).agg(F.count("*").alias("matched_rules"))
 
 
