@@ -1,4 +1,4 @@
 """All registered catalog queries."""
 
-from . import more_queries  # noqa: F401  registers its queries
+from . import more_queries, naming_queries, scanner_queries  # noqa: F401  they register their queries
 from .queries import QUERIES, SQL, c09_routing  # noqa: F401

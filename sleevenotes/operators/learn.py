@@ -5,23 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Risk tier of each kind of fix; default confidence and judged fixes needed by tier.
-TIERS = {
-    "safe": ("noise_removal", "whitespace", "comment_cleanup", "original_mix_strip", "feat_normalize", "filename_noise_flag", "artist_mismatch_flag"),
-    "moderate": ("fill_album_artist", "bpm_extraction", "bpm_cleanup", "key_extraction", "key_prefix_strip", "genre_normalize", "fill_from_folder"),
-    "destructive": ("artist_normalize", "encoding_repair", "id3_upgrade"),
-}
+from ..functions.tags import risk
+
+#: Default confidence and judged fixes needed, by risk.
 DEFAULTS = {"safe": 0.85, "moderate": 0.92, "destructive": 0.98}
 NEEDED = {"safe": 20, "moderate": 50, "destructive": 100}
 
 
-def tier(fix):  # noqa: ANN001, ANN201
-    out = F.lit("moderate")
-    for name in ("safe", "destructive"):
-        out = F.when(fix.isin(*TIERS[name]), name).otherwise(out)
-    return out
-
-
 def tallies(verdicts: DataFrame, by: list[str]) -> DataFrame:
     count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
     return verdicts.groupBy(*by).agg(F.count("*").alias("total"), count("accept").alias("accepted"), count("reject").alias("rejected"), count("skip").alias("skipped"))
@@ -29,7 +19,7 @@ def tallies(verdicts: DataFrame, by: list[str]) -> DataFrame:
 
 def learned(verdicts: DataFrame, by: list[str]) -> DataFrame:
     """Hit rate, graduation and blended confidence of each kind of fix (``by`` starts with fix_type)."""
-    t = tallies(verdicts, by).withColumn("risk_tier", tier(F.col("fix_type"))).withColumn("judged", F.col("accepted") + F.col("rejected"))
+    t = tallies(verdicts, by).withColumn("risk_tier", risk(F.col("fix_type"))).withColumn("judged", F.col("accepted") + F.col("rejected"))
     needed, default = F.lit(0), F.lit(0.0)
     for name in NEEDED:
         needed = F.when(F.col("risk_tier") == name, NEEDED[name]).otherwise(needed)
@@ -41,3 +31,9 @@ def learned(verdicts: DataFrame, by: list[str]) -> DataFrame:
         .withColumn("weight", weight).withColumn("learned_confidence", F.round(default * (1 - F.col("weight")) + F.col("hit_rate") * F.col("weight"), 4))
         .withColumn("to_graduation", F.greatest(F.lit(0), F.col("needed") - F.col("judged")))
     )
+
+
+def with_profile(rows: DataFrame, profiles: DataFrame, label: str) -> DataFrame:
+    """Adds ``source_label``: the profile whose comma-separated ``scan_labels`` hold the row's label, or the label itself."""
+    listed = profiles.select(F.explode(F.split("scan_labels", ",")).alias("_label"), "profile")
+    return rows.join(listed, F.col(label) == F.col("_label"), "left").withColumn("source_label", F.coalesce("profile", label)).drop("_label", "profile")
