@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .binding import let, once
 from .tags import squeeze, strip
 from .text import CONNECTORS
 
@@ -78,6 +79,7 @@ def capital(w: Column) -> Column:
     return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))
 
 
+@once
 def title_case(c: Column) -> Column:
     """Title case for names all in capitals or all in small letters; others stay."""
     ws = words(c)
@@ -95,6 +97,7 @@ def title_case(c: Column) -> Column:
     return F.when(F.size(lettered) == 0, c).when(caps, F.array_join(from_caps, " ")).when(F.forall(lettered, whispered), F.array_join(F.transform(ws, from_small), " ")).otherwise(c)
 
 
+@once
 def artist_display(c: Column, alias: Column | None = None, the: str = "keep-front") -> Column:
     """A name as it is shown: case, alias (if there is one, it is all), connectors, hyphens, and where "The" goes."""
     ws = words(strip(c))
@@ -109,6 +112,7 @@ def artist_display(c: Column, alias: Column | None = None, the: str = "keep-fron
     return F.when(F.coalesce(c, F.lit("")) == "", c).otherwise(F.coalesce(alias, plain) if alias is not None else plain)
 
 
+@once
 def artist_key(c: Column) -> Column:
     """Parts of a name, sorted, in small letters and without a leading "the": names of one artist have one key."""
     low = F.regexp_replace(strip(F.regexp_replace(F.lower(strip(c)), CONNECTORS, " & ")), r"^the\s+", "")
@@ -123,6 +127,7 @@ def same_artist(a: Column, b: Column, least: float = 0.92) -> Column:
     return (low(a) == low(b)) | (artist_key(a) == artist_key(b)) | near
 
 
+@once
 def bracket_kind(c: Column) -> Column:
     t = strip(c)
     out = F.lit("unknown")
@@ -131,6 +136,7 @@ def bracket_kind(c: Column) -> Column:
     return out
 
 
+@once
 def without_brackets(c: Column, passes: int = 8) -> Column:
     """Brackets of noise, promotion and formats taken off the end, one at a time."""
 
@@ -141,12 +147,14 @@ def without_brackets(c: Column, passes: int = 8) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), strip(c), step)
 
 
+@once
 def garbage(c: Column) -> Column:
     """Whether a tag's value is an address or a key and no name."""
     v = strip(c)
     return F.coalesce(v.rlike(GARBAGE_URL) | (F.lower(v).isin(KEY_NAMES) & (F.length(v) <= 4)), F.lit(False))
 
 
+@once
 def clean_title(c: Column, passes: int = 6) -> Column:
     """A title without underscores, addresses, handles, long ids and trailing phrases that say nothing, unless protected."""
     text = fold(F.replace(strip(c), F.lit("_"), F.lit(" ")), TRAILING_DOMAINS)
@@ -167,6 +175,7 @@ def clean_title(c: Column, passes: int = 6) -> Column:
     return F.when((F.size(small) > 0) & F.forall(small, whispered), title_case(strip(text))).otherwise(strip(text))
 
 
+@once
 def mix_suffix(c: Column) -> Column:
     """Struct (title, suffix): what a title says of its mix, in brackets."""
     some = "(?i)" + "|".join(MIX_WORDS)
@@ -187,6 +196,7 @@ def store_format(stem: Column, folder: Column) -> Column:
     return (stem != F.ltrim(stem)) | F.lower(folder).rlike("^(beatport|traxsource)") | listed
 
 
+@once
 def store_parts(stem: Column) -> Column:
     """Struct (artist, title, mix) of a store's file name "Title - Artist, Artist (Mix)"; the first artist stays."""
     mix = F.regexp_extract(strip(stem), STORE_MIX, 1)
@@ -199,24 +209,27 @@ def store_parts(stem: Column) -> Column:
 
 def file_parts(stem: Column, folder: Column) -> Column:
     """Struct (artist, title) that a file's name gives; nulls where it gives none."""
+    return let(F.struct(stem.alias("stem"), folder.alias("folder")), lambda x: _file_parts(x["stem"], x["folder"]))
+
+
+def _file_parts(stem: Column, folder: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(F.ltrim(stem), r"^\d-\d{2}\s+", ""), r"^[A-Da-d]\d{1,2}\s*[-–—]?\s+", "")
     s = F.regexp_replace(F.replace(F.replace(F.regexp_replace(strip(bare), r"\s+", " "), F.lit("_-_"), F.lit(" - ")), F.lit("_"), F.lit(" ")), r"\s+", " ")
     encoded = F.regexp_replace(strip(bare), r"\s+", " ").rlike(DJ_ENCODED)
     s = F.regexp_replace(strip(F.regexp_replace(strip(s), LONG_ID, "")), r"^[\[\(][^\]\)]+[\]\)]\s*", "")
     s = F.regexp_replace(F.regexp_replace(s, r"^\(?\d{1,3}\)?\s*[-–—\.]\s*", ""), r"^\d{1,3}\s+", "")
-    cut = lambda p: F.filter(F.transform(F.split(s, p), strip), lambda x: x != "")
-    parts = F.when(F.size(cut(r"\s+[-–—]\s+")) >= 2, cut(r"\s+[-–—]\s+")).otherwise(cut(r"\s*[-–—]\s*"))
-    group = F.element_at(parts, -1)
-    parts = F.when((F.size(parts) >= 3) & group.rlike("^[a-z]{2,5}$") & ~group.isin("mix", "rmx", "vip", "dub", "edit", "live", "demo", "ost", "dj", "va", "lp"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda text, p: F.filter(F.transform(F.split(text, p), strip), lambda x: x != "")
+    spaced = lambda text: let(cut(text, r"\s+[-–—]\s+"), lambda x: F.when(F.size(x) >= 2, x).otherwise(cut(text, r"\s*[-–—]\s*")))
+    group = lambda x: F.element_at(x, -1)
+    more = lambda x: F.when((F.size(x) >= 3) & group(x).rlike("^[a-z]{2,5}$") & ~group(x).isin("mix", "rmx", "vip", "dub", "edit", "live", "demo", "ost", "dj", "va", "lp"), F.slice(x, 1, F.size(x) - 1)).otherwise(x)
     pair = lambda a, t: F.struct(a.cast("string").alias("artist"), t.cast("string").alias("title"))
     none = F.lit(None)
-    store = store_parts(stem)
-    return (
-        F.when(store_format(stem, folder) & (store["artist"] != "") & (store["title"] != ""), pair(store["artist"], store["title"])).when(encoded, pair(none, none))
-        .when(F.size(parts) >= 2, pair(F.get(parts, F.lit(0)), F.array_join(F.slice(parts, 2, F.size(parts)), " - "))).when(F.size(parts) == 1, pair(none, F.get(parts, F.lit(0)))).otherwise(pair(none, none))
-    )
+    named = let(let(let(s, spaced), more), lambda x: F.when(F.size(x) >= 2, pair(F.get(x, F.lit(0)), F.array_join(F.slice(x, 2, F.size(x)), " - "))).when(F.size(x) == 1, pair(none, F.get(x, F.lit(0)))).otherwise(pair(none, none)))
+    store = let(store_parts(stem), lambda x: F.when((x["artist"] != "") & (x["title"] != ""), pair(x["artist"], x["title"])))
+    return F.coalesce(F.when(store_format(stem, folder), store), F.when(encoded, pair(none, none)), named)
 
 
+@once
 def dump_stem(stem: Column) -> Column:
     """A file's name from a dump folder without leading brackets and numbers; keys on the wheel stay."""
     s = squeeze(F.replace(fold(stem, [r"^\[.*?\]\s*", r"^\(.*?\)\s*"]), F.lit("_"), F.lit(" ")))
@@ -226,6 +239,7 @@ def dump_stem(stem: Column) -> Column:
     return strip(F.regexp_replace(strip(F.regexp_replace(s, r"[-–]\s*[-–]", "-")), r"^\s*[-–]\s*", ""))
 
 
+@once
 def dump_artist(stem: Column) -> Column:
     """The artist that a dump file's name begins with; null if none."""
     three, two = r"^(.+?)\s*[-–]\s*(.+?)\s*[-–]\s*(.+)$", r"^(.+?)\s*[-–]\s*(.+)$"
@@ -240,26 +254,31 @@ def decade(year: Column) -> Column:
     return F.when(year.isNotNull(), F.concat((F.floor(year / 10) * 10).cast("int").cast("string"), F.lit("s"))).otherwise("")
 
 
+@once
 def label_name(c: Column, passes: int = 3) -> Column:
     return F.coalesce(fold(strip(c), [LABEL_TAIL] * passes), F.lit(""))
 
 
+@once
 def safe_name(c: Column, instead: str = " - ") -> Column:
     """A name that every file system takes."""
     text = F.regexp_replace(F.regexp_replace(c, r"[\/\\]", " "), r'[\:\*\?\"\<\>\|]', instead)
     return strip(F.regexp_replace(strip(F.regexp_replace(text, r"\s+", " ")), r"[. ]+$", ""))
 
 
+@once
 def unreserved(c: Column) -> Column:
     stem = F.upper(F.when(c.rlike(r"^.+\.[^.]+$"), F.regexp_replace(c, r"\.[^.]+$", "")).otherwise(c))
     return F.when(stem.isin(RESERVED), F.concat(c, F.lit("_"))).otherwise(c)
 
 
+@once
 def slug(c: Column, most: int = 24) -> Column:
     text = F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"(?U)[^\w\s-]", ""), r"[\s_]+", "-")
     return F.substring(F.regexp_replace(F.regexp_replace(text, "-+", "-"), "^-+|-+$", ""), 1, most)
 
 
+@once
 def cluster_key(album: Column) -> Column:
     text = fold(F.lower(strip(album)), CLUSTER_TAILS)
     return F.coalesce(F.regexp_replace(strip(F.regexp_replace(text, r"(?U)[^\w\s]", "")), r"\s+", " "), F.lit(""))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 # Fixed values: (pattern, category, confidence), by field.
 NOISE = {
     "title": [
@@ -119,6 +121,7 @@ def without_noise(field: str, value: Column) -> Column:
     return squeeze(F.aggregate(noise(field, value), value, lambda text, hit: strip(F.replace(text, hit["matched"], F.lit("")))))
 
 
+@once
 def tempo(value: Column) -> Column:
     """Struct (bpm, confidence, matched) of the first pattern with a tempo from 50 to 220; null if there is none."""
     tries = []
@@ -128,6 +131,7 @@ def tempo(value: Column) -> Column:
     return F.coalesce(*tries)
 
 
+@once
 def musical_key(value: Column) -> Column:
     """Struct (key, notation, confidence) of the first pattern that names a key; wheel numbers go from 1 to 12."""
     tries = []
@@ -138,6 +142,7 @@ def musical_key(value: Column) -> Column:
     return F.coalesce(*tries)
 
 
+@once
 def key_prefix(artist: Column) -> Column:
     """Struct (key, artist) of an artist led by a wheel key; null if there is none."""
     k, rest = F.upper(F.regexp_extract(strip(artist), KEY_PREFIX, 1)), strip(F.regexp_extract(strip(artist), KEY_PREFIX, 2))
@@ -149,6 +154,7 @@ def primary(artist: Column) -> Column:
     return strip(F.regexp_replace(artist, FEATURING, ""))
 
 
+@once
 def repaired(value: Column) -> Column:
     """Struct (text, confidence) of a misencoded text put right: by letters, or by reading its bytes as UTF-8.
 
@@ -164,6 +170,7 @@ def repaired(value: Column) -> Column:
     return F.when(value.rlike("[\\x80-\\uFFFF]"), found)
 
 
+@once
 def spelling(name: Column) -> Column:
     """How well spelled a name looks: case of its words, and how its parts are joined."""
     words = F.filter(F.split(name, r"\s+"), lambda w: w != "")

@@ -152,29 +152,29 @@ def f15_titles(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("p_partkey", N.clean_title(t).alias("clean"), N.mix_suffix(t)["title"].alias("without_mix"), N.mix_suffix(t)["suffix"].alias("mix"))
 
 
-def _stems_sql() -> str:
+def stems_ctes(source: str, key: str) -> str:
+    """CTEs from ``source`` (``key``, stem, folder) to ``stems``: what the file's name says."""
     cut = lambda p: f"list_filter(list_transform(regexp_split_to_array(s, '{p}'), lambda x: trim(x)), lambda x: x <> '')"
     few = _list(["mix", "rmx", "vip", "dub", "edit", "live", "demo", "ost", "dj", "va", "lp"])
     three, two = r"^(.+?)\s*[-–]\s*(.+?)\s*[-–]\s*(.+)$", r"^(.+?)\s*[-–]\s*(.+)$"
-    return rf"""WITH n AS (SELECT p_partkey, {pick(STEMS, 'p_partkey')} AS stem, {pick(['Beatport 1', 'x', 'x'], 'p_partkey')} AS folder FROM part),
-    a AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(ltrim(stem), '^\d-\d{{2}}\s+', ''), '^[A-Da-d]\d{{1,2}}\s*[-–—]?\s+', ''), '\s+', ' ', 'g')) AS bare, regexp_extract(stem, {_q(N.STORE_MULTI)}, 1) AS st, regexp_extract(stem, {_q(N.STORE_MULTI)}, 2) AS sa,
-      regexp_extract(trim(stem), {_q(N.STORE_MIX)}, 1) AS smix, trim(regexp_replace(trim(stem), {_q(N.STORE_MIX)}, '')) AS srest FROM n),
-    b AS (SELECT *, stem <> ltrim(stem) OR regexp_matches(lower(folder), '^(beatport|traxsource)') OR (contains(sa, ',') AND NOT contains(st, ',') AND NOT regexp_matches(st, '^\d{{1,3}}[\s-]')) AS store, regexp_matches(bare, {_q(N.DJ_ENCODED)}) AS encoded,
+    return rf"""st_a AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(ltrim(stem), '^\d-\d{{2}}\s+', ''), '^[A-Da-d]\d{{1,2}}\s*[-–—]?\s+', ''), '\s+', ' ', 'g')) AS bare, regexp_extract(stem, {_q(N.STORE_MULTI)}, 1) AS st, regexp_extract(stem, {_q(N.STORE_MULTI)}, 2) AS sa,
+      regexp_extract(trim(stem), {_q(N.STORE_MIX)}, 1) AS smix, trim(regexp_replace(trim(stem), {_q(N.STORE_MIX)}, '')) AS srest FROM {source}),
+    st_b AS (SELECT *, stem <> ltrim(stem) OR regexp_matches(lower(folder), '^(beatport|traxsource)') OR (contains(sa, ',') AND NOT contains(st, ',') AND NOT regexp_matches(st, '^\d{{1,3}}[\s-]')) AS store, regexp_matches(bare, {_q(N.DJ_ENCODED)}) AS encoded,
       regexp_extract(srest, '^(.*?)\s+-\s+(.*)$', 1) AS xt, regexp_extract(srest, '^(.*?)\s+-\s+(.*)$', 2) AS xa,
-      regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(replace(replace(bare, '_-_', ' - '), '_', ' '), '\s+', ' ', 'g')), {_q(N.LONG_ID)}, '')), '^[\[\(][^\]\)]+[\]\)]\s*', ''), '^\(?\d{{1,3}}\)?\s*[-–—.]\s*', ''), '^\d{{1,3}}\s+', '') AS s FROM a),
-    c AS (SELECT *, CASE WHEN len({cut(chr(92) + 's+[-–—]' + chr(92) + 's+')}) >= 2 THEN {cut(chr(92) + 's+[-–—]' + chr(92) + 's+')} ELSE {cut(chr(92) + 's*[-–—]' + chr(92) + 's*')} END AS p0, CASE WHEN xt = '' THEN srest ELSE trim(string_split(xa, ',')[1]) END AS store_artist, trim(xt) AS store_title FROM b),
-    d AS (SELECT *, CASE WHEN len(p0) >= 3 AND regexp_matches(p0[-1], '^[a-z]{{2,5}}$') AND NOT list_contains({few}, p0[-1]) THEN p0[:len(p0) - 1] ELSE p0 END AS p,
-      trim(regexp_replace(replace(trim(regexp_replace(trim(regexp_replace(stem, '^\[.*?\]\s*', '')), '^\(.*?\)\s*', '')), '_', ' '), '\s{{2,}}', ' ', 'g')) AS q FROM c),
-    e AS (SELECT *, CASE WHEN regexp_matches(q, '^(1[0-2]|[1-9])[ABabdDmM]\s*[-–.\s]') THEN trim(regexp_replace(q, '^\d{{1,3}}[\s.-]+(\d)', '\1')) ELSE trim(regexp_replace(q, '^\d{{1,3}}[a-zA-Z]?[\s.-]+', '')) END AS q2 FROM d),
-    f AS (SELECT *, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(q2, '^[A-Z]\d{{1,2}}[\s.-]+([A-Z])', '\1')), '[-–]\s*[-–]', '-', 'g')), '^\s*[-–]\s*', '')) AS dump FROM e),
-    g AS (SELECT *, trim(regexp_extract(dump, {_q(three)}, 1)) AS d1, trim(regexp_extract(dump, {_q(three)}, 2)) AS d2, trim(regexp_extract(dump, {_q(two)}, 1)) AS lone FROM f),
-    h AS (SELECT *, CASE WHEN length(d1) <= 3 AND regexp_matches(d1, '^\d+[a-zA-Z]?$') THEN d2 ELSE d1 END AS chosen FROM g)
-    SELECT p_partkey, store, encoded, CASE WHEN store AND store_artist <> '' AND store_title <> '' THEN store_artist WHEN encoded THEN NULL WHEN len(p) >= 2 THEN p[1] END AS artist,
+      regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(trim(regexp_replace(replace(replace(bare, '_-_', ' - '), '_', ' '), '\s+', ' ', 'g')), {_q(N.LONG_ID)}, '')), '^[\[\(][^\]\)]+[\]\)]\s*', ''), '^\(?\d{{1,3}}\)?\s*[-–—.]\s*', ''), '^\d{{1,3}}\s+', '') AS s FROM st_a),
+    st_c AS (SELECT *, CASE WHEN len({cut(chr(92) + 's+[-–—]' + chr(92) + 's+')}) >= 2 THEN {cut(chr(92) + 's+[-–—]' + chr(92) + 's+')} ELSE {cut(chr(92) + 's*[-–—]' + chr(92) + 's*')} END AS p0, CASE WHEN xt = '' THEN srest ELSE trim(string_split(xa, ',')[1]) END AS store_artist, trim(xt) AS store_title FROM st_b),
+    st_d AS (SELECT *, CASE WHEN len(p0) >= 3 AND regexp_matches(p0[-1], '^[a-z]{{2,5}}$') AND NOT list_contains({few}, p0[-1]) THEN p0[:len(p0) - 1] ELSE p0 END AS p,
+      trim(regexp_replace(replace(trim(regexp_replace(trim(regexp_replace(stem, '^\[.*?\]\s*', '')), '^\(.*?\)\s*', '')), '_', ' '), '\s{{2,}}', ' ', 'g')) AS q FROM st_c),
+    st_e AS (SELECT *, CASE WHEN regexp_matches(q, '^(1[0-2]|[1-9])[ABabdDmM]\s*[-–.\s]') THEN trim(regexp_replace(q, '^\d{{1,3}}[\s.-]+(\d)', '\1')) ELSE trim(regexp_replace(q, '^\d{{1,3}}[a-zA-Z]?[\s.-]+', '')) END AS q2 FROM st_d),
+    st_f AS (SELECT *, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(q2, '^[A-Z]\d{{1,2}}[\s.-]+([A-Z])', '\1')), '[-–]\s*[-–]', '-', 'g')), '^\s*[-–]\s*', '')) AS dump FROM st_e),
+    st_g AS (SELECT *, trim(regexp_extract(dump, {_q(three)}, 1)) AS d1, trim(regexp_extract(dump, {_q(three)}, 2)) AS d2, trim(regexp_extract(dump, {_q(two)}, 1)) AS lone FROM st_f),
+    st_h AS (SELECT *, CASE WHEN length(d1) <= 3 AND regexp_matches(d1, '^\d+[a-zA-Z]?$') THEN d2 ELSE d1 END AS chosen FROM st_g),
+    stems AS (SELECT {key}, store, encoded, CASE WHEN store AND store_artist <> '' AND store_title <> '' THEN store_artist WHEN encoded THEN NULL WHEN len(p) >= 2 THEN p[1] END AS artist,
       CASE WHEN store AND store_artist <> '' AND store_title <> '' THEN store_title WHEN encoded THEN NULL WHEN len(p) >= 2 THEN array_to_string(p[2:], ' - ') WHEN len(p) = 1 THEN p[1] END AS title, dump,
-      CASE WHEN regexp_matches(dump, {_q(three)}) AND length(chosen) > 1 AND NOT regexp_matches(chosen, '^\d+$') THEN chosen WHEN regexp_matches(dump, {_q(two)}) AND length(lone) > 1 AND NOT regexp_matches(lone, '^\d+$') THEN lone END AS dump_artist FROM h"""
+      CASE WHEN regexp_matches(dump, {_q(three)}) AND length(chosen) > 1 AND NOT regexp_matches(chosen, '^\d+$') THEN chosen WHEN regexp_matches(dump, {_q(two)}) AND length(lone) > 1 AND NOT regexp_matches(lone, '^\d+$') THEN lone END AS dump_artist FROM st_h)"""
 
 
-@query(_stems_sql())
+@query(f"WITH n AS (SELECT p_partkey, {pick(STEMS, 'p_partkey')} AS stem, {pick(['Beatport 1', 'x', 'x'], 'p_partkey')} AS folder FROM part), {stems_ctes('n', 'p_partkey')} SELECT * FROM stems")
 def f17_file_names(spark: SparkSession, sf: str) -> DataFrame:
     """Artists and titles that file names give."""
     s, f = F.col("stem"), F.col("folder")
