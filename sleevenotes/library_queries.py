@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import text as T
-from .naming_queries import _list, display_sql, fold_sql, folders_ctes, parsed_ctes, safe_sql, stems_ctes, title_sql
-from .operators import library, naming, proposals
+from .naming_queries import BRACKET_MIX, DASH_MIX, KEY, MIXES, _list, clean_title_sql, display_sql, fold_sql, folders_ctes, parsed_ctes, safe_sql, stems_ctes, title_sql
+from .operators import classify, context, library, proposals
 from .operators.classify import EP_NAME, MIX_NAME, VARIOUS
 from .queries import SIMILAR_SQL, query
-from .scanner_queries import _q
-from .sources.raw import RAW_SQL, raw_files
+from .scanner_queries import CONTEXT_SQL, _q
+from .sources.adapters import read
+from .sources.raw import FIELDS, RAW_SQL, pick, raw_files
 
 # DuckDB forms
 
@@ -166,3 +169,190 @@ DECISIONS = ["folder_type", "va_rule", "artist_display", "album_display", "year_
 def c34_explained(spark: SparkSession, sf: str) -> DataFrame:
     """Votes and decisions of every folder as rows (C34); factors are in c01."""
     return proposals.explain(proposals.propose(raw_files(spark, sf))).filter("section != 'factor'")
+
+
+# Duplicates: all files arrive again; the library holds the numbered ones, some folders of it in another format.
+
+WORDS_SQL = lambda x: rf"list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '^\d+[.\-_\s]+', ''), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')), ' ')), lambda w: w <> '')"
+SIDES_SQL = f"""{RAW_SQL}, inc AS (SELECT folder_path AS pair, title, filename, ext, size FROM v_raw), exi AS (SELECT folder_path AS pair, title, CASE WHEN length(folder_name) % 4 = 0 THEN regexp_replace(filename, '[.][^.]*$', '.mp3') ELSE filename END AS filename, CASE WHEN length(folder_name) % 4 = 0 THEN '.mp3' ELSE ext END AS ext, size FROM v_raw WHERE track_number IS NOT NULL)"""
+COMPARED_SQL = f"""{SIDES_SQL}, iw AS (SELECT DISTINCT pair, list_sort({WORDS_SQL('title')}) AS w FROM inc), ew AS (SELECT DISTINCT pair, list_sort({WORDS_SQL('title')}) AS w FROM exi),
+  bw AS (SELECT iw.pair, iw.w, coalesce(max(len(list_intersect(iw.w, ew.w)) * 1.0 / len(list_distinct(list_concat(iw.w, ew.w)))), 0) >= 0.9 AS hit FROM iw LEFT JOIN ew ON iw.pair = ew.pair GROUP BY ALL), mt AS (SELECT pair, count_if(hit) AS matched, count_if(NOT hit) AS missing FROM bw GROUP BY pair),
+  fi AS (SELECT pair, count(*) AS n, sum(size) AS b, list_sort(list(DISTINCT ext)) AS f, count(DISTINCT list_sort({WORDS_SQL('title')})) AS t FROM inc GROUP BY pair), fe AS (SELECT pair, count(*) AS n, sum(size) AS b, list_sort(list(DISTINCT ext)) AS f, count(DISTINCT list_sort({WORDS_SQL('title')})) AS t FROM exi GROUP BY pair),
+  compared AS (SELECT mt.pair, CASE WHEN list_contains(fi.f, '.flac') AND NOT list_contains(fe.f, '.flac') AND matched >= greatest(1, fi.t - 1) THEN 'format_upgrade' WHEN list_contains(fe.f, '.flac') AND NOT list_contains(fi.f, '.flac') AND matched >= greatest(1, fi.t - 1) THEN 'lower_quality_mp3'
+    WHEN missing = 0 AND fi.f = fe.f THEN CASE WHEN fe.b = 0 OR abs(fi.b - fe.b) * 1.0 / greatest(fe.b, 1) <= 0.01 THEN 'exact_duplicate' ELSE 'partial_overlap' END WHEN missing > 0 AND matched > 0 THEN 'missing_tracks' ELSE 'partial_overlap' END AS outcome,
+    matched, missing, fe.t - matched AS unmatched_existing, array_to_string(fi.f, '|') AS incoming_formats, array_to_string(fe.f, '|') AS existing_formats, fi.n AS incoming_files, fe.n AS existing_files FROM mt JOIN fi USING (pair) JOIN fe USING (pair))"""
+
+
+def _sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    files = raw_files(spark, sf)
+    other = F.length("folder_name") % 4 == 0
+    pair = F.col("folder_path").alias("pair")
+    incoming = files.select(pair, "title", "filename", "ext", "size")
+    existing = files.filter("track_number IS NOT NULL").select(pair, "title", F.when(other, F.regexp_replace("filename", r"\.[^.]*$", ".mp3")).otherwise(F.col("filename")).alias("filename"), F.when(other, ".mp3").otherwise(F.col("ext")).alias("ext"), "size")
+    return incoming, existing
+
+
+@query(
+    f"""WITH {COMPARED_SQL} SELECT *, CASE outcome WHEN 'missing_tracks' THEN 'merged' WHEN 'format_upgrade' THEN 'flac_upgrade' ELSE outcome END AS resolution, CASE outcome WHEN 'missing_tracks' THEN 'merged' WHEN 'format_upgrade' THEN 'clean' ELSE 'duplicate' END AS destination FROM compared"""
+)
+def c11_duplicate_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    """Incoming folders against the library, and what becomes of them."""
+    return library.resolve(library.compare_folders(*_sides(spark, sf)), flac_apart=True)
+
+
+@query(
+    f"""WITH {COMPARED_SQL}, lack AS (SELECT pair, w FROM bw WHERE NOT hit), asked AS (SELECT inc.*, list_sort({WORDS_SQL('title')}) AS w FROM inc JOIN compared USING (pair) WHERE outcome = 'missing_tracks'), there AS (SELECT DISTINCT pair, filename FROM exi)
+    SELECT a.pair, a.title, a.filename, CASE WHEN t.filename IS NULL THEN a.filename ELSE regexp_replace(a.filename, '([.][^.]*)$', '_merged\\1') END AS final FROM asked a JOIN lack USING (pair, w) LEFT JOIN there t ON a.pair = t.pair AND a.filename = t.filename"""
+)
+def j26_missing_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks to merge into the folders that lack them."""
+    incoming, existing = _sides(spark, sf)
+    return library.merge_plan(incoming, existing, library.compare_folders(incoming, existing))
+
+
+DIFFER = ["p_brand", "p_type", "p_size"]
+
+
+@query(
+    "WITH a AS (SELECT p_name AS name, min(p_brand) AS p_brand, min(p_type) AS p_type, min(p_size) AS p_size FROM part WHERE p_partkey % 3 <> 0 GROUP BY 1), b AS (SELECT p_name AS name, max(p_brand) AS p_brand, max(p_type) AS p_type, min(p_size) AS p_size FROM part WHERE p_partkey % 3 <> 1 GROUP BY 1) "
+    "SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'only_a' WHEN a.name IS NULL THEN 'only_b' ELSE 'common' END AS side, array_to_string(list_filter(["
+    + ", ".join(f"CASE WHEN a.name IS NOT NULL AND b.name IS NOT NULL AND a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in DIFFER)
+    + "], lambda x: x IS NOT NULL), '|') AS differ FROM a FULL JOIN b ON a.name = b.name"
+)
+def j10_folder_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Two folders' tracks side by side, with the tags that differ."""
+    part = read(spark, sf, "part")
+    a = part.filter("p_partkey % 3 <> 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_brand").alias("p_brand"), F.min("p_type").alias("p_type"), F.min("p_size").alias("p_size"))
+    b = part.filter("p_partkey % 3 <> 1").groupBy(F.col("p_name").alias("name")).agg(F.max("p_brand").alias("p_brand"), F.max("p_type").alias("p_type"), F.min("p_size").alias("p_size"))
+    return library.tag_differences(a, b, "name", DIFFER)
+
+
+# Crates, dumps, renames
+
+K_SQL = "CASE WHEN try_cast(regexp_extract(track_number, '^\\s*([0-9]+)', 1) AS INT) <> 0 THEN try_cast(regexp_extract(track_number, '^\\s*([0-9]+)', 1) AS INT) END"
+
+
+@query(
+    f"""WITH {RAW_SQL}, rel AS (SELECT folder_path, lower(trim(artist)) AS ak, lower(trim(album)) AS bk, count(*) AS n, count({K_SQL}) AS numbered, count(DISTINCT {K_SQL}) AS d, min({K_SQL}) AS lo, max({K_SQL}) AS hi, arg_min(trim(album), file_id) AS display FROM v_raw WHERE trim(artist) <> '' AND trim(album) <> '' GROUP BY ALL),
+    kept AS (SELECT * FROM rel WHERE n >= 2 AND numbered = d AND numbered > 0 AND coalesce(hi - lo + 1 - d, 0) <= greatest(1, n // 4)),
+    m AS (SELECT r.*, coalesce(trim(artist), '') AS a, coalesce(trim(title), '') AS t, {K_SQL} AS k, display FROM v_raw r LEFT JOIN kept ON kept.folder_path = r.folder_path AND ak = lower(trim(artist)) AND bk = lower(trim(album))),
+    g AS (SELECT *, a <> '' AND NOT {garbage_sql('a')} AS ga, t <> '' AND NOT {garbage_sql('t')} AS gt, display IS NOT NULL AND k IS NOT NULL AS rel FROM m),
+    s AS (SELECT *, round(least(1.0, CASE WHEN a <> '' THEN 0.30 ELSE 0 END + CASE WHEN t <> '' THEN 0.25 ELSE 0 END + CASE WHEN coalesce(genre, '') <> '' THEN 0.10 ELSE 0 END + CASE WHEN coalesce(year, '') <> '' THEN 0.05 ELSE 0 END + CASE WHEN coalesce(bpm, '') <> '' THEN 0.05 ELSE 0 END
+      + CASE WHEN ga THEN 0.15 ELSE 0 END + CASE WHEN gt THEN 0.10 ELSE 0 END + CASE WHEN rel THEN 0.10 ELSE 0 END) + 1e-9, 4) AS c FROM g),
+    e AS (SELECT *, CASE WHEN c >= 0.85 AND (rel OR (a <> '' AND t <> '')) THEN 'clean' ELSE 'review' END AS dest FROM s)
+    SELECT file_id, dest AS destination, dest || '/' || CASE WHEN a <> '' THEN {display_sql('a')} ELSE '_Unsorted' END || '/' || CASE WHEN rel THEN {safe_sql('display')} ELSE 'Singles' END || '/' || CASE WHEN t = '' THEN filename WHEN rel THEN lpad(CAST(k AS VARCHAR), 2, '0') || ' - ' || {safe_sql('t')} || ext ELSE {safe_sql('t')} || ext END AS target_path, c AS confidence,
+      CASE WHEN rel THEN 'embedded_release: ' || display ELSE coalesce(nullif(array_to_string(list_filter([CASE WHEN a = '' THEN 'no_artist' END, CASE WHEN t = '' THEN 'no_title' END, CASE WHEN NOT ga THEN 'noisy_artist' END, CASE WHEN NOT gt THEN 'noisy_title' END], lambda x: x IS NOT NULL), ', '), ''), 'ok') END AS reason, CASE WHEN rel THEN k END AS track_number FROM e"""
+)
+def c06_crate_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each track of a crate goes."""
+    files = raw_files(spark, sf)
+    found = classify.embedded_releases(files, ["folder_path"], F.col("artist"), F.col("album"), T.track_number(F.col("track_number")), least=2)
+    shown = files.select(F.col("file_id").alias("first_file"), F.trim("album").alias("display"))
+    return library.crate_plan(files, found.join(shown, "first_file").select("folder_path", "artist_key", "album_key", "display"), to_review=False)
+
+
+def rename_sql() -> str:
+    return rf"""WITH {PROPOSED_SQL}, kd AS (SELECT folder_path, CASE WHEN is_va THEN 'various' WHEN album_share < 0.75 THEN 'mixed' WHEN artist_share < 0.50 THEN CASE WHEN coalesce(aa_vote, '') <> '' AND starts_with(artist_vote, aa_vote) THEN 'album' ELSE 'various' END ELSE 'album' END AS kind FROM proposed),
+    rs AS (SELECT file_id AS fid, folder_path, folder_name AS folder, regexp_replace(filename, '[.][^.]*$', '') AS stem FROM v_raw), {re.sub(r"[|]st_", "rn_", re.sub(r"(?<![a-z])st_", "|st_", stems_ctes('rs', 'fid'))).replace('stems AS', 'rstems AS')},
+    r0 AS (SELECT r.file_id, r.folder_path, kind, lower(ext) AS ext, {K_SQL} AS tagk, try_cast(regexp_extract(trim(filename), '^(\d{{1,3}})', 1) AS INT) AS fk, CASE WHEN length(trim(r.title)) >= 2 THEN trim(r.title) ELSE coalesce(s.title, trim(r.title)) END AS t, CASE WHEN length(trim(r.artist)) >= 2 THEN trim(r.artist) ELSE coalesce(s.artist, trim(r.artist)) END AS a0
+      FROM v_raw r JOIN kd USING (folder_path) JOIN rstems s ON s.fid = r.file_id),
+    r1 AS (SELECT *, {clean_title_sql('t')} AS cl, coalesce(tagk, CASE WHEN fk >= 100 AND fk % 100 >= 1 THEN fk % 100 ELSE fk END) AS n, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(a0, '(?i)\b(featuring|feat\.?|ft\.?)([\s,]|$)', 'feat.\2', 'g'), '\s{{2,}}', ' ', 'g'), '\s+$', '')), '') AS a FROM r0),
+    r2 AS (SELECT *, regexp_extract(cl, {_q(BRACKET_MIX)}, 2) AS b, trim(regexp_extract(cl, {_q(DASH_MIX)}, 1)) AS d FROM r1),
+    r3 AS (SELECT *, b <> '' AND regexp_matches(b, {MIXES}) AS m1, d <> '' AND regexp_matches(d, {MIXES}) AND NOT contains(d, ',') AND length(d) <= 60 AS m2 FROM r2),
+    r4 AS (SELECT *, CASE WHEN m1 THEN trim(regexp_replace(cl, {_q(BRACKET_MIX)}, '')) WHEN m2 THEN trim(regexp_replace(cl, {_q(DASH_MIX)}, '')) ELSE cl END AS bare, CASE WHEN m1 THEN ' ' || regexp_extract(cl, {_q(BRACKET_MIX)}, 1) WHEN m2 THEN ' (' || d || ')' ELSE '' END AS mix FROM r3),
+    r5 AS (SELECT *, {clean_title_sql('bare')} AS tt FROM r4),
+    r6 AS (SELECT *, CASE WHEN coalesce(cl, '') = '' THEN 'missing_title' WHEN coalesce(tt, '') = '' THEN 'title_cleaned_empty' WHEN kind <> 'album' AND a = '' THEN 'missing_artist' WHEN kind = 'album' AND n IS NULL THEN 'missing_track_number' WHEN kind = 'various' AND n IS NULL THEN 'ok_no_tracknum' ELSE 'ok' END AS reason FROM r5),
+    r7 AS (SELECT *, CASE WHEN starts_with(reason, 'ok') THEN {safe_sql("CASE WHEN kind = 'album' THEN lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || tt || mix || ext WHEN n IS NULL THEN a || ' - ' || tt || mix || ext ELSE lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || a || ' - ' || tt || mix || ext END")} END AS name,
+      CASE WHEN NOT starts_with(reason, 'ok') THEN 0.0 WHEN kind = 'album' THEN 0.95 WHEN kind = 'mixed' THEN 0.90 WHEN n IS NULL THEN 0.85 ELSE 0.92 END AS confidence FROM r6),
+    r8 AS (SELECT *, row_number() OVER (PARTITION BY folder_path, name ORDER BY file_id) AS k FROM r7)
+    SELECT file_id, kind, CASE WHEN k > 1 AND name IS NOT NULL THEN regexp_replace(name, '(\.[^.]*)$', ' (' || CAST(k AS VARCHAR) || ')\1') ELSE name END AS new_name, confidence, reason FROM r8"""
+
+
+@query(rename_sql())
+def c29_track_renames(spark: SparkSession, sf: str) -> DataFrame:
+    """New names of tracks by the kind of their folder."""
+    files = raw_files(spark, sf)
+    return library.rename_plan(files, proposals.propose(files).select("folder_path", "is_va", "album_share", "artist_share", "aa_vote", "artist_vote"))
+
+
+@query(
+    rf"""WITH {RAW_SQL}, ds AS (SELECT file_id AS fid, '' AS folder, regexp_replace(filename, '[.][^.]*$', '') AS stem FROM v_raw), {stems_ctes('ds', 'fid')},
+    w AS (SELECT r.*, coalesce(nullif(trim(album_artist), ''), nullif(trim(r.artist), ''), {title_sql('dump_artist')}, '_Unknown') AS who, trim(regexp_replace(regexp_replace({fold_sql('lower(trim(album))', N.CLUSTER_TAILS)}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS alb FROM v_raw r JOIN stems s ON s.fid = r.file_id),
+    k AS (SELECT *, array_to_string({KEY('who')}, '|') AS key_ FROM w), sp AS (SELECT key_, arg_min(who, (-n, who)) AS artist_ FROM (SELECT key_, who, count(*) AS n FROM k GROUP BY ALL) GROUP BY key_), al AS (SELECT key_, alb, count(*) AS together FROM k WHERE coalesce(alb, '') <> '' GROUP BY ALL),
+    lib AS (SELECT DISTINCT array_to_string({KEY('n')}, '|') AS key_ FROM (SELECT {pick(['Ann Lee', 'x', 'Fox & The Ox'], 's_suppkey')} AS n FROM supplier))
+    SELECT file_id, {safe_sql('artist_')} AS artist, CASE WHEN together >= 2 THEN {safe_sql("coalesce(trim(album), '')")} ELSE 'Singles' END AS place, lib.key_ IS NOT NULL AS in_library, row_number() OVER (PARTITION BY k.key_, lower(title), size ORDER BY file_id) > 1 AS skipped
+    FROM k JOIN sp USING (key_) LEFT JOIN al ON al.key_ = k.key_ AND al.alb = k.alb LEFT JOIN lib ON lib.key_ = k.key_"""
+)
+def c24_dump_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """A dump sorted by artist and album."""
+    names = read(spark, sf, "supplier").selectExpr(f"{pick(['Ann Lee', 'x', 'Fox & The Ox'], 's_suppkey')} AS name")
+    return library.dump_plan(raw_files(spark, sf), names)
+
+
+@query(
+    rf"""WITH {RAW_SQL}, m AS (SELECT folder_path, file_id, trim(regexp_replace(artist, '(?i)\s+(?:feat\.?|ft\.?|featuring|&|and|vs\.?|x)\s+.*$', '')) AS main FROM v_raw WHERE artist <> ''), k AS (SELECT *, array_to_string({KEY('main')}, '|') AS artist_key FROM m)
+    SELECT folder_path, artist_key, arg_min(main, file_id) AS artist, count(*) AS tracks, min(file_id) AS first_file FROM k GROUP BY ALL"""
+)
+def c25_split_by_artist(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder's files under their primary artists."""
+    return library.split_by_artist(raw_files(spark, sf))
+
+
+# Upkeep
+
+
+@query(
+    f"""WITH {RAW_SQL}, k AS (SELECT folder_path, {K_SQL} AS k FROM v_raw), f AS (SELECT folder_path, max(k) - min(k) + 1 - count(DISTINCT k) AS gaps, count(k) - count(DISTINCT k) AS repeats FROM k WHERE k IS NOT NULL GROUP BY folder_path)
+    SELECT 'files' AS section, 'all' AS name, count(*) AS n FROM v_raw UNION ALL SELECT 'files', 'untagged', count_if(coalesce(nullif(title, ''), nullif(artist, ''), nullif(album, ''), nullif(album_artist, ''), nullif(genre, ''), nullif(year, '')) IS NULL) FROM v_raw
+    UNION ALL SELECT 'formats', ext, count(*) FROM v_raw GROUP BY ext UNION ALL SELECT 'folders', 'gaps', count_if(gaps > 0) FROM f UNION ALL SELECT 'folders', 'repeats', count_if(repeats > 0) FROM f"""
+)
+def c27_library_health(spark: SparkSession, sf: str) -> DataFrame:
+    """Health of a library."""
+    return library.health(raw_files(spark, sf))
+
+
+@query(
+    rf"""WITH {RAW_SQL}, d AS (SELECT DISTINCT folder_path AS folder FROM v_raw), m AS (SELECT DISTINCT CASE WHEN o_orderkey % 50 = 0 THEN 'gone/' || CAST(o_orderkey AS VARCHAR) ELSE folder_path END AS folder FROM (SELECT l_orderkey AS o_orderkey, min({FIELDS['folder_path']}) AS folder_path FROM lineitem GROUP BY l_orderkey)),
+    e AS (SELECT 'lib/empty/' || c_name AS folder FROM customer)
+    SELECT m.folder, 'missing_on_disk' AS issue, '' AS detail FROM m ANTI JOIN d USING (folder) UNION ALL SELECT d.folder, 'not_in_manifest', '' FROM d ANTI JOIN m USING (folder) UNION ALL SELECT DISTINCT e.folder, 'empty_folder', '' FROM e ANTI JOIN d USING (folder)
+    UNION ALL SELECT folder_path, 'odd_file_names', CAST(count(*) AS VARCHAR) FROM v_raw WHERE NOT regexp_matches(filename, '^\d{{2,3}}\s*[-–]\s*.+\.\w+$') GROUP BY folder_path"""
+)
+def c26_library_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong in a library."""
+    files = raw_files(spark, sf)
+    by_order = read(spark, sf, "lineitem").selectExpr("l_orderkey", f"{FIELDS['folder_path']} AS folder_path").groupBy("l_orderkey").agg(F.min("folder_path").alias("folder_path"))
+    manifest = by_order.select(F.when(F.col("l_orderkey") % 50 == 0, F.concat(F.lit("gone/"), F.col("l_orderkey").cast("string"))).otherwise(F.col("folder_path")).alias("name"))
+    empty = read(spark, sf, "customer").select(F.concat(F.lit("lib/empty/"), "c_name").alias("folder"))
+    return library.verify(files, manifest, empty)
+
+
+@query(
+    f"""WITH n AS (SELECT DISTINCT p_name AS name FROM part), q AS (SELECT name, unnest(['green small', 'Azure', 'part']) AS query FROM n), s AS (SELECT query, name, lower(trim(query)) AS a, lower(trim(name)) AS b FROM q), c AS (SELECT query, name, round({SIMILAR_SQL.format(a='a', b='b')} + 1e-9, 6) AS score FROM s)
+    SELECT query, name, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, name) AS r FROM c WHERE score >= 0.3) WHERE r <= 20"""
+)
+def j14_library_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Names most like a few queries."""
+    return library.search(read(spark, sf, "part").select(F.col("p_name").alias("name")), ["green small", "Azure", "part"])
+
+
+@query(
+    """WITH a AS (SELECT s_name AS key, s_address AS value FROM supplier), b AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN upper(s_name) WHEN s_suppkey % 4 = 1 THEN s_name || ' x' ELSE s_name END AS key, CASE WHEN s_suppkey % 3 = 0 THEN 'other' ELSE s_address END AS value FROM supplier)
+    SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.value IS NULL THEN 'mine' WHEN a.value IS NULL THEN 'add' WHEN a.value = b.value THEN 'skip' ELSE 'conflict' END AS action, coalesce(a.value, b.value) AS value FROM a FULL JOIN b ON lower(a.key) = lower(b.key)""".replace("s_address", "s_name")
+)
+def j24_reference_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Two dictionaries merged."""
+    s, k, n = read(spark, sf, "supplier"), F.col("s_suppkey"), F.col("s_name")
+    other = s.select(F.when(k % 4 == 0, F.upper(n)).when(k % 4 == 1, F.concat(n, F.lit(" x"))).otherwise(n).alias("key"), F.when(k % 3 == 0, "other").otherwise(n).alias("value"))
+    return library.merge_reference(s.select(n.alias("key"), n.alias("value")), other)
+
+
+@query(
+    f"""WITH {RAW_SQL}, {CONTEXT_SQL}, r AS (SELECT folder_name, context_score AS confidence, context_score < 0.5 AS low, structure_type = 'unknown' AS used_heuristic FROM v_context), t AS (SELECT count_if(low) AS low, count_if(used_heuristic) AS guessed FROM r),
+    p AS (SELECT lower(unnest(regexp_extract_all(folder_name, '[\\(\\[]([^\\)\\]]+)[\\)\\]]', 1))) AS value FROM r), c AS (SELECT value, count(*) AS n FROM p WHERE value NOT IN ('', 'live') GROUP BY value HAVING count(*) >= 2 ORDER BY n DESC, value LIMIT 10)
+    SELECT 'lower_threshold' AS kind, '0.80' AS value, low AS n FROM t WHERE low > 5 UNION ALL SELECT 'many_guesses', '', guessed FROM t WHERE guessed > 3 UNION ALL SELECT 'strip_phrase', value, n FROM c"""
+)
+def c22_tuning(spark: SparkSession, sf: str) -> DataFrame:
+    """Suggestions for thresholds and phrases."""
+    told = context.folder_context(raw_files(spark, sf))
+    reasons = F.when(F.col("context_score") < 0.5, F.array(F.lit("low_confidence"))).otherwise(F.array().cast("array<string>"))
+    return library.tuning(told.select("folder_name", F.col("context_score").alias("confidence"), reasons.alias("reasons"), (F.col("structure_type") == "unknown").alias("used_heuristic")), known=("live",))
