@@ -14,15 +14,22 @@ HEURISTIC = 0.60
 FIELD_WEIGHTS = {"artist": 0.20, "title": 0.20, "album": 0.15, "albumartist": 0.10, "year": 0.10, "genre": 0.08, "bpm": 0.07, "key": 0.05, "label": 0.03, "isrc": 0.02}
 
 
+#: Missing numbers that are listed; all are counted.
+LISTED = 1000
+
+
 def numbers(df: DataFrame, by: list[str], number: Column) -> DataFrame:
-    """Track numbers of a folder: ``gaps``, ``repeats`` (sorted arrays), ``completeness`` and ``consecutive``."""
+    """Track numbers of a folder: ``gaps`` (the first `LISTED` missing numbers), ``gap_count`` (all of them), ``repeats``,
+    ``completeness`` and ``consecutive``. A number out of all reason makes a large count, not a large array."""
     counted = df.select(*by, number.alias("_k")).groupBy(*by, "_k").agg(F.count("*").alias("_n"))
     known = F.col("_k").isNotNull()
     found = counted.groupBy(*by).agg(F.sort_array(F.collect_list("_k")).alias("have"), F.sort_array(F.collect_list(F.when(known & (F.col("_n") > 1), F.col("_k")))).alias("repeats"))
-    missing = F.when(F.size("have") >= 2, F.array_except(F.sequence(F.array_min("have"), F.array_max("have")), F.col("have"))).otherwise(F.array().cast("array<int>"))
-    out = found.withColumn("gaps", missing)
-    score = 1 - F.least(F.lit(0.30), F.size("gaps") * 0.06) - F.least(F.lit(0.20), F.size("repeats") * 0.07)
-    return out.withColumn("completeness", F.greatest(F.lit(0.0), score)).withColumn("consecutive", (F.size("have") > 0) & (F.size("gaps") == 0) & (F.size("repeats") == 0)).drop("have")
+    after = lambda i: F.get(F.col("have"), i + 1)
+    ranges = F.transform("have", lambda x, i: F.when(after(i) - x > 1, F.sequence(x + 1, F.least(after(i) - 1, x + LISTED))).otherwise(F.array().cast("array<int>")))
+    count = F.when(F.size("have") >= 2, F.element_at("have", -1) - F.element_at("have", 1) + 1 - F.size("have")).otherwise(0)
+    out = found.withColumns({"gaps": F.slice(F.flatten(ranges), 1, LISTED), "gap_count": count})
+    score = 1 - F.least(F.lit(0.30), F.col("gap_count") * 0.06) - F.least(F.lit(0.20), F.size("repeats") * 0.07)
+    return out.withColumn("completeness", F.greatest(F.lit(0.0), score)).withColumn("consecutive", (F.size("have") > 0) & (F.col("gap_count") == 0) & (F.size("repeats") == 0)).drop("have")
 
 
 def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame:
@@ -121,7 +128,7 @@ def confidence(df: DataFrame, by: list[str], folder_name: Column, proposed: Colu
     if heuristic is not None:
         total = F.when(heuristic, total * HEURISTIC).otherwise(total)
     return scored.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))).select(
-        *by, "files", "folder_name", "proposed_name", *WEIGHTS, F.size("gaps").alias("track_gaps"), F.size("repeats").alias("track_dupes"), "confidence"
+        *by, "files", "folder_name", "proposed_name", *WEIGHTS, F.col("gap_count").alias("track_gaps"), F.size("repeats").alias("track_dupes"), "confidence"
     )
 
 

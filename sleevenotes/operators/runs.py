@@ -26,7 +26,8 @@ def reconcile(manifest: DataFrame, disk: DataFrame, key: str = "name") -> DataFr
 
 
 def latest(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The last row of each key."""
+    """The last row of each key. Spark keeps only first rows while it sorts (window group limit), so a hot key is cut down
+    before it is shuffled."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("_r = 1").drop("_r")
 
 

@@ -81,7 +81,7 @@ NUMBERS_SQL = """n AS (SELECT folder_path, CAST(regexp_extract(tracknumber, '^\\
 
 @query(f"WITH {TRACKS_SQL}, {NUMBERS_SQL} SELECT folder_path, repeats, gaps, completeness, len(gaps) = 0 AND len(repeats) = 0 AS consecutive FROM scored")
 def a08_gaps_and_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.numbers(A.tracks(spark, sf), FOLDER, T.track_number(F.col("tracknumber")))
+    return quality.numbers(A.tracks(spark, sf), FOLDER, T.track_number(F.col("tracknumber"))).drop("gap_count")
 
 
 @query(
@@ -204,7 +204,7 @@ def a33_reason_frequency(spark: SparkSession, sf: str) -> DataFrame:
     SELECT signal_type, signal_value, count(*) AS pairs, min(file_id_a) AS first_a, max(file_id_b) AS last_b, min(similarity) AS similarity FROM e GROUP BY ALL"""
 )
 def j01_same_identifier(spark: SparkSession, sf: str) -> DataFrame:
-    return _by_signal(dedupe.same_identifier(A.tracks(spark, sf)))
+    return dedupe.identifier_groups(A.tracks(spark, sf))
 
 
 @query(
