@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches
+from .common import kept, small_batches, tidy
 from .pieces import BYTE_SCORE, DEFAULT_MODEL, NEVER, PieceTable, Vocabulary, load
 
 CHUNK = 8192
@@ -286,7 +286,7 @@ def _map(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str)
         for batch in batches:
             yield f(batch)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(tidy(run), schema)
 
 
 def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, digest: bool = False, giant: int = 8 * CHUNK) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, settle, small_batches
+from .common import kept, settle, small_batches, tidy
 from .pieces import DEFAULT_MODEL, PieceTable, Vocabulary, load
 
 RUN = re.compile(r"[^\W\d_]+")
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
         yield flush()
 
     train = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counted = settle(train.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counted = settle(train.mapInPandas(tidy(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]  # the classes of the model
     size = len(vocabulary.value.surfaces)
     table = np.repeat(zipf(vocabulary.value), max(1, len(langs)), axis=1)
@@ -235,7 +235,7 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
             yield pd.DataFrame({"piece": ks, "lang": cs, "n": np.round(sums[ks, cs], 6)})
 
         # One row for each piece and language at most.
-        totals = counted.mapInPandas(expect, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum(F.col("n").cast("decimal(30,6)")).cast("double").alias("n")).toPandas()
+        totals = counted.mapInPandas(tidy(expect), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum(F.col("n").cast("decimal(30,6)")).cast("double").alias("n")).toPandas()
         fresh = np.zeros((size, len(langs)))
         fresh[totals["piece"].astype(int), totals["lang"].astype(int)] = totals["n"]
         fresh += smoothing * zipf(vocabulary.value) * np.count_nonzero(zipf(vocabulary.value)) / 10
@@ -292,4 +292,4 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, model: str = D
             yield batch.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(run, schema + ", lang_pred string, score double")
+    return docs.mapInPandas(tidy(run), schema + ", lang_pred string, score double")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, settle, small_batches
+from .common import WORD, settle, small_batches, tidy
 from .components import components
 from .fingerprints import shingle_hashes
 
@@ -161,7 +161,7 @@ def _signatures(docs: DataFrame, size: int, trees: int, depth: int, second: floa
             yield pd.concat([batch[KEY].astype({"doc_id": "Int64"}), made], axis=1)
 
     narrow = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return narrow.mapInPandas(run, "doc_id long, _h1 long, _h2 long, n long, f1 long, f2 long, sketch array<long>, nodes array<long>")
+    return narrow.mapInPandas(tidy(run), "doc_id long, _h1 long, _h2 long, n long, f1 long, f2 long, sketch array<long>, nodes array<long>")
 
 
 def _matches(a: Column, b: Column) -> Column:
@@ -207,7 +207,7 @@ def _centres(leaves: DataFrame) -> DataFrame:
         return pd.DataFrame({"node": group["node"].iloc[:1], "centre": [sketch(counts.reshape(MINWISE, 16).argmax(axis=1).astype(np.uint32))]})
 
     # A leaf sends as many rows as there are batches with it; they are added up in two steps.
-    parts = leaves.select("node", "sketch").mapInPandas(add, "node long, counts binary")
+    parts = leaves.select("node", "sketch").mapInPandas(tidy(add), "node long, counts binary")
 
     def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
@@ -220,7 +220,7 @@ def _centres(leaves: DataFrame) -> DataFrame:
                 held.clear()
         yield flush()
 
-    return parts.mapInPandas(some, "node long, counts binary").groupBy("node").applyInPandas(total, "node long, centre array<long>")
+    return parts.mapInPandas(tidy(some), "node long, counts binary").groupBy("node").applyInPandas(total, "node long, centre array<long>")
 
 
 def candidates(reps: DataFrame, depth: int, small: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +266,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     left = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInPandas(tidy(run), "a long, b long")
 
 
 def link(docs: DataFrame, size: int = 5, threshold: float = THRESHOLD, recall: float = 0.999, depth: int | None = None, small: int = 32) -> DataFrame:
@@ -411,8 +411,8 @@ def _within_leaves(split: DataFrame, texts: DataFrame, size: int, percent: int)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     right = outside.select(*[F.col(c).alias(c) for c in outside.columns])  # columns of their own: both sides come from one table
-    likely = settle(members.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(survivors, columns))
-    return likely.join(texts, "id").groupBy(*key).applyInPandas(run, "a long, b long")
+    likely = settle(members.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(tidy(survivors), columns))
+    return likely.join(texts, "id").groupBy(*key).applyInPandas(tidy(run), "a long, b long")
 
 
 def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_partitions
+from .common import settle, shuffle_partitions, tidy
 
 WINDOW, GRAM = 50, 20
 SPAN = WINDOW - GRAM + 1
@@ -292,7 +292,7 @@ def _look_up(entries: DataFrame, partitions: int, open_too: bool) -> DataFrame:
         yield out(take())
         yield out(close())
 
-    return entries.repartition(partitions, "bucket").sortWithinPartitions("bucket", "batch", "g").mapInArrow(run, HITS)
+    return entries.repartition(partitions, "bucket").sortWithinPartitions("bucket", "batch", "g").mapInArrow(tidy(run), HITS)
 
 
 def _finish(text: bytes, starts: np.ndarray, stops: np.ndarray) -> tuple[int, int, bytes]:
@@ -342,7 +342,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             rows = _packed(g, buckets, cuts, (minimizer[one] % U(buckets)).astype(np.int64), doc[one], key[one], mark)
         return _table(rows, ENTRIES)
 
-    hits = _look_up(grouped.groupBy("g").applyInArrow(index, ENTRIES), parts, True)
+    hits = _look_up(grouped.groupBy("g").applyInArrow(tidy(index), ENTRIES), parts, True)
 
     # Rows of four kinds: finished documents, entries of open windows, and documents with open windows.
     kinds = f"what int, {RESULT}, {ENTRIES}, spans binary"
@@ -400,7 +400,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             out.append({"what": pending, "g": g, "doc_id": None if doc[r] == LAST else int(doc[r]), "kept": zlib.compress(text, 1), "extra": extras[r], "spans": flat.astype(np.int32).tobytes()})
         return _table(out, kinds)
 
-    passed = settle(grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(first_pass, kinds))
+    passed = settle(grouped.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(tidy(first_pass), kinds))
     entries = passed.filter(F.col("what") == entry).select(*_names(ENTRIES))
     second = _look_up(entries, parts, False)
     waiting = passed.filter(F.col("what") == pending).select("g", "doc_id", "kept", "extra", "spans")
@@ -415,7 +415,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             out.append(_result(doc, text, [before[0], before[1], at, at + WINDOW], keep, row["extra"]))
         return _table(out, RESULT)
 
-    finished = waiting.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(second_pass, RESULT)
+    finished = waiting.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(tidy(second_pass), RESULT)
     names = _names(RESULT)
     result = passed.filter(F.col("what") == done).select(*names).unionByName(finished)
     if not carry:
