@@ -25,5 +25,5 @@ def undo_plan(log: DataFrame, taken: DataFrame) -> DataFrame:
 
 def apply_plan(proposals: DataFrame, protected: list[str], cap: int | None = None) -> DataFrame:
     """Accepted fixes of unprotected fields as snapshots of old and new values, the first ``cap`` by file and kind (the batch)."""
-    some = proposals.filter((F.col("status") == "accepted") & ~F.col("field_name").isin(*protected)).orderBy("file_id", "fix_type")
+    some = proposals.filter((F.col("status") == "accepted") & ~F.col("field_name").isin(*protected)).orderBy("file_id", "fix_type", "field_name")
     return (some.limit(cap) if cap else some).select("proposal_id", "file_id", "field_name", F.col("old_value").alias("original_value"), "new_value", F.lit(False).alias("written"), F.lit(False).alias("undone"))

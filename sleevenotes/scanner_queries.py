@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import tags as G
 from .functions.text import connected
 from .operators import context, fixes, learn, reports
+from .plans import moves
 from .queries import LEARN_SQL, query
 from .sources import adapters as A
 from .sources.adapters import HISTORY_SQL
@@ -419,3 +420,13 @@ def w08_first_of_cluster(spark: SparkSession, sf: str) -> DataFrame:
     """The first file of each name's cluster."""
     named = raw_files(spark, sf).filter("artist != ''").select("file_id", connected(F.col("artist")).alias("normalized"))
     return named.groupBy("normalized").agg(F.min("file_id").alias("first_file"), F.count("*").alias("files"))
+
+
+@query(
+    f"""WITH {FIXES_SQL}, s AS (SELECT *, CASE length(file_id) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' ELSE 'rejected' END AS status FROM v_fixes)
+    SELECT file_id || ':' || field_name || ':' || fix_type AS proposal_id, file_id, field_name, old_value AS original_value, new_value, false AS written, false AS undone FROM s WHERE status = 'accepted' AND field_name NOT IN ('album', 'key') ORDER BY file_id, fix_type, field_name LIMIT 50"""
+)
+def c20_apply_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """The first batch of accepted fixes of unprotected fields as snapshots, a dry run."""
+    some = fixes.proposals(raw_files(spark, sf)).withColumn("status", F.when(F.length("file_id") % 3 == 0, "pending").when(F.length("file_id") % 3 == 1, "accepted").otherwise("rejected"))
+    return moves.apply_plan(some.withColumn("proposal_id", F.concat_ws(":", "file_id", "field_name", "fix_type")), ["album", "key"], 50)

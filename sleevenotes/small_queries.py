@@ -249,3 +249,10 @@ def s09_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
     mine = nation.filter("n_nationkey % 5 = 0").select(F.lower("n_name").alias("k"), F.concat("n_name", F.lit(" (mine)")).alias("own"))
     named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", F.lower("n_name").alias("k"))
     return named.join(mine, "k", "left").join(both, "k", "left").select("c_custkey", F.coalesce("own", "reference", "n_name").alias("name"))
+
+
+@query(f"{ROUTE_SQL}, f AS (SELECT folder_path, proposed_name, destination FROM routed ORDER BY folder_path LIMIT 100) SELECT *, row_number() OVER (ORDER BY folder_path) AS place FROM f")
+def o01_first_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred proposals in their canonical order (O01). Only those are numbered."""
+    few = _routed(spark, sf).select("folder_path", "proposed_name", "destination").orderBy("folder_path").limit(100)
+    return few.withColumn("place", F.row_number().over(Window.orderBy("folder_path")))
