@@ -342,7 +342,8 @@ def remove_repeats(docs: DataFrame, keep: bool = False, carry: tuple[str, ...] =
             rows = _packed(g, buckets, cuts, (minimizer[one] % U(buckets)).astype(np.int64), doc[one], key[one], mark)
         return _table(rows, ENTRIES)
 
-    hits = _look_up(grouped.groupBy("g").applyInArrow(tidy(index), ENTRIES), parts, True)
+    # Settled, so that the entries' files are gone before the texts are grouped for the answers.
+    hits = settle(_look_up(grouped.groupBy("g").applyInArrow(tidy(index), ENTRIES), parts, True))
 
     # Rows of four kinds: finished documents, entries of open windows, and documents with open windows.
     kinds = f"what int, {RESULT}, {ENTRIES}, spans binary"
