@@ -23,11 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that ``spark.checkpoint.dir`` names; only where it is unset (local runs, tests) a
-    temporary one is set."""
+    """The folder for checkpoints that ``spark.checkpoint.dir`` names; only where it is unset, in local runs and tests, a
+    temporary one is set. On a cluster it must be named: executors do not see the driver's folders."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
