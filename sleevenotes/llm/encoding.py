@@ -20,7 +20,8 @@ The round trip is exact for every text: a space is put before the text (a word p
 decoding, characters without a piece are spelled in bytes, and nothing is normalised.
 
 Defined cases: null text: null ids, 0 tokens; empty text: one token, the leading space; repeated rows are encoded alike;
-very long texts take the chunked path; other columns are kept out of the way by name.
+very long texts take the chunked path, and where segmentations are equally good (runs of one character) may get another
+of them than a short text would; other columns are kept out of the way by name.
 """
 
 from __future__ import annotations

@@ -452,3 +452,144 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows_of(components(edges))}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# Further cases
+
+
+def test_wrapper_text_bears_deep_long_and_strange_pages(spark):
+    deep = "<div>" * 3000 + "<p>low" + "</div>" * 3000
+    mixed = "".join(f"<div class='{'mnopqrstuv'[k % 10]}{'mnopqrstuv'[k // 10 % 10]}'><p>t{k}" for k in range(2500))
+    long = "<article>" + "".join(f"<p>para {k} &amp; more</p>" for k in range(20000)) + "</article>"
+    rows = [(1, "http://d.net/1", deep, "x", 1), (2, "http://d.net/2", mixed, "x", 1), (3, "http://d.net/3", deep.replace("low", "other"), None, 1), (4, "http://l.net/", long, "x", 1), (4, "http://l.net/", long, "x", 1), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, template long")
+    got = {(r["page_id"]): r["text"] for r in rows_of(html.extract(pages))}
+    assert got[1] == "low" and got[3] == "other" and got[None] == ""
+    assert got[2] == " ".join(f"t{k}" for k in range(2500)) and got[4] == " ".join(f"para {k} & more" for k in range(20000))
+    assert html.extract(pages).count() == 6 and html.extract(pages.limit(0)).count() == 0
+
+
+def brute_matching(a, b):
+    """Simple tree matching by its table of all pairs of children."""
+    if a.sign != b.sign:
+        return 0
+    table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_matching(x, y))
+    return table[-1][-1] + 1
+
+
+def test_tree_matching_is_the_best_one():
+    r = random.Random(12)
+
+    def page(depth):
+        return "".join(f"<div class={r.choice('abcd')}>{r.choice(['t', ''])}{page(depth - 1)}</div>" for _ in range(r.randint(0, 3))) if depth else "x"
+
+    for _ in range(60):
+        a, b = (html.blocks(page(4) + "end")[0] for _ in range(2))
+        found = html.Matching(a, b)
+        assert found.total == brute_matching(a, b) == len(found.pairs) + 1
+        both = html.merge(html.Node.load(a.dump()), html.Node.load(b.dump()))
+        assert both.count == a.count + b.count - found.total and html.Node.load(both.dump()).shape == both.shape
+
+
+def test_mix_is_the_tilt_that_meets_the_targets(spark):
+    r = random.Random(16)
+    rows = [(i, "abc"[i % 3] if i % 7 else None, int(r.paretovariate(1.3) * 10)) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).toPandas()
+    for s in ("a", "b", "c", None):
+        own = got[got["source"].isna() if s is None else got["source"] == s]
+        sizes, target = own["size"].to_numpy(float), own["target"].iloc[0]
+        rate = lambda m: np.minimum(2.0, 1.5 * np.exp(np.minimum(m * sizes / sizes.mean(), 700)))
+        if target >= 2 * sizes.sum() * (1 - 1e-9):
+            assert np.allclose(own["rate"], 2.0)
+            continue
+        lo, hi = -1000.0, 1000.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (sizes * rate(mid)).sum() < target else (lo, mid)
+        assert np.allclose(own["rate"], rate(lo), rtol=1e-5, atol=1e-6)
+        assert abs((own["rate"] * sizes).sum() - target) < 1e-4 * target
+
+
+def test_mix_ties_and_equal_rows(spark):
+    rows = [(1, "a", 10)] * 9 + [(2, "a", 10)] * 4 + [(3, "b", 10), (None, None, 0), (4, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    one, two = (sorted((str(x["doc_id"]), x["copies"]) for x in rows_of(mixing.mix(docs.repartition(n)))) for n in (1, 5))
+    assert one == two and len(one) == len(rows)
+
+
+def test_encoding_is_the_best_segmentation():
+    e = encoding.Encoder(pieces.load())
+    score = {s: e.v.scores[k] for s, k in e.v.ids.items()}
+
+    def best(text):
+        if not text:
+            return 0
+        own = [score[text[:j]] + best(text[j:]) for j in range(1, min(len(text), e.v.longest) + 1) if text[:j] in score]
+        return max(own + ([] if text[0] in score else [pieces.BYTE_SCORE * len(text[0].encode()) + best(text[1:])]))
+
+    r = random.Random(21)
+    for _ in range(120):
+        text = "".join(r.choice(["a", "b", "th", "e", " ", "ing", "é", "中", "😀", ".", "\n", "of"]) for _ in range(r.randint(0, 8)))
+        ids = e.encode(text)
+        value = sum(e.v.scores[k] if e.v.surfaces[k] else pieces.BYTE_SCORE for k in ids)
+        assert value == best(" " + text) and e.decode(ids) == text
+
+
+def test_giant_texts_have_the_ids_of_small_ones(spark):
+    r = random.Random(22)
+    rows = [(i, "".join(r.choice(["word ", "the ", "a", "中文", "xx", ", ", "\n"]) for _ in range(3000))) for i in range(4)] + [(9, "x" * 30000), (10, " " * 30000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, giant = ({x["doc_id"]: x["ids"] for x in rows_of(encoding.encode(docs, giant=g))} for g in (1 << 20, 5000))
+    assert all(small[i] == giant[i] for i in range(4))
+    e = encoding.Encoder(pieces.load())
+    for i, text in rows[4:]:  # one character over and over: many segmentations are equally good
+        assert e.scores[small[i]].sum() == e.scores[giant[i]].sum() and e.decode(small[i]) == e.decode(giant[i]) == text
+
+
+def test_langid_takes_letters_alone():
+    assert langid.words("½ ② ³ 12 _") == [] and langid.words("a½b C²d") == ["a", "b", "c", "d"]
+
+
+def test_forward_sums_of_long_words():
+    v = pieces.load()
+    f = langid.Forward(v, langid.zipf(v))
+    r = random.Random(30)
+
+    def total(w):
+        logs = [0.0] + [-math.inf] * len(w)
+        for j in range(1, len(w) + 1):
+            terms = []
+            for i in range(max(0, j - v.longest), j):
+                p = f.table[v.ids[w[i:j]], 0] if w[i:j] in v.ids else (f.BYTE ** len(w[i:j].encode()) if j == i + 1 else 0.0)
+                if p:
+                    terms.append(logs[i] + math.log(p))
+            logs[j] = np.logaddexp.reduce(terms) if terms else -math.inf
+        return logs[-1]
+
+    for n in (20, 40, 64, 65, 200, 700):
+        for letters in ("abcdeghinorst", "日本語字", "x"):
+            word = "".join(r.choice(letters) for _ in range(n))
+            cut = langid.parts(word, v.pairs)
+            assert "".join(cut) == " " + word
+            got = sum(f.log_sums([cut[i] for i in places]).sum() for places in langid.by_length(cut, together=True))
+            assert math.isclose(got, total(" " + word), rel_tol=1e-9)
+    assert math.isclose(sum(e * len(s) for s, e in zip(v.surfaces, f.expected([" " + "thing" * 20], np.array([2.0]), 0))), 2 * 101, rel_tol=1e-6)
+
+
+def test_url_rules_mined_at_size(spark):
+    # Bad are only the pages whose address has both words; either word alone is common among good ones.
+    r = random.Random(40)
+    rows = []
+    for i in range(12000):
+        words = [w for w in ("cheap", "pills") if r.random() < 0.3]
+        rows.append((i, f"http://www{i % 9}.net/{'/'.join(words + ['item'])}/{i}?page={i}", set(words) == {"cheap", "pills"}))
+    labels = [(i, 0 if bad else 1, 0) for i, _, bad in rows[:6000]] + [(1, None, None), (None, 0, 1)]
+    pages = spark.createDataFrame([x[:2] for x in rows] + [(None, "http://a.net/cheap/pills"), (7, "http://z.net/" + "x" * 100000)], "page_id long, url string")
+    got = rows_of(urls.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    by_url = {x["page_id"]: x["verdict"] for x in got if x["page_id"] is not None and x["page_id"] != 7}
+    wrong = [i for i, _, bad in rows if i != 7 and (by_url[i] == "block") != bad]
+    assert not wrong and len(got) == len(rows) + 2
+    assert urls.judge(pages.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
