@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, fingerprints, html, langid, mixing, nearsets, quality, sharding, suffixes, urls
+from . import codes, decontamination, encoding, fingerprints, html, langid, mixing, nearsets, negatives, quality, sharding, suffixes, urls
 from .common import read
 
 #: DuckDB: CRC-32 of a text's UTF-8 bytes, by the usual table.
@@ -132,9 +133,81 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op11_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(read(spark, sf_dir, "embeddings"))
+    digest = F.lit(books.sha256 if books else hashlib.sha256(b"").hexdigest())
+    return codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def _finite_sql(scale: int) -> str:
+    """Rows of embeddings that have a vector of finite numbers, and those numbers times ``scale``, floored."""
+    return f"""SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)"""
+
+
+def _op11_sql(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    steps = [f"""whole AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM ({_finite_sql(codes.SCALE)})
+), cut AS MATERIALIZED (SELECT r, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x FROM (SELECT r, v, unnest(range({parts})) AS p FROM whole)
+), book0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS c FROM cut WHERE r <= {entries})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT r, p, any_value(x) AS x, min(struct_pack(d, k)) AS best
+  FROM (SELECT r, cut.p, x, k, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM cut JOIN book{n} b ON cut.p = b.p) GROUP BY r, p)""")
+        if n < rounds:
+            steps.append(f"""mean{n} AS (
+  SELECT p, k, list(m ORDER BY i) AS c FROM (
+    SELECT p, best.k AS k, i, CAST(floor(CAST(sum(x[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM near{n}) GROUP BY p, best.k, i
+  ) GROUP BY p, k
+), book{n + 1} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.c, b.c) AS c FROM book{n} b LEFT JOIN mean{n} m ON b.p = m.p AND b.k = m.k)""")
+    return f"""WITH {", ".join(steps)}, coded AS (
+  SELECT r, string_agg(lpad(to_hex(best.k), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+), digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN whole USING (r), digest"""
+
+
+def op12_four_russians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def _op12_sql() -> str:
+    return f"""
+WITH whole AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(v AS DOUBLE[]) AS v FROM ({_finite_sql(negatives.SCALE)}) WHERE label IS NOT NULL
+), scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM whole a JOIN whole b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, positive_score, n.score AS negative_score
+FROM positives JOIN scored n USING (anchor_id) WHERE NOT alike AND 80 * positive_score <= 100 * n.score AND n.score <= positive_score QUALIFY rank <= 5"""
+
+
+def op13_benchmark_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _op13_sql(size: int = decontamination.SIZE) -> str:
+    ws = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH worded AS (SELECT row_number() OVER () AS r, doc_id, {ws} AS ws FROM documents
+), items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {ws} AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, ws[i:i + least(len(ws), {size}) - 1] AS w, least(len(ws), {size}) AS n FROM (SELECT *, unnest(range(1, greatest(len(ws) - {size}, 0) + 2)) AS i FROM items WHERE len(ws) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows
+), hits AS (
+  SELECT r, f, n, item FROM (SELECT r, n, i AS f, ws[i:i + n - 1] AS w FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM worded, lengths)) JOIN windows USING (n, w)
+), covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(f, f + n)) AS j FROM (SELECT DISTINCT r, f, n FROM hits)) GROUP BY r
+), named AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM worded LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op3_level_suffixes, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix, op10_chosen_path)}
+    return {f.__name__: f for f in (op1_ngram_llr, op2_url_rules, op3_level_suffixes, op4_bottom_k, op5_forward_langid, op6_wrapper_text, op7_max_plus_pieces, op8_feistel_shards, op9_entropy_mix, op10_chosen_path, op11_value_dictionaries, op12_four_russians, op13_benchmark_ngrams)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_llr": _op1_sql(), "op8_feistel_shards": _op8_sql()}
+    return {"op1_ngram_llr": _op1_sql(), "op8_feistel_shards": _op8_sql(), "op11_value_dictionaries": _op11_sql(), "op12_four_russians": _op12_sql(), "op13_benchmark_ngrams": _op13_sql()}
