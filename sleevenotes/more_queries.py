@@ -61,12 +61,40 @@ def c30_move_plan(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {HISTORY_SQL}, s AS (SELECT session_id FROM v_history GROUP BY session_id ORDER BY max(timestamp) DESC, session_id DESC LIMIT 1), l AS (SELECT h.* FROM v_history h JOIN s USING (session_id)), t AS (SELECT DISTINCT original_path AS target FROM v_history WHERE ord % 5 = 0),
     n AS (SELECT l.*, row_number() OVER (PARTITION BY original_path ORDER BY ord) - CASE WHEN t.target IS NULL THEN 1 ELSE 0 END AS k FROM l LEFT JOIN t ON original_path = t.target)
-    SELECT action_id, target_path AS source, CASE WHEN k = 0 THEN original_path ELSE original_path || ' (' || k || ')' END AS final, timestamp FROM n"""
+    SELECT action_id, target_path AS source, CASE WHEN k = 0 THEN original_path ELSE original_path || ' (UNDO' || k || ')' END AS final, timestamp FROM n"""
 )
 def c21_undo_plan(spark: SparkSession, sf: str) -> DataFrame:
     h = A.history(spark, sf)
     last = h.join(runs.nth_latest(h, 1).select("session_id"), "session_id")
-    return moves.undo_plan(last, h.filter("ord % 5 = 0").select(F.col("original_path").alias("target")))
+    return moves.undo_plan(last, h.filter("ord % 5 = 0").select(F.col("original_path").alias("target"))).drop("skipped")
+
+
+@query(
+    f"""WITH {HISTORY_SQL}, l AS (SELECT action_id, timestamp, ord, target_path AS source, original_path[:4] || 'x.mp3' AS target FROM v_history WHERE contains(original_path, 'in/1')), t AS (SELECT DISTINCT original_path[:4] || 'x.mp3' AS target FROM v_history WHERE ord % 5 = 0),
+    h AS (SELECT DISTINCT target_path AS source FROM v_history WHERE ord % 3 > 0 AND destination <> 'duplicate'), n AS (SELECT l.*, row_number() OVER (PARTITION BY l.target ORDER BY ord) - CASE WHEN t.target IS NULL THEN 1 ELSE 0 END AS k FROM l SEMI JOIN h USING (source) LEFT JOIN t USING (target))
+    SELECT action_id, source, CASE WHEN k = 0 THEN target ELSE target[:len(target) - 4] || ' (UNDO' || k || ').mp3' END AS final, timestamp, NULL AS skipped FROM n
+    UNION ALL SELECT action_id, source, NULL, timestamp, 'missing' FROM l ANTI JOIN h USING (source)"""
+)
+def c21_undo_by_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Moves undone by a part of their path: what is not there any more is skipped, what is taken again gets a number before its extension."""
+    h = A.history(spark, sf)
+    short = F.concat(F.substring("original_path", 1, 4), F.lit("x.mp3"))
+    some = moves.chosen(h, path="in/1").withColumn("original_path", short)
+    there = h.filter("ord % 3 > 0 AND destination <> 'duplicate'").select(F.col("target_path").alias("source"))
+    return moves.undo_plan(some, h.filter("ord % 5 = 0").select(short.alias("target")), there)
+
+
+@query(
+    f"""WITH {HISTORY_SQL}, s AS (SELECT session_id AS apply_session_id, original_path AS file_path, destination AS field_name, CAST(ord AS VARCHAR) AS original_value, CAST(ord + 1 AS VARCHAR) AS new_value, ord, ord % 4 > 0 AS written, ord % 9 = 0 AS undone FROM v_history)
+    SELECT file_path[:4] AS file_path, field_name, arg_min(original_value, ord) AS restored, arg_max(new_value, ord) AS found, count(*) AS changes FROM s WHERE written AND NOT undone AND contains(file_path, '/2') GROUP BY ALL"""
+)
+def c21_undo_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Tag changes taken back by a part of the files' paths: each field gets its oldest value again."""
+    n = F.col("ord")
+    snapshots = A.history(spark, sf).filter(F.col("original_path").contains("/2")).select(
+        F.col("session_id").alias("apply_session_id"), F.substring("original_path", 1, 4).alias("file_path"), F.col("destination").alias("field_name"), n.cast("string").alias("original_value"), (n + 1).cast("string").alias("new_value"), "ord", (n % 4 > 0).alias("written"), (n % 9 == 0).alias("undone")
+    )
+    return moves.undo_tags(snapshots)
 
 
 # Filters and joins
@@ -141,12 +169,8 @@ def j06_key_to_wheel(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TRACKS_SQL}, d AS (SELECT a.isrc, count(*) AS pairs, count(DISTINCT a.folder_path) AS folders, max(b.folder_path) AS last_folder FROM v_tracks a JOIN v_tracks b ON a.isrc = b.isrc AND a.file_id < b.file_id GROUP BY a.isrc) SELECT * FROM d")
 def j16_duplicates_with_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Duplicate edges joined back to both files' folders, summed by identifier."""
-    t = A.tracks(spark, sf)
-    edges = dedupe.same_identifier(t)
-    a, b = t.select(F.col("file_id").alias("file_id_a"), F.col("folder_path").alias("folder_a")), t.select(F.col("file_id").alias("file_id_b"), F.col("folder_path").alias("folder_b"))
-    both = edges.join(a, "file_id_a").join(b, "file_id_b")
-    return both.groupBy(F.col("signal_value").alias("isrc")).agg(F.count("*").alias("pairs"), F.count_distinct("folder_a").alias("folders"), F.max("folder_b").alias("last_folder"))
+    """Duplicates with the folders of both sides, by identifier; counted, not paired."""
+    return dedupe.identifier_folders(A.tracks(spark, sf))
 
 
 @query(

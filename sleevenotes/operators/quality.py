@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alignment, garbage_reasons, int_prefix, similarity, track_number
+from .order import gap_ranges, medians
 from .votes import plurality
 
 #: Weights of the seven factors, and of fields in tag completeness.
@@ -14,22 +15,28 @@ HEURISTIC = 0.60
 FIELD_WEIGHTS = {"artist": 0.20, "title": 0.20, "album": 0.15, "albumartist": 0.10, "year": 0.10, "genre": 0.08, "bpm": 0.07, "key": 0.05, "label": 0.03, "isrc": 0.02}
 
 
-#: Missing numbers that are listed; all are counted.
-LISTED = 1000
-
-
 def numbers(df: DataFrame, by: list[str], number: Column) -> DataFrame:
-    """Track numbers of a folder: ``gaps`` (the first `LISTED` missing numbers), ``gap_count`` (all of them), ``repeats``,
-    ``completeness`` and ``consecutive``. A number out of all reason makes a large count, not a large array."""
+    """Track numbers of a folder: ``gaps`` (every run of missing numbers as "first-last"), ``gap_count`` (how many numbers
+    are missing), ``repeats``, ``completeness`` and ``consecutive``.
+
+    Runs are found among distinct numbers (`gap_ranges`); a number out of all reason makes a long run, not a long list."""
     counted = df.select(*by, number.alias("_k")).groupBy(*by, "_k").agg(F.count("*").alias("_n"))
     known = F.col("_k").isNotNull()
-    found = counted.groupBy(*by).agg(F.sort_array(F.collect_list("_k")).alias("have"), F.sort_array(F.collect_list(F.when(known & (F.col("_n") > 1), F.col("_k")))).alias("repeats"))
-    after = lambda i: F.get(F.col("have"), i + 1)
-    ranges = F.transform("have", lambda x, i: F.when(after(i) - x > 1, F.sequence(x + 1, F.least(after(i) - 1, x + LISTED))).otherwise(F.array().cast("array<int>")))
-    count = F.when(F.size("have") >= 2, F.element_at("have", -1) - F.element_at("have", 1) + 1 - F.size("have")).otherwise(0)
-    out = found.withColumns({"gaps": F.slice(F.flatten(ranges), 1, LISTED), "gap_count": count})
+    found = counted.groupBy(*by).agg(F.count("_k").alias("_numbers"), F.sort_array(F.collect_list(F.when(known & (F.col("_n") > 1), F.col("_k")))).alias("repeats"))
+    runs = gap_ranges(counted, by, F.col("_k")).groupBy(*by).agg(F.sum("missing").alias("gap_count"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_runs"))
+    told = F.transform("_runs", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string")))
+    out = _joined(found, runs, by).withColumns({"gaps": F.coalesce(told, F.array().cast("array<string>")), "gap_count": F.coalesce("gap_count", F.lit(0).cast("long"))}).drop("_runs")
     score = 1 - F.least(F.lit(0.30), F.col("gap_count") * 0.06) - F.least(F.lit(0.20), F.size("repeats") * 0.07)
-    return out.withColumn("completeness", F.greatest(F.lit(0.0), score)).withColumn("consecutive", (F.size("have") > 0) & (F.col("gap_count") == 0) & (F.size("repeats") == 0)).drop("have")
+    return out.withColumn("completeness", F.greatest(F.lit(0.0), score)).withColumn("consecutive", (F.col("_numbers") > 0) & (F.col("gap_count") == 0) & (F.size("repeats") == 0)).drop("_numbers")
+
+
+def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Left join on keys that may be null."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(other, same, "left").drop(*[f"_r_{c}" for c in by])
 
 
 def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame:
@@ -47,14 +54,13 @@ def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame
     facts = df.groupBy(*by).agg(
         F.count("*").alias("files"),
         F.avg(any_tag.cast("int")).alias("tag_coverage"),
-        F.median(F.col("bpm").try_cast("double")).alias("median_bpm"),
         F.bool_and(F.col("ext") == ".flac").alias("lossless"),
         (F.max(year) - F.min(year)).alias("year_spread"),
         (F.count_distinct(disc) > 1).alias("multi_disc"),
         (F.count_distinct(F.lower(F.trim("artist"))) / F.count("artist")).alias("unique_artists"),
         F.sum("size").alias("bytes"),
     )
-    return facts.join(formats, by)
+    return _joined(facts.join(formats, by), medians(df, by, F.col("bpm").try_cast("double"), "median_bpm"), by)
 
 
 def meaningful(c: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import PART, number_within, spread
+
 
 def diff(a: DataFrame, b: DataFrame, moved: float = 0.05) -> DataFrame:
     """Full outer comparison of two runs by proposed name."""
@@ -54,13 +56,17 @@ def resume(proposals: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def roll_up(log: DataFrame) -> DataFrame:
-    """First and last time, totals by destination and up to three examples of each session."""
-    ranked = log.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy("original_path")))
-    return ranked.groupBy("session_id").agg(
+    """First and last time, totals by destination and up to three examples of each session.
+
+    The examples are cut to three for a session before they are shuffled (window group limit), so a hot session is not
+    ranked in one task."""
+    totals = log.groupBy("session_id").agg(
         F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"), F.count("*").alias("actions"),
         *[F.count(F.when(F.col("destination") == d, 1)).alias(d) for d in ("clean", "review", "duplicate")],
-        F.concat_ws("|", F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.col("original_path"))))).alias("examples"),
     )
+    ranked = log.select("session_id", "original_path").withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy("original_path"))).filter("_r <= 3")
+    examples = ranked.groupBy(F.col("session_id").alias("_s")).agg(F.concat_ws("|", F.array_sort(F.collect_list("original_path"))).alias("examples"))
+    return totals.join(examples, F.col("session_id").eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def nth_latest(log: DataFrame, n: int) -> DataFrame:
@@ -69,9 +75,13 @@ def nth_latest(log: DataFrame, n: int) -> DataFrame:
     return last.orderBy(F.desc("last_ts"), F.desc("session_id")).offset(n - 1).limit(1)
 
 
-def free_names(plan: DataFrame, taken: DataFrame, target: str = "target", order: str = "source") -> DataFrame:
-    """Targets made unique: the first holder keeps a free name, the others (all, if it is taken) get " (n)"."""
-    n = F.row_number().over(Window.partitionBy(target).orderBy(order))
-    known = taken.select(F.col(target).alias("_t")).distinct()
-    numbered = plan.withColumn("_n", n).join(known, F.col(target) == F.col("_t"), "left").withColumn("_k", F.when(F.col("_t").isNull(), F.col("_n") - 1).otherwise(F.col("_n")))
-    return numbered.withColumn("final", F.when(F.col("_k") == 0, F.col(target)).otherwise(F.concat(F.col(target), F.lit(" ("), F.col("_k").cast("string"), F.lit(")")))).drop("_n", "_t", "_k")
+def free_names(plan: DataFrame, taken: DataFrame, target: str = "target", order: str = "source", form: str = "%s (%d)") -> DataFrame:
+    """Targets made unique: the first holder keeps a free name, the others (all, if it is taken) get a number, in ``form``.
+
+    In a form of three parts, as ``"%s (UNDO%d)%s"``, the number stands before the extension. A target that very many rows
+    share is numbered over many tasks (`number_within`)."""
+    known = taken.select(target).distinct().withColumn("_taken", F.lit(1))
+    numbered = spread(number_within(plan, [target], [order], "_n"), [target], known).withColumn("_k", (F.col("_n") - 1 + F.coalesce("_taken", F.lit(0))).cast("int"))
+    extension = F.regexp_extract(target, r"[^/](\.[^./]+)$", 1)
+    parts = [F.col(target), F.col("_k")] if form.count("%") == 2 else [F.expr(f"substring({target}, 1, length({target}) - length(_extension))"), F.col("_k"), F.col("_extension")]
+    return numbered.withColumn("_extension", extension).withColumn("final", F.when(F.col("_k") == 0, F.col(target)).otherwise(F.format_string(form, *parts))).drop("_n", "_taken", "_k", "_extension", PART)

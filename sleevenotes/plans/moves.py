@@ -17,10 +17,40 @@ def move_plan(routed: DataFrame, taken: DataFrame, root: str) -> DataFrame:
     return moved.unionByName(left)
 
 
-def undo_plan(log: DataFrame, taken: DataFrame) -> DataFrame:
-    """Logged moves, newest first, back from target to original; originals that are taken again get " (n)"."""
+def chosen(log: DataFrame, action_id: str | None = None, session_id: str | None = None, path: str | None = None, folder: str | None = None) -> DataFrame:
+    """The logged actions of one id, else of one session, else with ``path`` in the original path, else of a folder: its
+    name or a part of the original path."""
+    if action_id is not None:
+        return log.filter(F.col("action_id") == action_id)
+    if session_id is not None:
+        return log.filter(F.col("session_id") == session_id)
+    part = path if path is not None else folder
+    if part is None:
+        raise ValueError("what to undo: an action_id, a session_id, a path or a folder")
+    return log.filter(F.col("original_path").contains(part))
+
+
+def undo_plan(log: DataFrame, taken: DataFrame, there: DataFrame | None = None) -> DataFrame:
+    """Logged moves back from target to original; originals that are taken again get " (UNDOn)" before their extension.
+
+    there: ``source`` of what is still where it was moved to; what is not is ``skipped`` as missing."""
     back = log.select("action_id", "timestamp", "ord", F.col("target_path").alias("source"), F.col("original_path").alias("target"))
-    return free_names(back, taken, order="ord").select("action_id", "source", "final", "timestamp")
+    lost = F.lit(None).cast("string")
+    if there is not None:
+        back = back.join(there.select("source").distinct().withColumn("_there", F.lit(True)), "source", "left")
+        missing = back.filter("_there IS NULL").select("action_id", "source", lost.alias("final"), "timestamp", F.lit("missing").alias("skipped"))
+        back = back.filter("_there").drop("_there")
+    done = free_names(back, taken, order="ord", form="%s (UNDO%d)%s").select("action_id", "source", "final", "timestamp", lost.alias("skipped"))
+    return done if there is None else done.unionByName(missing)
+
+
+def undo_tags(snapshots: DataFrame, session_id: str | None = None, path: str | None = None) -> DataFrame:
+    """Written and not yet undone changes of a session, or of files with ``path`` in their path, newest first by
+    ``ord``: the value each field gets back. A field changed more than once gets the oldest value."""
+    some = snapshots.filter("written AND NOT undone")
+    some = some.filter(F.col("apply_session_id") == session_id) if session_id is not None else some
+    some = some.filter(F.col("file_path").contains(path)) if path is not None else some
+    return some.groupBy("file_path", "field_name").agg(F.min_by("original_value", "ord").alias("restored"), F.max_by("new_value", "ord").alias("found"), F.count("*").alias("changes"))
 
 
 def apply_plan(proposals: DataFrame, protected: list[str], cap: int | None = None) -> DataFrame:

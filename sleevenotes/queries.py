@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dedupe, learn, quality, routing, runs, votes
+from .operators import dedupe, learn, order, quality, routing, runs, votes
 from .sources import adapters as A
 from .sources.adapters import HISTORY_SQL, REVIEWS_SQL, TRACKS_SQL, read, session_sql
 
@@ -79,9 +79,22 @@ NUMBERS_SQL = """n AS (SELECT folder_path, CAST(regexp_extract(tracknumber, '^\\
   scored AS (SELECT *, greatest(0.0, 1 - least(0.30, len(gaps) * 0.06) - least(0.20, len(repeats) * 0.07)) AS completeness FROM numbers)"""
 
 
-@query(f"WITH {TRACKS_SQL}, {NUMBERS_SQL} SELECT folder_path, repeats, gaps, completeness, len(gaps) = 0 AND len(repeats) = 0 AS consecutive FROM scored")
+@query(
+    f"""WITH {TRACKS_SQL}, {NUMBERS_SQL}, l AS (SELECT folder_path, k + 1 AS a, lead(k) OVER (PARTITION BY folder_path ORDER BY k) - 1 AS b FROM (SELECT DISTINCT folder_path, k FROM n WHERE k <> 0)),
+    g AS (SELECT folder_path, list(a || '-' || b ORDER BY a) AS runs, CAST(sum(b - a + 1) AS BIGINT) AS missing FROM l WHERE b >= a GROUP BY folder_path)
+    SELECT folder_path, repeats, coalesce(runs, []) AS gaps, coalesce(missing, 0) AS gap_count, completeness, coalesce(missing, 0) = 0 AND len(repeats) = 0 AS consecutive FROM scored LEFT JOIN g USING (folder_path)"""
+)
 def a08_gaps_and_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.numbers(A.tracks(spark, sf), FOLDER, T.track_number(F.col("tracknumber"))).drop("gap_count")
+    return quality.numbers(A.tracks(spark, sf), FOLDER, T.track_number(F.col("tracknumber")))
+
+
+@query(
+    f"""WITH {TRACKS_SQL}, n AS (SELECT DISTINCT parent_path, CAST(regexp_extract(isrc, '[0-9]+', 0) AS BIGINT) AS k FROM v_tracks), l AS (SELECT parent_path, k + 1 AS first, lead(k) OVER (PARTITION BY parent_path ORDER BY k) - 1 AS last FROM n)
+    SELECT parent_path, first, last, last - first + 1 AS missing FROM l WHERE last >= first"""
+)
+def a10_gap_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of numbers that a parent's files lack, however long, a row each."""
+    return order.gap_ranges(A.tracks(spark, sf), ["parent_path"], F.regexp_extract("isrc", r"\d+", 0).cast("long"))
 
 
 @query(
@@ -212,11 +225,7 @@ def j01_same_identifier(spark: SparkSession, sf: str) -> DataFrame:
     FROM t a JOIN t b ON a.v = b.v AND a.file_id < b.file_id AND abs(a.d - b.d) < 2.0) SELECT signal_type, signal_value, count(*) AS pairs, min(file_id_a) AS first_a, max(file_id_b) AS last_b, min(similarity) AS similarity FROM e GROUP BY ALL"""
 )
 def j02_same_title_and_length(spark: SparkSession, sf: str) -> DataFrame:
-    return _by_signal(dedupe.same_title_and_length(A.tracks(spark, sf)))
-
-
-def _by_signal(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("signal_type", "signal_value").agg(F.count("*").alias("pairs"), F.min("file_id_a").alias("first_a"), F.max("file_id_b").alias("last_b"), F.min("similarity").alias("similarity"))
+    return dedupe.near_duration_groups(A.tracks(spark, sf))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .functions import tags as G
 from .functions.text import connected
 from .operators import context, fixes, learn, reports
+from .operators.order import PART, positions
 from .plans import moves
 from .queries import LEARN_SQL, query
 from .sources import adapters as A
@@ -321,11 +322,10 @@ def o04_least_complete(spark: SparkSession, sf: str) -> DataFrame:
     return context.folder_context(raw_files(spark, sf)).orderBy("tag_completeness", "folder_path").limit(10).select("folder_path", "files", "tag_completeness", "dominant_artist", "is_va")
 
 
-@query(f"WITH {RAW_SQL}, {CONTEXT_SQL} SELECT folder_path, structure_type, context_score, row_number() OVER (ORDER BY context_score, folder_path) AS place FROM v_context ORDER BY place LIMIT 100")
+@query(f"WITH {RAW_SQL}, {CONTEXT_SQL} SELECT folder_path, structure_type, context_score, row_number() OVER (ORDER BY context_score, folder_path) AS place FROM v_context")
 def o08_least_trusted(spark: SparkSession, sf: str) -> DataFrame:
-    """The hundred least trusted folders, in order (O08). The order is taken among those hundred only."""
-    few = context.folder_context(raw_files(spark, sf)).select("folder_path", "structure_type", "context_score").orderBy("context_score", "folder_path").limit(100)
-    return few.withColumn("place", F.row_number().over(Window.orderBy("context_score", "folder_path")))
+    """All folders with their places by falling need of a look: the least trusted first."""
+    return positions(context.folder_context(raw_files(spark, sf)).select("folder_path", "structure_type", "context_score"), ["context_score", "folder_path"]).drop(PART)
 
 
 @query(f"WITH {HISTORY_SQL}, s AS (SELECT session_id, max(timestamp) AS last_ts, count(*) AS actions FROM v_history GROUP BY session_id ORDER BY last_ts DESC, session_id DESC LIMIT 20) SELECT *, row_number() OVER (ORDER BY last_ts DESC, session_id DESC) AS place FROM s")

@@ -10,6 +10,7 @@ from .functions import tags as G
 from .functions import text as T
 from .naming_queries import FOLDERS, STEMS
 from .operators import classify, naming, proposals, runs
+from .operators.order import PART, positions
 from .operators.votes import plurality
 from .queries import ROUTE_SQL, _routed, query
 from .scanner_queries import _q
@@ -251,8 +252,7 @@ def s09_dictionaries(spark: SparkSession, sf: str) -> DataFrame:
     return named.join(mine, "k", "left").join(both, "k", "left").select("c_custkey", F.coalesce("own", "reference", "n_name").alias("name"))
 
 
-@query(f"{ROUTE_SQL}, f AS (SELECT folder_path, proposed_name, destination FROM routed ORDER BY folder_path LIMIT 100) SELECT *, row_number() OVER (ORDER BY folder_path) AS place FROM f")
+@query(f"{ROUTE_SQL} SELECT folder_path, proposed_name, destination, row_number() OVER (ORDER BY folder_path) AS place FROM routed")
 def o01_first_by_path(spark: SparkSession, sf: str) -> DataFrame:
-    """The first hundred proposals in their canonical order (O01). Only those are numbered."""
-    few = _routed(spark, sf).select("folder_path", "proposed_name", "destination").orderBy("folder_path").limit(100)
-    return few.withColumn("place", F.row_number().over(Window.orderBy("folder_path")))
+    """All proposals with their places in the canonical order."""
+    return positions(_routed(spark, sf).select("folder_path", "proposed_name", "destination"), ["folder_path"]).drop(PART)
