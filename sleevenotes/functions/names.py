@@ -44,9 +44,10 @@ MIX_WORDS = ["remix", "edit", "mix", "version", "rework", "bootleg", "dub", "ori
 LABEL_LIKE = r"(?i)\b(Records?|Discos?|Recordings?|Label|Music\s+Group|Inc\.?|Ltd\.?|Disques?)\b"
 LABEL_TAIL = r"(?i)\s*(Records?|Recordings?|Music|Entertainment|Ltd\.?|Inc\.?|LLC)\s*$"
 SMALL = ["a", "an", "the", "and", "but", "or", "for", "nor", "on", "at", "to", "by", "in", "of", "vs"]
+SMALL_IN_NAMES = ["a", "an", "the", "and", "but", "or", "for", "at", "to", "by", "in", "of", "vs"]
 SMALL_IN_LOWER = ["a", "an", "the", "and", "but", "or", "for", "nor", "of", "in", "on", "at", "to", "by", "up", "as", "vs", "via", "feat", "feat.", "ft.", "b/w", "vs."]
 ALWAYS_UPPER = ["dj", "mc", "ep", "lp", "va", "uk", "us", "la", "nyc", "ny", "ii", "iii", "iv", "vi"]
-RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"{port}{n}" for port in ("COM", "LPT") for n in range(1, 10))]
+RESERVED = ["CON", "PRN", "AUX", "NUL", "COM1", "COM2", "COM3", "COM4", "COM5", "COM6", "COM7", "COM8", "COM9", "LPT1", "LPT2", "LPT3", "LPT4", "LPT5", "LPT6", "LPT7", "LPT8", "LPT9"]
 CLUSTER_TAILS = [r"\s*[\[\(]\s*e\.?p\.?\s*[\]\)]\s*$", r"\s+e\.?p\.?\s*$", r"\s*[\[\(]\s*l\.?p\.?\s*[\]\)]\s*$", r"\s+l\.?p\.?\s*$"]
 DJ_ENCODED = r"(?i)^\d{2,3}\s*bpm|^\d{2,3}\s*[-–]\s*[A-Ga-g][#b]?\s*(m|min|maj)?\s*[-–]"
 STORE_MULTI = r"^(.+?)\s+-\s+(.+?,\s*.+?)(?:\s+\(([^)]+)\))?\s*$"
@@ -97,12 +98,34 @@ def title_case(c: Column) -> Column:
     return F.when(F.size(lettered) == 0, c).when(caps, F.array_join(from_caps, " ")).when(F.forall(lettered, whispered), F.array_join(F.transform(ws, from_small), " ")).otherwise(c)
 
 
+#: Letters that Unicode composes of a letter and a mark: pairs, each after a bar, and what they make, in one order.
+_COMPOSED = [(d, chr(n)) for n in range(0xC0, 0x2000) if len(d := unicodedata.normalize("NFD", chr(n))) == 2 and unicodedata.normalize("NFC", d) == chr(n)]
+_COMPOSED += [(b + d[-1], chr(n)) for n in range(0xC0, 0x2000) if len(d := unicodedata.normalize("NFD", chr(n))) > 2 and len(b := unicodedata.normalize("NFC", d[:-1])) == 1 and unicodedata.normalize("NFC", d) == chr(n)]
+
+
+@once
+def nfc(c: Column) -> Column:
+    """Letters and the marks that follow them put together (NFC), for marks in their canonical order."""
+    pairs, made = F.lit("".join("|" + pair for pair, _ in _COMPOSED)), F.lit("".join(one for _, one in _COMPOSED))
+
+    def step(done: Column, x: Column) -> Column:
+        place = F.position(F.concat(F.lit("|"), F.right(done, F.lit(1)), x), pairs)
+        joined = F.concat(F.substring(done, F.lit(1), F.length(done) - 1), F.substring(made, F.floor((place + 2) / 3).cast("int"), F.lit(1)))
+        return F.when(x.rlike(r"\p{M}") & (place > 0), joined).otherwise(F.concat(done, x))
+
+    return F.when(c.rlike(r"\p{M}"), F.aggregate(F.split(c, ""), F.lit(""), step)).otherwise(c)
+
+
 @once
-def artist_display(c: Column, alias: Column | None = None, the: str = "keep-front") -> Column:
-    """A name as it is shown: case, alias (if there is one, it is all), connectors, hyphens, and where "The" goes."""
+def artist_display(c: Column, alias: Column | None = None, the: str = "keep-front", letters: dict[str, str] | None = None) -> Column:
+    """A name as it is shown: composed letters, the user's ``letters`` for others, case, alias (if there is one, it is
+    all), connectors, hyphens, and where "The" goes."""
+    c = nfc(c)
+    for old, new in (letters or {}).items():
+        c = F.replace(c, F.lit(old), F.lit(new))
     ws = words(strip(c))
     caps = F.forall(F.filter(ws, lambda w: F.length(w) > 2), shouted)
-    from_caps = F.array_join(F.transform(ws, lambda w, i: F.when((i == 0) | ~F.lower(w).isin([w for w in SMALL if w not in ("nor", "on", "by")] + ["by"]), capital(w)).otherwise(F.lower(w))), " ")
+    from_caps = F.array_join(F.transform(ws, lambda w, i: F.when((i == 0) | ~F.lower(w).isin(SMALL_IN_NAMES), capital(w)).otherwise(F.lower(w))), " ")
     cased = title_case(F.when(caps, from_caps).otherwise(strip(c)))
     joined = F.regexp_replace(strip(F.regexp_replace(cased, CONNECTORS, " & ")), r"\s*&\s*", " & ")
     plain = F.regexp_replace(joined, "[–—‐−]", "-")
@@ -112,16 +135,22 @@ def artist_display(c: Column, alias: Column | None = None, the: str = "keep-fron
     return F.when(F.coalesce(c, F.lit("")) == "", c).otherwise(F.coalesce(alias, plain) if alias is not None else plain)
 
 
+@once
+def artist_low(c: Column) -> Column:
+    """A name in small letters, composed, its connectors made alike, without a leading "the"."""
+    return F.regexp_replace(strip(F.regexp_replace(nfc(F.lower(strip(c))), CONNECTORS, " & ")), r"^the\s+", "")
+
+
 @once
 def artist_key(c: Column) -> Column:
     """Parts of a name, sorted, in small letters and without a leading "the": names of one artist have one key."""
-    low = F.regexp_replace(strip(F.regexp_replace(F.lower(strip(c)), CONNECTORS, " & ")), r"^the\s+", "")
+    low = artist_low(c)
     return F.array_sort(F.filter(F.transform(F.split(low, r"\s*[,&]\s*"), strip), lambda p: p != ""))
 
 
 def same_artist(a: Column, b: Column, least: float = 0.92) -> Column:
     """Whether two names are one artist's: equal keys, or nearly the same words."""
-    low = lambda c: F.regexp_replace(strip(F.regexp_replace(F.lower(strip(c)), CONNECTORS, " & ")), r"^the\s+", "")
+    low = artist_low
     x, y = F.array_distinct(words(low(a))), F.array_distinct(words(low(b)))
     near = (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_intersect(x, y)) >= least * F.size(F.array_union(x, y)))
     return (low(a) == low(b)) | (artist_key(a) == artist_key(b)) | near

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import text as T
-from .naming_queries import BRACKET_MIX, DASH_MIX, KEY, MIXES, _list, clean_title_sql, display_sql, fold_sql, folders_ctes, parsed_ctes, safe_sql, stems_ctes, title_sql
-from .operators import classify, context, library, proposals
+from .naming_queries import BRACKET_MIX, DASH_MIX, KEY, MIXES, _list, clean_title_sql, display_sql, fold_sql, folders_ctes, parsed_ctes, safe_sql, same_sql, stems_ctes, title_sql
+from .operators import classify, context, library, patterns, proposals
 from .operators.classify import EP_NAME, MIX_NAME, VARIOUS
 from .queries import SIMILAR_SQL, query
 from .scanner_queries import CONTEXT_SQL, _q
@@ -107,8 +107,9 @@ def proposals_ctes(as_album: bool = False, tail: str = "") -> str:
     va_1{t} AS (SELECT *, CASE WHEN {yes} THEN false WHEN crate_type IS NOT NULL THEN false WHEN forced THEN true WHEN labelled THEN false ELSE flagged_va AND rule IS NULL END AS is_va, labelled AND NOT forced AS swapped,
       CASE WHEN {yes} THEN 'as_album' WHEN crate_type IS NOT NULL THEN 'crate' WHEN forced THEN 'folder_name' WHEN labelled THEN 'D' WHEN flagged_va AND rule IS NOT NULL THEN rule WHEN {keyword} THEN 'keyword' WHEN flagged_va THEN 'many_artists' ELSE 'one_artist' END AS va_rule, {crate_on} AS is_crate FROM va_0{t}),
     pr_0{t} AS (SELECT *, coalesce(album_shown, heuristic_album, CASE WHEN is_crate THEN folder_name END) AS alb, {main_shown(f"coalesce(CASE WHEN swapped OR ({yes} AND {keyword}) THEN artist_k END, aa_shown, CASE WHEN va_rule = 'I' THEN heuristic_artist END)")} AS who1, {main_shown('artist_shown')} AS who2 FROM va_1{t}),
-    pr_1{t} AS (SELECT *, {fold_sql(title_sql('alb'), N.DISPLAY_NOISE)} AS album_d0, CASE WHEN is_va THEN 'VA' ELSE coalesce({display_sql('who1')}, {display_sql('who2')}, CASE WHEN is_crate THEN 'VA' END) END AS artist_display,
-      CASE WHEN coalesce(year_all, 0) * 1.0 / files >= 0.50 AND year_share >= 0.70 AND try_cast(year_k AS INT) BETWEEN 1900 AND 2100 THEN try_cast(year_k AS INT) END AS year_picked, files BETWEEN 2 AND 6 OR regexp_matches(folder_name, {_q(EP_NAME)}) AS is_ep FROM pr_0{t}),
+    pr_00{t} AS (SELECT *, {display_sql('who1')} AS d1, {display_sql('who2')} AS d2, regexp_split_to_array(heuristic_artist, '(?i)\\s+(?:and|&)\\s+') AS hp, {display_sql("array_to_string(regexp_split_to_array(heuristic_artist, '(?i)\\s+(?:and|&)\\s+'), ' & ')")} AS dh FROM pr_0{t}),
+    pr_1{t} AS (SELECT *, {fold_sql(title_sql('alb'), N.DISPLAY_NOISE)} AS album_d0, CASE WHEN is_va THEN 'VA' ELSE coalesce(CASE WHEN who1 IS NULL AND len(hp) >= 2 AND trim(d2) <> '' AND len(list_filter(hp, lambda p: contains(lower(p), lower(trim(d2))))) > 0 THEN dh END, d1, d2, CASE WHEN is_crate THEN 'VA' END) END AS artist_display,
+      CASE WHEN coalesce(year_all, 0) * 1.0 / files >= 0.50 AND year_share >= 0.70 AND try_cast(year_k AS INT) BETWEEN 1900 AND 2100 THEN try_cast(year_k AS INT) END AS year_picked, files BETWEEN 2 AND 6 OR regexp_matches(folder_name, {_q(EP_NAME)}) AS is_ep FROM pr_00{t}),
     pr_2{t} AS (SELECT *, CASE WHEN {bare} <> '' THEN {bare} ELSE album_d0 END AS album_display, NOT is_ep AND regexp_matches(folder_name, {_q(MIX_NAME)}) AS is_mix FROM pr_1{t}),
     pr_3{t} AS (SELECT *, CASE WHEN is_ep THEN trim(regexp_replace(album_display, '(?i)\\s*[\\(\\[]\\s*E\\.?P\\.?\\s*[\\)\\]]\\s*$|\\s+E\\.?P\\.?\\s*$', '')) || ' [EP]' ELSE album_display END AS w FROM pr_2{t}),
     pr_4{t} AS (SELECT *, CASE WHEN year_picked IS NULL OR {unyear} = '' THEN w ELSE {unyear} END AS v FROM pr_3{t}),
@@ -145,6 +146,34 @@ def c04_crates(spark: SparkSession, sf: str) -> DataFrame:
     return proposals.crate(proposals.tag_votes(raw_files(spark, sf))).select("folder_path", "crate_type", "crate_score", "crate_reason")
 
 
+#: A user's patterns: sets, loose collections, vetoes learned from reviews, folders to ignore.
+OWN_PATTERNS = [("set", "(?i)^[0-9]+ .*feat"), ("set", "Ox \\[")] + [("crate", "(?i)vol[.]? ?[0-9]"), ("crate", "Lee 1"), ("crate", "([")] + [("veto", "Ann Lee - 19[0-9][0-9]"), ("veto", "(?i)live|x9$")] + [("ignore", "Ann *3"), ("ignore", "[!A]*7"), ("ignore", "Mix (1999)")]
+OWN_SQL = f"own AS (SELECT * FROM (VALUES {', '.join(f'({_q(k)}, {_q(p)})' for k, p in OWN_PATTERNS if p != '([')}) v(kind, pattern))"
+
+
+@query(
+    f"""WITH {PROPOSED_SQL}, {OWN_SQL}, said AS (SELECT folder_path, bool_or(kind = 'set') AS o_set, bool_or(kind = 'crate') AS o_crate, bool_or(kind = 'veto') AS o_veto FROM pf_loose JOIN own ON kind <> 'ignore' AND regexp_matches(folder_name, pattern) GROUP BY folder_path),
+    w0 AS (SELECT * REPLACE (CASE WHEN o_crate THEN 1.0 ELSE word END AS word) FROM pf_loose LEFT JOIN said USING (folder_path)), w1 AS (SELECT *, diversity * 0.35 + poor_share * 0.20 + loose * 0.15 + word * 0.15 + unflagged * 0.15 AS score FROM w0),
+    w2 AS (SELECT w1.* , CASE WHEN files < 3 THEN 'too_few_tracks' WHEN o_veto THEN 'learned_veto_pattern' WHEN o_set OR c.veto = 'set_prep_pattern_match' THEN 'set_prep_pattern_match' ELSE c.veto END AS veto FROM w1 JOIN (SELECT folder_path, veto FROM pf_veto) c USING (folder_path)),
+    w3 AS (SELECT *, CASE WHEN veto = 'set_prep_pattern_match' THEN 'set' WHEN veto IS NULL AND round(score, 9) >= CASE WHEN coalesce(regexp_matches(album_k, {_q(N.LABEL_LIKE)}), false) THEN 0.85 ELSE 0.55 END THEN 'singles' END AS crate_type FROM w2)
+    SELECT folder_path, crate_type, CASE WHEN veto = 'set_prep_pattern_match' THEN 0.9 WHEN veto IS NOT NULL THEN 0.0 ELSE round(score + 1e-9, 4) END AS crate_score, coalesce(veto, '-') AS veto FROM w3"""
+)
+def c04_own_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Loose collections with the user's own patterns: sets, keywords, learned vetoes."""
+    own = spark.createDataFrame(OWN_PATTERNS, "kind string, pattern string")
+    judged = proposals.crate(proposals.tag_votes(raw_files(spark, sf)), own=own)
+    reason = F.col("crate_reason")
+    veto = F.when(F.col("crate_type").eqNullSafe("singles") | (reason == "score_below_threshold"), "-").otherwise(reason)
+    return judged.select("folder_path", "crate_type", "crate_score", veto.alias("veto"))
+
+
+@query(f"WITH {RAW_SQL}, {OWN_SQL} SELECT DISTINCT folder_path, folder_name FROM v_raw WHERE NOT (folder_name = 'Mix (1999)' OR folder_name GLOB 'Ann *3' OR regexp_matches(folder_name, '^[^A].*7$'))")
+def p02_not_ignored(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders that none of the user's names and globs leaves out."""
+    own = spark.createDataFrame(OWN_PATTERNS, "kind string, pattern string")
+    return patterns.without_ignored(raw_files(spark, sf).select("folder_path", "folder_name").distinct(), "folder_name", own)
+
+
 @query(
     f"""WITH {PROPOSED_SQL}, {proposals_ctes(True, '_a')} SELECT coalesce(n.folder_path, a.folder_path) AS folder_path, n.folder_type, n.proposed_name, n.confidence, a.folder_type AS folder_type_as_album, a.proposed_name AS proposed_name_as_album, a.confidence AS confidence_as_album,
     CASE WHEN n.confidence IS NULL THEN 'new' WHEN a.confidence IS NULL THEN 'lost' WHEN n.proposed_name <> a.proposed_name THEN 'renamed' ELSE 'same' END AS change, coalesce(a.confidence >= 0.85 AND NOT coalesce(n.confidence >= 0.85, false), false) AS promoted
@@ -163,12 +192,13 @@ DECISIONS = ["folder_type", "va_rule", "artist_display", "album_display", "year_
     f"WITH {PROPOSED_SQL}, cut AS (SELECT * FROM proposed) "
     + " UNION ALL ".join(
         [f"SELECT folder_path, 'vote' AS section, '{f}' AS name, coalesce({f}_vote, '-') || ' ' || printf('%.4f', {f}_share) AS value FROM cut" for f in ("album", "aa", "artist")]
+        + [f"SELECT folder_path, 'factor', '{f}', printf('%.4f', round({f}, 9)) FROM cut" for f in EXPLAIN]
         + [f"SELECT folder_path, 'decision', '{f}', coalesce(CAST({f} AS VARCHAR), '-') FROM cut" for f in DECISIONS]
     )
 )
 def c34_explained(spark: SparkSession, sf: str) -> DataFrame:
-    """Votes and decisions of every folder as rows (C34); factors are in c01."""
-    return proposals.explain(proposals.propose(raw_files(spark, sf))).filter("section != 'factor'")
+    """Votes, factors and decisions of every folder as rows."""
+    return proposals.explain(proposals.propose(raw_files(spark, sf)))
 
 
 # Duplicates: all files arrive again; the library holds the numbered ones, some folders of it in another format.
@@ -279,9 +309,9 @@ def c29_track_renames(spark: SparkSession, sf: str) -> DataFrame:
     rf"""WITH {RAW_SQL}, ds AS (SELECT file_id AS fid, '' AS folder, regexp_replace(filename, '[.][^.]*$', '') AS stem FROM v_raw), {stems_ctes('ds', 'fid')},
     w AS (SELECT r.*, coalesce(nullif(trim(album_artist), ''), nullif(trim(r.artist), ''), {title_sql('dump_artist')}, '_Unknown') AS who, trim(regexp_replace(regexp_replace({fold_sql('lower(trim(album))', N.CLUSTER_TAILS)}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')) AS alb FROM v_raw r JOIN stems s ON s.fid = r.file_id),
     k AS (SELECT *, array_to_string({KEY('who')}, '|') AS key_ FROM w), sp AS (SELECT key_, arg_min(who, (-n, who)) AS artist_ FROM (SELECT key_, who, count(*) AS n FROM k GROUP BY ALL) GROUP BY key_), al AS (SELECT key_, alb, count(*) AS together FROM k WHERE coalesce(alb, '') <> '' GROUP BY ALL),
-    lib AS (SELECT DISTINCT array_to_string({KEY('n')}, '|') AS key_ FROM (SELECT {pick(['Ann Lee', 'x', 'Fox & The Ox'], 's_suppkey')} AS n FROM supplier))
-    SELECT file_id, {safe_sql('artist_')} AS artist, CASE WHEN together >= 2 THEN {safe_sql("coalesce(trim(album), '')")} ELSE 'Singles' END AS place, lib.key_ IS NOT NULL AS in_library, row_number() OVER (PARTITION BY k.key_, lower(title), size ORDER BY file_id) > 1 AS skipped
-    FROM k JOIN sp USING (key_) LEFT JOIN al ON al.key_ = k.key_ AND al.alb = k.alb LEFT JOIN lib ON lib.key_ = k.key_"""
+    lib AS (SELECT DISTINCT {pick(['Ann Lee', 'x', 'Fox & The Ox'], 's_suppkey')} AS n FROM supplier), lb AS (SELECT artist_, bool_or({same_sql('artist_', 'n')}) AS there FROM (SELECT DISTINCT artist_ FROM sp), lib GROUP BY artist_)
+    SELECT file_id, {safe_sql('artist_')} AS artist, CASE WHEN together >= 2 THEN {safe_sql("coalesce(trim(album), '')")} ELSE 'Singles' END AS place, coalesce(there, false) AS in_library, row_number() OVER (PARTITION BY k.key_, lower(title), size ORDER BY file_id) > 1 AS skipped
+    FROM k JOIN sp USING (key_) LEFT JOIN al ON al.key_ = k.key_ AND al.alb = k.alb LEFT JOIN lb USING (artist_)"""
 )
 def c24_dump_plan(spark: SparkSession, sf: str) -> DataFrame:
     """A dump sorted by artist and album."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
-from .operators import classify, dedupe, runs, votes
+from .operators import classify, containment, dedupe, runs, votes
 from .plans import moves
 from .queries import FOLDER, ROUTE_SQL, _routed, query
 from .sources import adapters as A
@@ -178,10 +178,16 @@ def j16_duplicates_with_paths(spark: SparkSession, sf: str) -> DataFrame:
     SELECT folder_path, hit = 1 AS sibling_has_it FROM x"""
 )
 def j19_sibling_contains(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether another folder of the same parent has a folder's album in its own (J19). A parent's albums are few or many:
+    they meet through an index of pieces, and a folder's own album is told by counting."""
     p = A.tracks(spark, sf).select("parent_path", "folder_path", "album").distinct()
-    a, b = p.alias("a"), p.alias("b")
-    met = a.join(b, (F.col("a.parent_path") == F.col("b.parent_path")) & (F.col("a.folder_path") != F.col("b.folder_path")))
-    return met.groupBy(F.col("a.folder_path").alias("folder_path")).agg(F.bool_or(F.contains("b.album", "a.album")).alias("sibling_has_it"))
+    scope = F.col("parent_path").alias("scope")
+    found = containment.hits(p.select(scope, F.col("album").alias("needle")), p.select(scope, F.col("album").alias("name")))
+    alone = p.select("parent_path", "folder_path").distinct().groupBy("parent_path").agg(F.count("*").alias("folders")).filter("folders > 1")
+    own = p.alias("x").join(p.alias("y"), (F.col("x.parent_path") == F.col("y.parent_path")) & (F.col("x.folder_path") == F.col("y.folder_path")))  # a folder's own albums
+    inside = own.groupBy("x.parent_path", "x.folder_path", "x.album").agg(F.count(F.when(F.contains("y.album", "x.album"), 1)).alias("inside"))
+    met = inside.join(found.select(F.col("scope").alias("parent_path"), F.col("needle").alias("album"), "hits"), ["parent_path", "album"], "left").join(alone, "parent_path")
+    return met.groupBy("folder_path").agg(F.bool_or(F.coalesce(F.col("hits") > F.col("inside"), F.lit(False))).alias("sibling_has_it"))
 
 
 # Reports

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names as N
-from .operators import naming
+from .operators import alike, naming
 from .queries import query
 from .scanner_queries import _q
 from .sources.adapters import read
@@ -68,11 +68,40 @@ KEY = lambda x: f"list_sort(list_filter(list_transform(regexp_split_to_array({LO
 
 def display_sql(x: str) -> str:
     ws = words_sql(f"trim({x})")
-    small = _list([w for w in N.SMALL if w not in ("nor", "on")])
+    small = _list(N.SMALL_IN_NAMES)
     caps = f"CASE WHEN len(list_filter({ws}, lambda w: length(w) > 2 AND NOT (w = upper(w) AND w <> lower(w)))) = 0 THEN array_to_string(list_transform({ws}, lambda w, i: CASE WHEN i = 1 OR NOT list_contains({small}, lower(w)) THEN upper(w[1]) || lower(w[2:]) ELSE lower(w) END), ' ') ELSE trim({x}) END"
     return f"(SELECT regexp_replace(regexp_replace(trim(regexp_replace({title_sql('y')}, {_q(CONNECT)}, ' & ', 'g')), '\\s*&\\s*', ' & ', 'g'), '[–—‐−]', '-', 'g') FROM (SELECT {caps} AS y))"
 
 
+def same_sql(a: str, b: str) -> str:
+    """Whether two names are one artist's."""
+    x, y = (f"list_distinct({words_sql(LOW(c))})" for c in (a, b))
+    return f"({LOW(a)} = {LOW(b)} OR {KEY(a)} = {KEY(b)} OR (len({x}) > 0 AND len({y}) > 0 AND len(list_intersect({x}, {y})) >= 0.92 * len(list_distinct(list_concat({x}, {y})))))"
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, array_to_string(string_split_regex(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' ')[1:14], ' ') || CASE doc_id % 4 WHEN 0 THEN ' & The Ox' WHEN 1 THEN ' and the ox' ELSE '' END AS name FROM documents),
+    w AS (SELECT doc_id, name, {LOW('name')} AS low, {KEY('name')} AS parts, list_distinct({words_sql(LOW('name'))}) AS ws FROM n), a AS (SELECT DISTINCT name, low, parts, ws FROM w WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT name, low, parts, ws FROM w WHERE doc_id % 2 = 1)
+    SELECT a.name AS a, b.name AS b FROM a JOIN b ON a.low = b.low OR a.parts = b.parts OR (len(a.ws) > 0 AND len(b.ws) > 0 AND len(list_intersect(a.ws, b.ws)) >= 0.92 * len(list_distinct(list_concat(a.ws, b.ws))))"""
+)
+def j15_same_artists(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of two catalogs that are one artist's, joined by keys and by rare words."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    tail = F.when(F.col("doc_id") % 4 == 0, " & The Ox").when(F.col("doc_id") % 4 == 1, " and the ox").otherwise("")
+    names = read(spark, sf, "documents").select("doc_id", F.concat(F.array_join(F.slice(F.split(plain, " "), 1, 14), " "), tail).alias("name"))
+    return alike.same_artists(names.filter("doc_id % 2 = 0"), names.filter("doc_id % 2 = 1"))
+
+
+MARKED = ["Be\u0301la & Co", "sigur ro\u0301s", "AMADOU ET MARIAM", "the Bjo\u0308rks", "\u1e69 \u01ed"]
+
+
+@query(f"WITH n AS (SELECT s_suppkey, nfc_normalize({pick(MARKED, 's_suppkey')}) AS a FROM supplier), m AS (SELECT s_suppkey, replace(replace(a, 'ö', 'oe'), 'MARIAM', 'Mariama') AS a FROM n) SELECT s_suppkey, {display_sql('a')} AS display FROM m")
+def f04_composed_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Display forms of names with marks apart from their letters, and with letters of the user's."""
+    d = read(spark, sf, "supplier").selectExpr("s_suppkey", f"{pick(MARKED, 's_suppkey')} AS a")
+    return d.select("s_suppkey", N.artist_display(F.col("a"), letters={"ö": "oe", "MARIAM": "Mariama"}).alias("display"))
+
+
 @query(
     f"""WITH n AS (SELECT s_suppkey, {pick(FIRST, 's_suppkey')} AS a, {pick(SECOND, 's_suppkey')} AS b, {pick(SECOND, 's_suppkey + 1')} AS c FROM supplier),
     al AS (SELECT * FROM (VALUES ('jay z', 'Jay-Z')) v(alias, canonical)),
