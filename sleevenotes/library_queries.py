@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from .functions import names as N
 from .functions import text as T
 from .naming_queries import BRACKET_MIX, DASH_MIX, KEY, MIXES, _list, clean_title_sql, display_sql, fold_sql, folders_ctes, parsed_ctes, safe_sql, same_sql, stems_ctes, title_sql
-from .operators import classify, context, library, patterns, proposals
+from .operators import classify, context, library, patterns, proposals, routing
 from .operators.classify import EP_NAME, MIX_NAME, VARIOUS
 from .queries import SIMILAR_SQL, query
 from .scanner_queries import CONTEXT_SQL, _q
 from .sources.adapters import read
 from .sources.raw import FIELDS, RAW_SQL, pick, raw_files
+from .tables import settled
 
 # DuckDB forms
 
@@ -136,6 +137,21 @@ def c01_folder_proposals(spark: SparkSession, sf: str) -> DataFrame:
     return proposals.propose(raw_files(spark, sf))
 
 
+@query(
+    f"""WITH {PROPOSED_SQL}, there AS (SELECT DISTINCT proposed_name AS name FROM proposed WHERE files = 5), o AS (SELECT *, row_number() OVER (PARTITION BY proposed_name ORDER BY folder_path) AS k, first_value(folder_path) OVER (PARTITION BY proposed_name ORDER BY folder_path) AS holder, proposed_name IN (SELECT name FROM there) AS known,
+      confidence < 0.85 AS low, list_contains({_list(routing.GENERIC_NAMES)}, lower(trim(regexp_replace(trim(folder_name), '^[_ -]+|[_ -]+$', '', 'g')))) AS generic FROM proposed),
+    p AS (SELECT *, CASE WHEN unreadable_ratio > 0.25 THEN 'review' WHEN k > 1 OR known THEN 'duplicate' WHEN low OR generic OR used_heuristic THEN 'review' ELSE 'clean' END AS place FROM o)
+    SELECT folder_path, proposed_name, CASE WHEN is_crate THEN 'review' ELSE place END AS destination, CASE WHEN generic THEN least(confidence, 0.85 - 0.05) ELSE confidence END AS confidence,
+      list_filter([CASE WHEN low THEN 'low_confidence' END, CASE WHEN generic THEN 'generic_folder_name' END, CASE WHEN k > 1 THEN 'duplicate_in_run:' || holder[:40] END, CASE WHEN known THEN 'already_in_clean' END, CASE WHEN unreadable_ratio > 0.25 THEN 'unreadable_ratio_high' END,
+        CASE WHEN used_heuristic THEN 'heuristic_fallback' END, CASE WHEN is_ep THEN 'ep' END, CASE WHEN folder_type = 'mix' AND place = 'clean' THEN 'mix_folder' END, CASE WHEN is_crate THEN CASE WHEN crate_type = 'set' THEN 'djcrate_set' ELSE 'djcrate_singles' END END], lambda x: x IS NOT NULL) AS reasons FROM p"""
+)
+def c09_proposals_routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Folders' proposals from their tags to their destination, with all that a proposal says of itself: guesses, EPs, mixes, crates, unreadable files."""
+    made = settled(proposals.propose(raw_files(spark, sf))).withColumn("is_mix", F.col("folder_type") == "mix")
+    routed = routing.route(made, made.filter("files = 5").select(F.col("proposed_name").alias("name")))
+    return routed.select("folder_path", "proposed_name", "destination", "confidence", "reasons")
+
+
 @query(
     f"""WITH {PROPOSED_SQL}, parts AS (SELECT *, list_filter([CASE WHEN diversity * 0.35 > 0.15 THEN 'album_diversity(' || printf('%.2f', diversity) || ')' END, CASE WHEN poor_share * 0.20 > 0.10 THEN 'album_quality(' || printf('%.2f', poor_share) || ')' END, CASE WHEN loose * 0.15 > 0.07 THEN 'track_incoherence(' || printf('%.2f', loose) || ')' END,
       CASE WHEN word > 0 THEN 'folder_keyword_match' END, CASE WHEN unflagged * 0.15 > 0.10 THEN 'no_compilation_flags' END], lambda x: x IS NOT NULL) AS told FROM pf_crate)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +17,10 @@ from .operators.votes import plurality
 from .queries import ROUTE_SQL, _routed, query
 from .scanner_queries import _q
 from .sources import adapters as A
+from .sources import buckets
 from .sources.adapters import HISTORY_SQL, TRACKS_SQL, read
 from .sources.raw import RAW_SQL, pick, raw_files
+from .tables import shared_folder
 
 TREE_SQL = "tree AS (SELECT DISTINCT folder_path AS path, 'lib/' || parent_name AS parent, folder_name AS name FROM v_raw UNION SELECT DISTINCT 'lib/' || parent_name, 'lib', parent_name FROM v_raw UNION SELECT DISTINCT 'inbox/' || parent_name, 'inbox', parent_name FROM v_raw)"
 
@@ -115,6 +119,23 @@ def a30_area_totals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+DATABASES = ["/view/1", "purchase/3", "_Serato_", "click/4"]
+
+
+@query(
+    f"""WITH {HISTORY_SQL}, d AS (SELECT original_path, target_path, destination FROM v_history) SELECT 'area' AS section, destination AS name, count(DISTINCT target_path) AS folders, count(*) AS n FROM d GROUP BY destination
+    UNION ALL SELECT 'manifest', 'accepted', count(DISTINCT target_path), count(*) FROM d WHERE destination = 'clean' """
+    + " ".join(f"UNION ALL SELECT 'database', {_q(p)}, count(DISTINCT target_path), count(*) FROM d WHERE contains(target_path, {_q(p)}) HAVING count(*) > 0" for p in DATABASES)
+)
+def c35_status(spark: SparkSession, sf: str) -> DataFrame:
+    """The areas, what is accepted, and the databases of other programs among the files, in one pass."""
+    d = A.history(spark, sf).select("target_path", "destination")
+    row = lambda section, name: F.struct(F.lit(section).alias("section"), name.alias("name"))
+    found = [F.when(F.col("target_path").contains(p), row("database", F.lit(p))) for p in DATABASES]
+    said = F.array_compact(F.array(row("area", F.col("destination")), F.when(F.col("destination") == "clean", row("manifest", F.lit("accepted"))), *found))
+    return d.select("target_path", F.inline(said)).groupBy("section", "name").agg(F.count_distinct("target_path").alias("folders"), F.count("*").alias("n"))
+
+
 COVER = {"genre-bpm-key": ["genre", "bpm", "key"], "label": ["label"], "dated": ["year"]}
 
 
@@ -156,6 +177,18 @@ def s12_manifest_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return runs.upsert(h.filter("ord % 2 = 0"), h.filter("ord % 2 = 1"), ["target_path"], "stamp").select("target_path", "confidence", "timestamp")
 
 
+@query("WITH {h}, r AS (SELECT target_path, confidence, timestamp, ord, row_number() OVER (PARTITION BY target_path ORDER BY timestamp DESC, ord DESC) AS r FROM v_history) SELECT target_path, confidence, timestamp, ord FROM r WHERE r = 1".format(h=HISTORY_SQL))
+def s12_bucketed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """A manifest kept in hash buckets, after two upserts that rewrote only the buckets they touched."""
+    h = A.history(spark, sf).select("target_path", "confidence", "timestamp", "ord")
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    order = [F.desc("timestamp"), F.desc("ord")]
+    buckets.write(runs.latest(h.filter("ord % 3 = 0"), ["target_path"], order), path, ["target_path"], 16)
+    for k in (1, 2):
+        buckets.upsert(h.filter(f"ord % 3 = {k}"), path, ["target_path"], order, 16)
+    return buckets.read(spark, path)
+
+
 @query(UPSERT_SQL.format(h=HISTORY_SQL, key="session_id, destination"))
 def s13_rules_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Rules merged on two keys, the newest of each stays."""

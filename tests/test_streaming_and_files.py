@@ -55,7 +55,7 @@ def test_listing_and_tree(spark, tmp_path):
 def test_undo_gives_back_the_originals(spark):
     log = spark.createDataFrame([("1", 1, 1, "in/a", "out/a"), ("2", 2, 2, "in/b", "out/b")], "action_id string, timestamp int, ord int, original_path string, target_path string")
     plan = moves.undo_plan(log, spark.createDataFrame([("in/b",)], "target string"))
-    assert {(r["source"], r["final"]) for r in plan.collect()} == {("out/a", "in/a"), ("out/b", "in/b (1)")}
+    assert {(r["source"], r["final"]) for r in plan.collect()} == {("out/a", "in/a"), ("out/b", "in/b (UNDO1)")}
 
 
 def test_apply_plan_skips_protected_fields(spark):
