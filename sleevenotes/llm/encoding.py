@@ -7,8 +7,14 @@ stretches combine by an associative product, so a giant document need not be wal
 
 1. split it into chunks, each with the few characters of look-ahead a crossing piece may need;
 2. compute each chunk's transfer matrix, in parallel (`transfer`);
-3. combine a document's matrices, block by block, and choose the states at all cuts (`choose_states`);
-4. backtrace each chunk between its two states, in parallel (`backtrace`).
+3. combine a document's matrices, block by block, into the best score of each state at every cut (`prefixes`);
+4. walk each chunk once more from those scores, in parallel: which entry state leads to which exit state (`entries`);
+5. follow those small tables from a document's end to its beginning (`choose_states`);
+6. backtrace each chunk to its exit state, in parallel (`backtrace`).
+
+Of equally good segmentations the one counts that has the longest last piece, then the longest before it, and so on. Steps
+3 to 6 keep to that rule as one walk over the whole text does, so ids do not depend on where chunks end or whether a text
+is cut into chunks at all.
 
 Everywhere, a text is first cut where no piece has the two neighbouring characters side by side, since no piece spans such
 a place: the best path is that of the parts, one after another. Parts are mostly words, which recur; new ones are walked
@@ -20,8 +26,8 @@ The round trip is exact for every text: a space is put before the text (a word p
 decoding, characters without a piece are spelled in bytes, and nothing is normalised.
 
 Defined cases: null text: null ids, 0 tokens; empty text: one token, the leading space; repeated rows are encoded alike;
-very long texts take the chunked path, and where segmentations are equally good (runs of one character) may get another
-of them than a short text would; other columns are kept out of the way by name.
+very long texts take the chunked path and get the ids that one walk would give; other columns are kept out of the way by
+name.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, small_batches, tidy
@@ -239,9 +245,18 @@ class Encoder:
         """Scores of paths from ``start`` whose last piece begins before ``size``."""
         return self._steps(text, start, size)[0]
 
-    def _steps(self, text: str, start: int, size: int) -> tuple[list[int], list[tuple[int, tuple[int, ...]]]]:
-        scores, steps = [NEVER] * (len(text) + 1), [(0, ())] * (len(text) + 1)
-        scores[start] = 0
+    def _steps(self, text: str, start: int, size: int) -> tuple[list[int], list[tuple[int, tuple[int, ...]] | None]]:
+        return self._onward(text, {start: 0}, start, size)
+
+    def _onward(self, text: str, sources: dict[int, int], start: int, size: int) -> tuple[list[int], list[tuple[int, tuple[int, ...]] | None]]:
+        """Best scores at all places, and the last step to each, of paths that begin at any of the sources with its score
+        and whose pieces begin before ``size``. Of equally good steps the longest counts: the one that begins first. A
+        source that nothing betters has no step."""
+        scores: list[int] = [NEVER] * (len(text) + 1)
+        steps: list[tuple[int, tuple[int, ...]] | None] = [None] * (len(text) + 1)
+        for place, score in sources.items():
+            if place <= len(text):
+                scores[place] = score
         for i in range(start, min(size, len(text))):
             if scores[i] > NEVER:
                 for j, ids, s in self.v.edges(text, i):
@@ -249,14 +264,31 @@ class Encoder:
                         scores[j], steps[j] = scores[i] + s, (i, ids)
         return scores, steps
 
-    def backtrace(self, text: str, size: int, entry: int, exit_: int) -> list[int]:
-        """Ids of the pieces that begin in the chunk, on the best path between two states."""
-        if entry >= size:
-            return []
+    def _back(self, steps: list[tuple[int, tuple[int, ...]] | None], end: int) -> tuple[int, list[int]]:
+        """The source that the path to ``end`` begins at, and its ids."""
+        parts = []
+        while steps[end] is not None:
+            end, ids = steps[end]
+            parts.append(ids)
+        return end, [k for ids in reversed(parts) for k in ids]
+
+    def _known(self, forward: np.ndarray) -> dict[int, int]:
+        return {a: int(x) for a, x in enumerate(forward) if x > NEVER}
+
+    def entries(self, text: str, size: int, forward: np.ndarray) -> bytes:
+        """For every exit state, the entry state of the best path to it; ``forward`` has the best score of each entry state."""
+        first, _ = self.cuts(text, size)
+        if first:  # all paths meet there
+            return bytes([self._back(self._onward(text[:first], self._known(forward), 0, first)[1], first)[0]] * len(forward))
+        scores, steps = self._onward(text, self._known(forward), 0, size)
+        return bytes(self._back(steps, size + b)[0] if size + b < len(scores) and scores[size + b] > NEVER else 0 for b in range(len(forward)))
+
+    def backtrace(self, text: str, size: int, forward: np.ndarray, exit_: int) -> list[int]:
+        """Ids of the pieces that begin in the chunk, on the best path to an exit state."""
         first, last = self.cuts(text, size)
-        if not first or entry > first:
-            return list(self.path(self._steps(text, entry, size)[1], entry, size + exit_))
-        out = list(self.path(self._steps(text[:first], entry, first)[1], entry, first))
+        if not first:
+            return self._back(self._onward(text, self._known(forward), 0, size)[1], size + exit_)[1]
+        out = self._back(self._onward(text[:first], self._known(forward), 0, first)[1], first)[1]
         out += self.stretches([text[first:last]])[0].tolist()
         return out + list(self.path(self._steps(text, last, size)[1], last, size + exit_))
 
@@ -266,15 +298,21 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NEVER)
 
 
-def choose_states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
-    """States at all cuts of consecutive chunks, from ``entry`` to ``exit_``, on a best path."""
-    forward = [np.where(np.arange(len(matrices[0])) == entry, 0, NEVER)]
-    for m in matrices:
-        forward.append(np.maximum((forward[-1][:, None] + m).max(axis=0), NEVER))
-    states = [exit_]
-    for k in range(len(matrices) - 1, -1, -1):
-        states.append(int(np.argmax(forward[k] + matrices[k][:, states[-1]])))
-    return states[::-1]
+def prefixes(matrices: list[np.ndarray], forward: np.ndarray) -> list[np.ndarray]:
+    """Best score of each state at the beginning of every one of consecutive chunks, from those at the first."""
+    out = [forward]
+    for m in matrices[:-1]:
+        out.append(np.maximum((out[-1][:, None] + m).max(axis=0), NEVER))
+    return out
+
+
+def choose_states(entries: list[bytes]) -> list[int]:
+    """Exit states of consecutive chunks, of which the last ends the text: each is the entry state that the next chunk's
+    best path has."""
+    exits = [0]
+    for table in reversed(entries[1:]):
+        exits.append(table[exits[-1]])
+    return exits[::-1]
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
@@ -363,25 +401,41 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, dig
 
     def between_blocks(group: pd.DataFrame) -> pd.DataFrame:
         group = in_order(group, "block")
-        states = choose_states([shape(raw) for raw in group["matrix"]], 0, 0)
-        return group[["key", "text_hash", "block"]].assign(entry=states[:-1], exit=states[1:])
+        begin = np.where(np.arange(reach) == 0, 0, NEVER)
+        return group[["key", "text_hash", "block"]].assign(forward=[x.tobytes() for x in prefixes([shape(raw) for raw in group["matrix"]], begin)])
 
-    cut = f"key {kind}, text_hash string, block int, entry int, exit int"
-    edges = blocks.groupBy("key", "text_hash").applyInPandas(between_blocks, cut)
+    edges = blocks.groupBy("key", "text_hash").applyInPandas(between_blocks, f"key {kind}, text_hash string, block int, forward binary")
 
     def within_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = in_order(left, "chunk")
-        states = choose_states([shape(raw) for raw in left["matrix"]], int(right["entry"].iloc[0]), int(right["exit"].iloc[0]))
-        return left[["key", "text_hash", "chunk"]].assign(entry=states[:-1], exit=states[1:])
+        begin = np.frombuffer(right["forward"].iloc[0], np.int64)
+        return left[["key", "text_hash", "chunk"]].assign(forward=[x.tobytes() for x in prefixes([shape(raw) for raw in left["matrix"]], begin)])
 
     by = ("key", "text_hash", "block")
-    states = made.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(within_block, where + ", entry int, exit int")
-    c, s = chunks.alias("c"), states.alias("s")
-    placed = c.join(s, F.col("c.key").eqNullSafe(F.col("s.key")) & (F.col("c.text_hash") == F.col("s.text_hash")) & (F.col("c.chunk") == F.col("s.chunk"))).select("c.key", "c.text_hash", "c.chunk", "c.text", "c.size", "c.copies", "s.entry", "s.exit")
+    forward = made.groupBy(*by).cogroup(edges.groupBy(*by)).applyInPandas(within_block, where + ", forward binary")
+
+    def same(a: str, b: str) -> Column:
+        return F.col(f"{a}.key").eqNullSafe(F.col(f"{b}.key")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")) & (F.col(f"{a}.chunk") == F.col(f"{b}.chunk"))
+
+    known = chunks.alias("c").join(forward.alias("f"), same("c", "f")).select("c.key", "c.text_hash", "c.chunk", "c.text", "c.size", "c.copies", "f.forward")
+
+    def enter(batch: pd.DataFrame) -> pd.DataFrame:
+        e = encoder(shared.value)
+        tables = [e.entries(t, s, np.frombuffer(f, np.int64)) for t, s, f in zip(batch["text"], batch["size"], batch["forward"], strict=True)]
+        return batch[["key", "text_hash", "chunk"]].assign(entries=tables)
+
+    def leave(group: pd.DataFrame) -> pd.DataFrame:
+        group = in_order(group, "chunk")
+        return group[["key", "text_hash", "chunk"]].assign(exit=choose_states(list(group["entries"])))
+
+    # A table has a byte for each state, so a document's are far smaller than its text.
+    tables = _map(known.select("key", "text_hash", "chunk", "text", "size", "forward"), enter, where + ", entries binary")
+    exits = tables.groupBy("key", "text_hash").applyInPandas(leave, where + ", exit int")
+    placed = known.alias("c").join(exits.alias("s"), same("c", "s")).select("c.key", "c.text_hash", "c.chunk", "c.text", "c.size", "c.copies", "c.forward", "s.exit")
 
     def trace(batch: pd.DataFrame) -> pd.DataFrame:
         e = encoder(shared.value)
-        ids = [e.backtrace(t, s, a, b) for t, s, a, b in zip(batch["text"], batch["size"], batch["entry"], batch["exit"], strict=True)]
+        ids = [e.backtrace(t, s, np.frombuffer(f, np.int64), b) for t, s, f, b in zip(batch["text"], batch["size"], batch["forward"], batch["exit"], strict=True)]
         return batch[["key", "text_hash", "chunk", "copies"]].assign(text=[t[:s] for t, s in zip(batch["text"], batch["size"], strict=True)], ids=ids)
 
     traced = _map(placed, trace, where + ", copies long, text string, ids array<int>")
