@@ -10,9 +10,10 @@ Newton steps, kept inside a bracket; gradients and curvatures are sums over the
 one source and size have the same rate, so those sums run over the counts by (source, size), made once with map-side
 combining, and not over the documents. A source whose target is its cap has all documents at the cap.
 
-*Rounding.* Copies are whole. Cells of one source and size are taken in order of size and the running sum of
-fractional copies is rounded, so the words taken from a source differ from its target by no more than the size of its
-largest document. Within a cell the documents whose seeded hash is lowest get the extra copy; cells with more than
+*Rounding.* Copies are whole. Cells of one source and size are taken in falling order of size, and each gets as many
+copies as bring the words taken so far nearest to the words asked for so far, so the smallest documents settle what is
+left: a source's words are nearer to its target than its mean document, unless all of its small documents are used up.
+Within a cell the documents whose seeded hash is lowest get the extra copy; cells with more than
 ``split`` documents are split by that hash first, so that no task ranks a whole cell.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source without words
@@ -22,6 +23,11 @@ documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,6 +117,32 @@ def balance(cells: DataFrame, targets: DataFrame, base: float = 1.5, cap: float
     raise RuntimeError("the multipliers did not settle")
 
 
+def rounded(size: np.ndarray, n: np.ndarray, rate: np.ndarray, cap: int) -> np.ndarray:
+    """Copies of each cell's documents together, cells in falling order of size: so many that the words taken so far are as
+    near as they can be to the words that the rates ask for so far. What one cell takes too much or too little, the next
+    ones, of smaller documents, make up."""
+    out = np.zeros(len(size), np.int64)
+    owed = 0.0
+    for k in range(len(size)):
+        copies = rate[k] * n[k]
+        owed += copies * size[k]
+        out[k] = min(max(0, math.floor((owed / size[k] if size[k] else copies) + 0.5)), cap * n[k])
+        owed -= out[k] * size[k]
+    return out
+
+
+def _rounder(cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A group is one source's cells, one for each distinct size."""
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("size", ascending=False)
+        n = cells["n"].to_numpy()
+        copies = rounded(cells["size"].to_numpy(), n, cells["rate"].to_numpy(), cap)
+        return cells.assign(whole=copies // n, extra=copies % n)
+
+    return run
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 0, split: int = 20_000) -> DataFrame:
     """``docs`` (doc_id, source, size) with ``source_size, target, rate, copies``."""
     narrow = docs.select("doc_id", "source", F.col("size").cast("long").alias("size"))
@@ -120,16 +152,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     c, m = cells.alias("c"), solved.alias("m")
     rate = rates(F.col("size"), F.col("mean_size"), F.col("multiplier"), share, cap)
     rated = c.join(m, F.col("c.source").eqNullSafe(F.col("m.source"))).select(F.col("c.source").alias("source"), F.col("c.size").alias("size"), "n", "source_size", "target", rate.alias("rate"))
-    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.floor(F.col("rate") + 1e-9)
-    # Running sum of fractional copies, in order of size: its rounded steps are the extra copies of each cell.
-    planned = settle(
-        rated.withColumn("whole", whole)
-        .withColumn("_part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")) * F.col("n"))
-        .withColumn("_run", F.sum("_part").over(upto))
-        .withColumn("extra", F.least(F.col("n"), F.floor(F.col("_run") + 0.5) - F.floor(F.col("_run") - F.col("_part") + 0.5)))
-        .select("source", "size", "n", "source_size", "target", "rate", "whole", "extra")
-    )
+    planned = settle(rated.groupBy("source").applyInPandas(_rounder(cap), "source string, size long, n long, source_size long, target double, rate double, whole long, extra long"))
     # A document's place among the n of its cell is the number of hashes below its own: counted by block of hashes.
     d, p = narrow.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).alias("d"), planned.alias("p")
     blocks = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("p.n") / F.lit(split)))
