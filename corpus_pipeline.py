@@ -13,16 +13,16 @@ from sleevenotes.llm import encoding, langid, mixing, nearsets, suffixes
 from sleevenotes.llm.common import shared_folder
 from sleevenotes.llm.queries import held_out
 
-#: Documents whose language is less certain than this are rejected, as are those without a letter.
-LEAST_SCORE = 0.5
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; ``lang`` stays as it came."""
+    """Documents in a language that was learned: those with a letter whose text is likelier in its best language than letters
+    drawn evenly, by the character, so that neither a long text passes nor a short one goes for its length. ``lang`` stays
+    as it came."""
     langs, table = langid.learn(docs.filter(~held_out()).select("text", "lang"))
     if not langs:  # nothing to learn from: nothing can be rejected
         return docs
-    return langid.predict(docs, langs, table).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    told = langid.predict(docs, langs, table, names=("_lang", "_score", "_fit"))
+    return told.filter((F.col("_lang") != langid.UND) & (F.col("_fit") > langid.NO_LANGUAGE)).select(*docs.columns)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

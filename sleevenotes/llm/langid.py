@@ -258,38 +258,47 @@ class Scorer:
             np.add.at(out, [cut[i][0] for i in places], self.forward.log_sums([cut[i][1] for i in places]))
         return out
 
-    def scores(self, texts: list[str | None]) -> list[np.ndarray | None]:
+    def scores(self, texts: list[str | None]) -> list[tuple[np.ndarray | None, int]]:
+        """Log likelihoods by language, and the number of characters that they are of (words with a space before each)."""
         found = [[] if t is None else words(t) for t in texts]
         fresh = list(dict.fromkeys(w for ws in found for w in ws if w not in self.index))
         rows = np.concatenate([self.rows, self.words(fresh)])
         index = {w: len(self.rows) + k for k, w in enumerate(fresh)}
         room = max(0, self.remember - len(self.index))
         known = self.index
-        out = [rows[[known[w] if w in known else index[w] for w in ws]].sum(axis=0) if ws else None for ws in found]
+        out = [(rows[[known[w] if w in known else index[w] for w in ws]].sum(axis=0) if ws else None, len(ws) + sum(map(len, ws))) for ws in found]
         if room and fresh:
             self.index |= {w: len(self.rows) + k for k, w in enumerate(fresh[:room])}
             self.rows = rows[: len(self.rows) + min(room, len(fresh))]
         return out
 
 
-def predict(docs: DataFrame, langs: list[str], table: np.ndarray, model: str = DEFAULT_MODEL) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; other columns are kept as they are."""
+#: A text whose likelihood in its best language is no greater than that of as many characters drawn evenly from 32 is in no
+#: language that was learned (natural logarithm, for a character).
+NO_LANGUAGE = -math.log(32)
+
+
+def predict(docs: DataFrame, langs: list[str], table: np.ndarray, model: str = DEFAULT_MODEL, names: tuple[str, str, str] = ("lang_pred", "score", "fit")) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``fit`` (or other ``names``); other columns are kept as they are.
+
+    ``fit`` is the mean log likelihood of a character (letters, and the space before each word) in the predicted language:
+    unlike the score, it does not go to certainty with the length of a text. It is null for ``und``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((load(model), langs, table))
     key = hash((tuple(langs), table.tobytes()))
 
-    def one(logs: np.ndarray | None) -> tuple[str, float]:
+    def one(logs: np.ndarray | None, length: int) -> tuple[str, float, float | None]:
         if logs is None or not langs:
-            return UND, 0.0
+            return UND, 0.0, None
         best = int(np.argmax(logs))
-        return langs[best], float(1.0 / np.exp(logs - logs[best]).sum())
+        return langs[best], float(1.0 / np.exp(logs - logs[best]).sum()), float(logs[best] / length)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = kept((Scorer, key), lambda: Scorer(shared.value[0], shared.value[2]))
         for batch in batches:
-            found = [one(logs) for logs in s.scores(list(batch["text"]))]
-            yield batch.assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found])
+            found = [one(logs, n) for logs, n in s.scores(list(batch["text"]))]
+            yield batch.assign(**{name: [f[k] for f in found] for k, name in enumerate(names)})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInPandas(tidy(run), schema + ", lang_pred string, score double")
+    return docs.mapInPandas(tidy(run), schema + f", {names[0]} string, {names[1]} double, {names[2]} double")
