@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, shuffle_partitions, small_batches
@@ -115,16 +115,18 @@ def _blocks(ids: DataFrame, n: int) -> list[int]:
     return sorted(set(row[0] or [])) if row else []
 
 
-def _place(cuts: list[int]) -> Column:
-    """Number of cuts below an id, found in two short steps: among every m-th cut, then among the m after it."""
-    if not cuts:
-        return F.lit(0)
+def _placed(df: DataFrame, cuts: list[int]) -> DataFrame:
+    """Adds ``block``: one more than the number of cuts below the id, found in two short steps, among every m-th cut and then
+    among the m after it; null ids, which come last, have block 0. The cuts are a row of a table, not a part of the
+    expression, whose size stays the same however many there are."""
     m = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + m] for i in range(0, len(cuts), m)]
-    heads = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    group = F.size(F.filter(heads, lambda x: x < F.col("doc_id")))
-    return F.when(group == 0, 0).otherwise((group - 1) * m + F.size(F.filter(F.get(table, group - 1), lambda x: x < F.col("doc_id"))))
+    table = df.sparkSession.createDataFrame([([g[0] for g in groups], groups)], "heads array<bigint>, groups array<array<bigint>>")
+    d = df.withColumns({f"_{c}": table.select(c).scalar() for c in ("heads", "groups")})
+    d = d.withColumn("_group", F.size(F.filter("_heads", lambda x: x < F.col("doc_id"))))
+    within = F.size(F.filter(F.get("_groups", F.col("_group") - 1), lambda x: x < F.col("doc_id")))
+    below = F.when(F.col("_group") == 0, 0).otherwise((F.col("_group") - 1) * m + within)
+    return d.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(below + 1).cast("int")).drop("_heads", "_groups", "_group")
 
 
 def _edited(text: str, following: str) -> str:
@@ -162,8 +164,7 @@ def fingerprint_neighbours(docs: DataFrame, blocks: int | None = None) -> DataFr
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n = blocks or 8 * shuffle_partitions(spark)
     cuts = _blocks(narrow.select("doc_id"), n)
-    # Block 0 holds the null ids, which come last; above it blocks rise with the id.
-    placed = narrow.withColumn("block", F.when(F.col("doc_id").isNull(), 0).otherwise(_place(cuts) + 1).cast("int"))
+    placed = _placed(narrow, cuts)
     # The first document of each block in descending order, which also closes the block above: found by id alone ...
     firsts = placed.groupBy("block").agg(F.max("doc_id").alias("first_id"))
     up = sorted((r["block"], r["first_id"]) for r in firsts.collect())  # at most n + 1 rows, of two numbers each
