@@ -297,18 +297,31 @@ def c06_crate_tracks(spark: SparkSession, sf: str) -> DataFrame:
     return library.crate_plan(files, found.join(shown, "first_file").select("folder_path", "artist_key", "album_key", "display"), to_review=False)
 
 
-def rename_sql() -> str:
-    return rf"""WITH {PROPOSED_SQL}, kd AS (SELECT folder_path, CASE WHEN is_va THEN 'various' WHEN album_share < 0.75 THEN 'mixed' WHEN artist_share < 0.50 THEN CASE WHEN coalesce(aa_vote, '') <> '' AND starts_with(artist_vote, aa_vote) THEN 'album' ELSE 'various' END ELSE 'album' END AS kind FROM proposed),
+#: Titles that begin with an artist, and discs, for the guards of the rename plan.
+LED_TITLE = "CASE WHEN size % 3000 = 0 THEN coalesce(artist, '') || ' - ' || title WHEN size % 5000 = 0 THEN coalesce(album_artist, '') || ' - ' || title ELSE title END"
+DISC = "CASE WHEN size % 4000 = 0 THEN '2/2' ELSE '1' END"
+LED_SQL = PROPOSED_SQL.replace(RAW_SQL, RAW_SQL.replace("v_raw AS (", "v_raw_0 AS (", 1) + f", v_raw AS (SELECT * REPLACE ({LED_TITLE} AS title), {DISC} AS disc_number FROM v_raw_0)", 1)
+
+
+def rename_sql(guarded: bool = False) -> str:
+    own, told = "lower(strip_accents(trim(who)))", "lower(strip_accents(cl))"
+    gap = rf"regexp_extract(({told})[length({own}) + 1:], '^\s*-\s*', 0)"
+    led = f"{own} <> '' AND starts_with({told}, {own}) AND {gap} <> '' AND length({own}) + length({gap}) < length({told})"
+    cut = f"SELECT * EXCLUDE (cl), CASE WHEN {led} THEN coalesce(nullif(trim(cl[length({own}) + length({gap}) + 1:]), ''), cl) ELSE cl END AS cl FROM (SELECT *, coalesce(CASE kind WHEN 'album' THEN owner WHEN 'various' THEN a END, '') AS who FROM r1)"
+    number = "CASE WHEN discs OR (tagk IS NULL AND fk >= 100 AND fk % 100 >= 1) THEN coalesce(CAST(coalesce(disc, CASE WHEN tagk IS NULL AND fk >= 100 AND fk % 100 >= 1 THEN fk // 100 END) AS VARCHAR) || '-', '') ELSE '' END" if guarded else "CASE WHEN tagk IS NULL AND fk >= 100 AND fk % 100 >= 1 THEN CAST(fk // 100 AS VARCHAR) || '-' ELSE '' END"
+    disc = "try_cast(regexp_extract(disc_number, '^[0-9]+', 0) AS INT)" if guarded else "NULL"
+    discs = f"(SELECT folder_path, count(DISTINCT {disc}) > 1 AS discs FROM v_raw GROUP BY folder_path)" if guarded else "(SELECT DISTINCT folder_path, false AS discs FROM v_raw)"
+    return rf"""WITH {LED_SQL if guarded else PROPOSED_SQL}, kd AS (SELECT folder_path, discs, artist_display AS owner, CASE WHEN is_va THEN 'various' WHEN album_share < 0.75 THEN 'mixed' WHEN artist_share < 0.50 THEN CASE WHEN coalesce(aa_vote, '') <> '' AND starts_with(artist_vote, aa_vote) THEN 'album' ELSE 'various' END ELSE 'album' END AS kind FROM proposed JOIN {discs} USING (folder_path)),
     rs AS (SELECT file_id AS fid, folder_path, folder_name AS folder, regexp_replace(filename, '[.][^.]*$', '') AS stem FROM v_raw), {re.sub(r"[|]st_", "rn_", re.sub(r"(?<![a-z])st_", "|st_", stems_ctes('rs', 'fid'))).replace('stems AS', 'rstems AS')},
-    r0 AS (SELECT r.file_id, r.folder_path, kind, lower(ext) AS ext, {K_SQL} AS tagk, try_cast(regexp_extract(trim(filename), '^(\d{{1,3}})', 1) AS INT) AS fk, CASE WHEN length(trim(r.title)) >= 2 THEN trim(r.title) ELSE coalesce(s.title, trim(r.title)) END AS t, CASE WHEN length(trim(r.artist)) >= 2 THEN trim(r.artist) ELSE coalesce(s.artist, trim(r.artist)) END AS a0
+    r0 AS (SELECT r.file_id, r.folder_path, kind, owner, discs, {disc} AS disc, lower(ext) AS ext, {K_SQL} AS tagk, try_cast(regexp_extract(trim(filename), '^(\d{{1,3}})', 1) AS INT) AS fk, CASE WHEN length(trim(r.title)) >= 2 THEN trim(r.title) ELSE coalesce(s.title, trim(r.title)) END AS t, CASE WHEN length(trim(r.artist)) >= 2 THEN trim(r.artist) ELSE coalesce(s.artist, trim(r.artist)) END AS a0
       FROM v_raw r JOIN kd USING (folder_path) JOIN rstems s ON s.fid = r.file_id),
     r1 AS (SELECT *, {clean_title_sql('t')} AS cl, coalesce(tagk, CASE WHEN fk >= 100 AND fk % 100 >= 1 THEN fk % 100 ELSE fk END) AS n, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(a0, '(?i)\b(featuring|feat\.?|ft\.?)([\s,]|$)', 'feat.\2', 'g'), '\s{{2,}}', ' ', 'g'), '\s+$', '')), '') AS a FROM r0),
-    r2 AS (SELECT *, regexp_extract(cl, {_q(BRACKET_MIX)}, 2) AS b, trim(regexp_extract(cl, {_q(DASH_MIX)}, 1)) AS d FROM r1),
+    r2 AS (SELECT *, regexp_extract(cl, {_q(BRACKET_MIX)}, 2) AS b, trim(regexp_extract(cl, {_q(DASH_MIX)}, 1)) AS d FROM ({cut})),
     r3 AS (SELECT *, b <> '' AND regexp_matches(b, {MIXES}) AS m1, d <> '' AND regexp_matches(d, {MIXES}) AND NOT contains(d, ',') AND length(d) <= 60 AS m2 FROM r2),
     r4 AS (SELECT *, CASE WHEN m1 THEN trim(regexp_replace(cl, {_q(BRACKET_MIX)}, '')) WHEN m2 THEN trim(regexp_replace(cl, {_q(DASH_MIX)}, '')) ELSE cl END AS bare, CASE WHEN m1 THEN ' ' || regexp_extract(cl, {_q(BRACKET_MIX)}, 1) WHEN m2 THEN ' (' || d || ')' ELSE '' END AS mix FROM r3),
     r5 AS (SELECT *, {clean_title_sql('bare')} AS tt FROM r4),
-    r6 AS (SELECT *, CASE WHEN coalesce(cl, '') = '' THEN 'missing_title' WHEN coalesce(tt, '') = '' THEN 'title_cleaned_empty' WHEN kind <> 'album' AND a = '' THEN 'missing_artist' WHEN kind = 'album' AND n IS NULL THEN 'missing_track_number' WHEN kind = 'various' AND n IS NULL THEN 'ok_no_tracknum' ELSE 'ok' END AS reason FROM r5),
-    r7 AS (SELECT *, CASE WHEN starts_with(reason, 'ok') THEN {safe_sql("CASE WHEN kind = 'album' THEN lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || tt || mix || ext WHEN n IS NULL THEN a || ' - ' || tt || mix || ext ELSE lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || a || ' - ' || tt || mix || ext END")} END AS name,
+    r6 AS (SELECT *, CASE WHEN coalesce(cl, '') = '' THEN 'missing_title' WHEN coalesce(tt, '') = '' THEN 'title_cleaned_empty' WHEN kind <> 'album' AND a = '' THEN 'missing_artist' WHEN kind = 'album' AND n IS NULL THEN 'missing_track_number' WHEN kind = 'various' AND n IS NULL THEN 'ok_no_tracknum' ELSE 'ok' END AS reason, {number} AS prefix_ FROM r5),
+    r7 AS (SELECT *, CASE WHEN starts_with(reason, 'ok') THEN {safe_sql("CASE WHEN kind = 'album' THEN prefix_ || lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || tt || mix || ext WHEN n IS NULL THEN a || ' - ' || tt || mix || ext ELSE prefix_ || lpad(CAST(n AS VARCHAR), 2, '0') || ' - ' || a || ' - ' || tt || mix || ext END")} END AS name,
       CASE WHEN NOT starts_with(reason, 'ok') THEN 0.0 WHEN kind = 'album' THEN 0.95 WHEN kind = 'mixed' THEN 0.90 WHEN n IS NULL THEN 0.85 ELSE 0.92 END AS confidence FROM r6),
     r8 AS (SELECT *, row_number() OVER (PARTITION BY folder_path, name ORDER BY file_id) AS k FROM r7)
     SELECT file_id, kind, CASE WHEN k > 1 AND name IS NOT NULL THEN regexp_replace(name, '(\.[^.]*)$', ' (' || CAST(k AS VARCHAR) || ')\1') ELSE name END AS new_name, confidence, reason FROM r8"""
@@ -318,7 +331,16 @@ def rename_sql() -> str:
 def c29_track_renames(spark: SparkSession, sf: str) -> DataFrame:
     """New names of tracks by the kind of their folder."""
     files = raw_files(spark, sf)
-    return library.rename_plan(files, proposals.propose(files).select("folder_path", "is_va", "album_share", "artist_share", "aa_vote", "artist_vote"))
+    return library.rename_plan(files, proposals.propose(files).select("folder_path", "is_va", "album_share", "artist_share", "aa_vote", "artist_vote", "artist_display"))
+
+
+@query(rename_sql(True))
+def c29_guarded_renames(spark: SparkSession, sf: str) -> DataFrame:
+    """New names of tracks whose titles begin with an artist, in folders of one disc and of several."""
+    files = raw_files(spark, sf).withColumn("title", F.expr(LED_TITLE)).withColumn("disc_number", F.expr(DISC))
+    discs = files.groupBy("folder_path").agg((F.count_distinct(T.int_prefix(F.col("disc_number"))) > 1).alias("multi_disc"))
+    made = proposals.propose(files).join(discs, "folder_path")
+    return library.rename_plan(files, made.select("folder_path", "is_va", "album_share", "artist_share", "aa_vote", "artist_vote", "artist_display", "multi_disc"))
 
 
 @query(
