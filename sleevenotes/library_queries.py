@@ -97,7 +97,7 @@ def proposals_ctes(as_album: bool = False, tail: str = "") -> str:
     pf_base AS (SELECT c.*, coalesce(sibling, false) AS sibling FROM pf_crate c LEFT JOIN pf_sib USING (folder_path)),
     pf_st AS (SELECT file_id, folder_path, title AS tag_title, regexp_replace(filename, '[.][^.]*$', '') AS stem, '' AS folder FROM v_raw), {stems_ctes('pf_st', 'file_id, folder_path, tag_title')},
     pf_like AS (SELECT folder_path, tag_title, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') AS a, regexp_replace(lower(trim(tag_title)), '\\s+', ' ', 'g') AS b FROM stems),
-    pf_fc AS (SELECT folder_path, avg(CASE WHEN a <> '' AND b <> '' THEN {SIMILAR_SQL.format(a='a', b='b')} WHEN coalesce(a, '') = '' AND coalesce(b, '') = '' THEN 0.5 END) AS fc FROM pf_like GROUP BY folder_path),
+    pf_fc AS (SELECT folder_path, avg(CAST(CASE WHEN a <> '' AND b <> '' THEN {SIMILAR_SQL.format(a='a', b='b')} WHEN coalesce(a, '') = '' AND coalesce(b, '') = '' THEN 0.5 END AS DECIMAL(20, 12))) AS fc FROM pf_like GROUP BY folder_path),
     pf_k AS (SELECT folder_path, {number} AS k, title, lower(trim(album_artist)) AS aa FROM v_raw), pf_rep AS (SELECT folder_path, count(*) AS repeats FROM (SELECT folder_path, k FROM pf_k WHERE k <> 0 GROUP BY ALL HAVING count(*) > 1) GROUP BY folder_path),
     pf_tq AS (SELECT folder_path, count_if(trim(title) <> '') AS tn, count_if(length(trim(title)) >= 2 AND NOT regexp_matches(lower(title), 'free\\s+download|promo\\s+only|www[.]|[.]com\\b|[.]net\\b|[.]org\\b')) AS tok, count(DISTINCT nullif(lower(trim(title)), '')) AS td, max(nullif(k, 0)) - min(nullif(k, 0)) + 1 - count(DISTINCT nullif(k, 0)) AS g FROM pf_k GROUP BY folder_path),
     pf_aa AS (SELECT folder_path, max(n) * 1.0 / sum(n) AS aac FROM (SELECT folder_path, aa, count(*) AS n FROM pf_k WHERE coalesce(aa, '') <> '' GROUP BY ALL) GROUP BY folder_path),
