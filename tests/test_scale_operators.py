@@ -148,7 +148,7 @@ def test_patterns_by_their_longest_literal(spark):
     assert patterns.longest_literal(r"(?i)^gig\s+set\d+") == "gig" and patterns.longest_literal("abcx?yz+") == "abc"
     assert patterns.longest_literal("a|b") == "" and patterns.longest_literal(r"(foo)?bar\.baz") == "bar.baz" and patterns.longest_literal("ab{0,2}cde[xy]") == "cde"
     names = ["My Gig set7", "club night", "abcyz", "ab.cyz", "Ann 3", "[x]", "SET LIST", "odd7", None, "a\nb3"]
-    rules = [("set", r"(?i)gig\s+set\d"), ("crate", "abcx?y"), ("veto", "(?i)CLUB"), ("veto", "^s|^S"), ("crate", "(["), ("ignore", "Ann *"), ("ignore", "[!A]*7"), ("ignore", "[[]x]"), ("ignore", "a*3"), ("set", None)]
+    rules = [("set", r"(?i)gig\s+set\d"), ("crate", "abcx?y"), ("veto", "(?i)CLUB"), ("veto", "^s|^S"), ("crate", "(["), ("crate", "(?P<n>abc)y"), ("ignore", "Ann *"), ("ignore", "[!A]*7"), ("ignore", "[[]x]"), ("ignore", "a*3"), ("set", None)]
     got = {tuple(r) for r in patterns.matches(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(rules, "kind string, pattern string")).collect()}
     assert got == {
         ("My Gig set7", "set", r"(?i)gig\s+set\d"), ("abcyz", "crate", "abcx?y"), ("club night", "veto", "(?i)CLUB"), ("SET LIST", "veto", "^s|^S"), ("Ann 3", "ignore", "Ann *"),
