@@ -16,6 +16,7 @@ def local_session(app: str = "sleevenotes", cpus: str | int = 8, memory: str = "
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.local.dir", os.environ.get("SLEEVENOTES_SCRATCH") or tempfile.mkdtemp(prefix="spark-"))
