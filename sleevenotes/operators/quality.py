@@ -39,6 +39,10 @@ def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(other, same, "left").drop(*[f"_r_{c}" for c in by])
 
 
+def _coverage() -> Column:
+    return F.avg(F.coalesce("album", "albumartist", "artist", "title").isNotNull().cast("int")).alias("tag_coverage")
+
+
 def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame:
     """Counts, median tempo, formats, years and discs of each folder.
 
@@ -49,11 +53,10 @@ def shape(df: DataFrame, by: list[str], stem: Column | None = None) -> DataFrame
         tagged, prefix = int_prefix(F.coalesce(disc, F.lit(""))), F.regexp_extract(F.trim(stem), r"^(\d{3})", 1).try_cast("int")
         disc = F.when(tagged != 0, tagged).when((prefix >= 100) & (prefix % 100 >= 1), F.floor(prefix / 100).cast("int"))
     formats = df.groupBy(*by, "ext").agg(F.count("*").alias("_n")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ext", "_n")))).alias("formats"))
-    any_tag = F.coalesce("album", "albumartist", "artist", "title").isNotNull()
     year = F.col("year").try_cast("int")
     facts = df.groupBy(*by).agg(
         F.count("*").alias("files"),
-        F.avg(any_tag.cast("int")).alias("tag_coverage"),
+        _coverage(),
         F.bool_and(F.col("ext") == ".flac").alias("lossless"),
         (F.max(year) - F.min(year)).alias("year_spread"),
         (F.count_distinct(disc) > 1).alias("multi_disc"),
@@ -69,23 +72,35 @@ def meaningful(c: Column) -> Column:
     return (F.length(F.trim(t)) >= 2) & (F.size(garbage_reasons(t)) == 0)
 
 
-def titles(df: DataFrame, by: list[str]) -> DataFrame:
-    """``title_quality``: share of meaningful titles, .30 at most when more than two are all the same; .5 without titles."""
+def _title_facts() -> list[Column]:
     t = F.col("title")
-    facts = df.groupBy(*by).agg(
-        F.count(F.when(t != "", 1)).alias("_n"), F.sum(F.when((t != "") & meaningful(t), 1).otherwise(0)).alias("_ok"), F.count_distinct(F.when(F.trim(t) != "", F.lower(F.trim(t)))).alias("_distinct")
-    )
+    return [F.count(F.when(t != "", 1)).alias("_n"), F.sum(F.when((t != "") & meaningful(t), 1).otherwise(0)).alias("_ok"), F.count_distinct(F.when(F.trim(t) != "", F.lower(F.trim(t)))).alias("_distinct")]
+
+
+def _title_quality() -> Column:
     ratio = F.col("_ok") / F.col("_n")
     capped = F.when((F.col("_distinct") == 1) & (F.col("_n") > 2), F.least(ratio, F.lit(0.30))).otherwise(ratio)
-    return facts.select(*by, F.when(F.col("_n") == 0, 0.5).otherwise(capped).alias("title_quality"))
+    return F.when(F.col("_n") == 0, 0.5).otherwise(capped).alias("title_quality")
 
 
-def filename_consistency(df: DataFrame, by: list[str], stem_title: Column) -> DataFrame:
-    """Mean likeness of file names' titles to title tags; .5 where there is nothing to compare."""
+def titles(df: DataFrame, by: list[str]) -> DataFrame:
+    """``title_quality``: share of meaningful titles, .30 at most when more than two are all the same; .5 without titles."""
+    return df.groupBy(*by).agg(*_title_facts()).select(*by, _title_quality())
+
+
+def _likeness(stem_title: Column) -> Column:
     both = (F.coalesce(stem_title, F.lit("")) != "") & (F.trim(F.coalesce("title", F.lit(""))) != "")
     neither = (F.coalesce(stem_title, F.lit("")) == "") & (F.trim(F.coalesce("title", F.lit(""))) == "")
-    scored = df.withColumn("_s", F.when(both, similarity(stem_title, F.trim("title"))).when(neither, 0.5))
-    return scored.groupBy(*by).agg(F.coalesce(F.avg("_s"), F.lit(0.5)).alias("filename_consistency"))
+    return F.when(both, similarity(stem_title, F.trim("title"))).when(neither, 0.5)
+
+
+def _consistency() -> Column:
+    return F.coalesce(F.avg("_s"), F.lit(0.5)).alias("filename_consistency")
+
+
+def filename_consistency(df: DataFrame, by: list[str], stem_title: Column) -> DataFrame:
+    """Mean likeness of file names' titles to title tags; .5 where there is nothing to compare."""
+    return df.withColumn("_s", _likeness(stem_title)).groupBy(*by).agg(_consistency())
 
 
 def completeness(df: DataFrame, by: list[str]) -> DataFrame:
@@ -116,9 +131,10 @@ def confidence(df: DataFrame, by: list[str], folder_name: Column, proposed: Colu
     won = plurality(long, [*by, "field"], "value", order)
     votes = won.groupBy(*by).pivot("field", fields).agg(F.first("winner").alias("winner"), F.first("share").alias("share"))
     share = {f: F.coalesce(F.col(f"{f}_share"), F.lit(0.0)) for f in fields}
-    parts = shape(df, by).select(*by, "files", "tag_coverage").join(votes, by, "left")
-    for more in (titles(df, by), filename_consistency(df, by, stem_title if stem_title is not None else F.col("title")), numbers(df, by, track_number(F.col("tracknumber")))):
-        parts = parts.join(more, by, "left")
+    # Three shuffles of the files: one for all facts of a folder, one for its votes, one for its numbers.
+    liked = df.withColumn("_s", _likeness(stem_title if stem_title is not None else F.col("title")))
+    facts = liked.groupBy(*by).agg(F.count("*").alias("files"), _coverage(), *_title_facts(), _consistency()).select(*by, "files", "tag_coverage", _title_quality(), "filename_consistency")
+    parts = facts.join(votes, by, "left").join(numbers(df, by, track_number(F.col("tracknumber"))), by, "left")
     dominance = F.when(share["albumartist"] > 0, share["album"] * 0.60 + share["albumartist"] * 0.40).otherwise(share["album"] * 0.70 + share["artist"] * 0.30)
     scored = (
         parts.withColumn("dominance", dominance)

@@ -340,14 +340,14 @@ def w09_last_actions(spark: SparkSession, sf: str) -> DataFrame:
     return A.history(spark, sf).orderBy(F.desc("timestamp"), F.desc("ord")).limit(50).select("action_id", "session_id", "timestamp")
 
 
-SAMPLE_SQL = "SELECT folder_path, file_id FROM (SELECT folder_path, file_id, row_number() OVER (PARTITION BY folder_path ORDER BY file_id) AS r FROM v_raw) WHERE r <= 3"
+SAMPLE_SQL = "SELECT folder_path, file_id FROM (SELECT folder_path, file_id, row_number() OVER (PARTITION BY folder_path ORDER BY file_id) AS r FROM v_raw) WHERE r <= 20"
 
 
 @query(f"WITH {RAW_SQL} {SAMPLE_SQL}")
 def o10_files_for_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three files of each folder."""
+    """The first twenty files of each folder."""
     first = Window.partitionBy("folder_path").orderBy("file_id")
-    return raw_files(spark, sf).select("folder_path", "file_id").withColumn("r", F.row_number().over(first)).filter("r <= 3").drop("r")
+    return raw_files(spark, sf).select("folder_path", "file_id").withColumn("r", F.row_number().over(first)).filter("r <= 20").drop("r")
 
 
 EXPRESSIONS_SQL = f"""SELECT DISTINCT title, artist, comment, {key_sql('title')}.key AS title_key, {key_sql('title')}.notation AS notation, {tempo_sql('comment')}.bpm AS comment_bpm, {prefix_sql('artist')}.key AS prefix_key, {prefix_sql('artist')}.artist AS prefix_artist,
@@ -378,7 +378,7 @@ FINDINGS_SQL = f"""WITH {RAW_SQL}, {NOISE_SQL}, {origins_sql()}, {SPELLINGS_SQL}
 
 @query(FINDINGS_SQL)
 def s07_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """What a scan found, a row for each entry of each section (S07; `reports.findings_document` nests them)."""
+    """What a scan found, a row for each entry of each section (S07; `reports.write_findings` writes them as JSON)."""
     return reports.findings(raw_files(spark, sf), FIELDS)
 
 

@@ -21,7 +21,8 @@ def test_vote_ties_go_to_the_first_seen(spark):
 def test_gaps_and_repeats(spark, numbers, gaps, repeats, score):
     df = spark.createDataFrame([("f", n) for n in numbers] or [("f", None)], "folder string, n int")
     got = quality.numbers(df, ["folder"], F.col("n")).first()
-    assert (got["gaps"], got["repeats"], round(got["completeness"], 6)) == (gaps, repeats, score)
+    missing = [k for run in got["gaps"] for k in range(int(run.split("-")[0]), int(run.split("-")[1]) + 1)]
+    assert (missing, got["gap_count"], got["repeats"], round(got["completeness"], 6)) == (gaps, len(gaps), repeats, score)
 
 
 @pytest.mark.parametrize(("raw", "number"), [("B2", 10), ("3/12", 3), ("a1", 1), ("x", None), (None, None), ("0", None), (" 07", 7)])
