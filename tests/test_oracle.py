@@ -24,7 +24,7 @@ def duck(small):
 
 
 #: Made of parts that are compared on their own here, and long to run; tools/compare.py compares them too.
-COMPOSED = {"c28_what_if_album", "c34_explained", "c32_scan_report", "c33_pattern_report", "p13_pending_fixes", "a27_fix_tallies", "j23_fixes_with_rules", "c18_bulk_verdicts", "s05_nested_proposals", "s15_review_rationale", "a33_reason_frequency"}
+COMPOSED = {"c28_what_if_album", "c09_proposals_routed", "c29_guarded_renames", "c34_explained", "c32_scan_report", "c33_pattern_report", "p13_pending_fixes", "a27_fix_tallies", "j23_fixes_with_rules", "c18_bulk_verdicts", "s05_nested_proposals", "s15_review_rationale", "a33_reason_frequency"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.SQL) - COMPOSED))
