@@ -55,7 +55,7 @@ class Encoder:
     #: Parts up to this long are walked many at a time; pairs of characters are looked up in a table of 2 ** BITS places.
     TOGETHER, BITS = 48, 22
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 60_000):
         self.v, self.remember = vocabulary, remember
         self.pieces = PieceTable(vocabulary.ids)
         self.scores = np.array([*vocabulary.scores, NEVER], np.int64)

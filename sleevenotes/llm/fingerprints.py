@@ -39,7 +39,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before; emptied when it grows too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

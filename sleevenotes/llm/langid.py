@@ -246,7 +246,7 @@ def learn(docs: DataFrame, model: str = DEFAULT_MODEL, rounds: int = 2, smoothin
 class Scorer:
     """Log likelihoods of texts. Words that were met early, the frequent ones, are remembered for later batches."""
 
-    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, table: np.ndarray, remember: int = 100_000):
         self.forward, self.remember = Forward(vocabulary, table), remember
         self.index: dict[str, int] = {}
         self.rows = np.zeros((0, table.shape[1]))
