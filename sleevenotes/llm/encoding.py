@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, tidy
+from .common import kept, settle, small_batches, tidy
 from .pieces import BYTE_SCORE, DEFAULT_MODEL, NEVER, PieceTable, Vocabulary, load
 
 CHUNK = 8192
@@ -375,7 +375,8 @@ def encode(docs: DataFrame, key: str = "doc_id", model: str = DEFAULT_MODEL, dig
                     parts = [text[i : i + CHUNK + reach] for i in some]
                     yield pd.DataFrame({"chunk": [i // CHUNK for i in some], "copies": copies, "text": parts, "size": [min(CHUNK, len(text) - i) for i in some]}).assign(key=pd.Series([key_] * len(some), dtype=batch["key"].dtype), text_hash=digest_)[["key", "text_hash", "chunk", "copies", "text", "size"]]
 
-    chunks = counted.mapInPandas(split, where + ", copies long, text string, size int")
+    # Met three times below: cut once, and read again from the shared folder.
+    chunks = settle(counted.mapInPandas(tidy(split), where + ", copies long, text string, size int"))
 
     def matrices(batch: pd.DataFrame) -> pd.DataFrame:
         e = encoder(shared.value)

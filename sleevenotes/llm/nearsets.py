@@ -192,13 +192,16 @@ def _centres(leaves: DataFrame) -> DataFrame:
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = np.arange(MINWISE)
-        for batch in batches:  # a row of counts for each node and batch
-            rows = []
+        held: dict[int, np.ndarray] = {}  # counts by node, over batches, given out before they grow large
+        flush = lambda: pd.DataFrame([(k, v.astype("<i4").tobytes()) for k, v in held.items()], columns=["node", "counts"])
+        for batch in batches:
             for node, group in batch.groupby("node", sort=False):
                 tokens = ((np.stack(group["sketch"].to_numpy()).view(U)[:, :, None] >> shifts) & U(15)).reshape(len(group), MINWISE).astype(np.int64)
-                counts = np.bincount((tokens + 16 * places).ravel(), minlength=16 * MINWISE)
-                rows.append((node, counts.astype("<i4").tobytes()))
-            yield pd.DataFrame(rows, columns=["node", "counts"])
+                held[node] = held.get(node, 0) + np.bincount((tokens + 16 * places).ravel(), minlength=16 * MINWISE)
+            if len(held) > 2000:
+                yield flush()
+                held.clear()
+        yield flush()
 
     def total(group: pd.DataFrame) -> pd.DataFrame:
         counts = np.zeros(16 * MINWISE, np.int64)
@@ -206,21 +209,9 @@ def _centres(leaves: DataFrame) -> DataFrame:
             counts += np.frombuffer(raw, "<i4")
         return pd.DataFrame({"node": group["node"].iloc[:1], "centre": [sketch(counts.reshape(MINWISE, 16).argmax(axis=1).astype(np.uint32))]})
 
-    # A leaf sends as many rows as there are batches with it; they are added up in two steps.
+    # A leaf sends a row from each task that has members of it, or a few.
     parts = leaves.select("node", "sketch").mapInPandas(tidy(add), "node long, counts binary")
-
-    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        flush = lambda: pd.DataFrame([(k, v.astype("<i4").tobytes()) for k, v in held.items()], columns=["node", "counts"])
-        for batch in batches:
-            for node, raw in zip(batch["node"], batch["counts"], strict=True):
-                held[node] = held.get(node, 0) + np.frombuffer(raw, "<i4")
-            if len(held) > 2000:
-                yield flush()
-                held.clear()
-        yield flush()
-
-    return parts.mapInPandas(tidy(some), "node long, counts binary").groupBy("node").applyInPandas(total, "node long, centre array<long>")
+    return parts.groupBy("node").applyInPandas(total, "node long, centre array<long>")
 
 
 def candidates(reps: DataFrame, depth: int, small: int, percent: int) -> tuple[DataFrame, DataFrame]:
