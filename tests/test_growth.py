@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sleevenotes.functions import tags as G
-from sleevenotes.operators import fixes
+from sleevenotes.operators import containment, fixes, groups, library, proposals
 from sleevenotes.sources.raw import raw_files
 
 
@@ -19,7 +19,7 @@ def plan_of(df):
 
 
 def test_literals_are_in_every_match():
-    assert [G.literal(p) for p in (r"\s*\[Official\s*(?:Audio|Video)\]", r"https?://\S+", r"[\w.+-]+@[\w-]+\.[\w.-]+", r"(?:OUT NOW|BUY)", r"a|b", r"ab{2}c")] == ["[official", "://", "@", "", "", "a"]
+    assert [G.literal(p) for p in (r"\s*\[Official\s*(?:Audio|Video)\]", r"https?://\S+", r"[\w.+-]+@[\w-]+\.[\w.-]+", r"(?:OUT NOW|BUY)", r"a|b", r"ab{2}c")] == ["[official", "http", "@", "", "", "a"]
 
 
 @pytest.mark.parametrize("field", sorted(G.NOISE))
@@ -32,4 +32,44 @@ def test_guards_find_all_noise(spark, field):
 
 
 def test_a_file_s_fields_are_read_for_keys_once(spark, small):
-    assert plan_of(fixes.proposals(raw_files(spark, small))).count("|maj(?:or)?") == 3
+    assert plan_of(fixes.proposals(raw_files(spark, small))).count("|maj(?:or)?") == 6  # in the test and in the value, for each of three fields
+
+
+def _sides(spark):
+    rows = [(f"p{k % 3}", f"{k % 7} Song {'abc'[k % 3]} {k % 11}" if k % 13 else None, f"f{k % 5}.mp3", ".flac" if k % 4 else ".mp3", k % 6) for k in range(60)] + [("q", "-", "x.mp3", ".mp3", 1), ("q", None, None, ".mp3", 0)]
+    both = spark.createDataFrame(rows, "pair string, title string, filename string, ext string, size long").repartition(3)
+    return both, both.filter("title NOT LIKE '% 7' OR pair = 'q'")
+
+
+def test_large_pairs_are_compared_as_small_ones(spark, monkeypatch):
+    a, b = _sides(spark)
+    found = []
+    for most in (512, 20, 0):
+        monkeypatch.setattr(library, "AT_ONCE", most)
+        compared = library.compare_folders(a, b)
+        found.append((sorted(map(str, compared.collect())), sorted(map(str, library.merge_plan(a, b, compared).collect()))))
+    assert found[0] == found[1] == found[2] and found[0][1]
+
+
+def test_large_folders_vote_as_small_ones(spark, small, monkeypatch):
+    files = raw_files(spark, small).limit(400)
+    one = sorted(map(str, proposals.tag_votes(files).collect()))
+    monkeypatch.setattr(groups.by_key, "__defaults__", (3, None, True))  # no folder of more than three files is small
+    assert sorted(map(str, proposals.tag_votes(files).collect())) == one
+
+
+def test_folders_are_dealt_once(spark, small):
+    assert plan_of(proposals.tag_votes(raw_files(spark, small))).count("Exchange hash") == 3  # facts, votes, tempi
+    assert plan_of(library.compare_folders(*_sides(spark))).count("Exchange hash") == 2
+
+
+def test_names_are_found_by_tests_and_by_pieces(spark, monkeypatch):
+    names = spark.createDataFrame([(f"s{k % 3}", f"name {k * 7 % 31} of {'many few'.split()[k % 2]} {k}") for k in range(90)], "scope string, name string")
+    needles = spark.createDataFrame([(f"s{k % 2}", t) for k in range(2) for t in ("many", "few 1", "name 1", " of many 1", "absent", "e")] + [("s2", "7 of")], "scope string, needle string")
+    want = sorted((a.scope, a.needle, b.name) for a in needles.collect() for b in names.collect() if a.scope == b.scope and a.needle in b.name)
+    for tests, few in ((1 << 16, 64), (40, 2), (40, 0), (0, 3), (0, 0)):
+        monkeypatch.setattr(containment, "TESTS", tests)
+        monkeypatch.setattr(containment, "FEW", few)
+        assert sorted(map(tuple, containment.pairs(needles, names).collect())) == want
+    monkeypatch.undo()
+    assert "explode" not in plan_of(containment.pairs(needles, names))
