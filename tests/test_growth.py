@@ -6,8 +6,10 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
+from sleevenotes import scanner_queries
 from sleevenotes.functions import tags as G
 from sleevenotes.operators import containment, fixes, groups, library, proposals
+from sleevenotes.sources import adapters
 from sleevenotes.sources.raw import raw_files
 
 
@@ -73,3 +75,14 @@ def test_names_are_found_by_tests_and_by_pieces(spark, monkeypatch):
         assert sorted(map(tuple, containment.pairs(needles, names).collect())) == want
     monkeypatch.undo()
     assert "explode" not in plan_of(containment.pairs(needles, names))
+
+
+def test_rows_of_few_row_groups_are_dealt_to_all_tasks(spark, small, monkeypatch):
+    assert raw_files(spark, small, heavy=True).rdd.getNumPartitions() == 1  # not worth it
+    monkeypatch.setattr(adapters, "WORTH", 1)
+    dealt = raw_files(spark, small, heavy=True)
+    assert all(dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) and dealt.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert dealt.exceptAll(raw_files(spark, small)).isEmpty() and dealt.count() == raw_files(spark, small).count()
+    assert "RoundRobinPartitioning" in plan_of(scanner_queries.c13_fix_proposals(spark, small))
+    monkeypatch.setattr(adapters, "BUSY", 1)  # row groups enough
+    assert raw_files(spark, small, heavy=True).rdd.getNumPartitions() == 1
