@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sleevenotes import scanner_queries
 from sleevenotes.functions import tags as G
-from sleevenotes.operators import containment, fixes, groups, library, proposals
+from sleevenotes.operators import containment, context, fixes, groups, library, proposals
 from sleevenotes.sources import adapters
 from sleevenotes.sources.raw import raw_files
 
@@ -86,3 +86,11 @@ def test_rows_of_few_row_groups_are_dealt_to_all_tasks(spark, small, monkeypatch
     assert "RoundRobinPartitioning" in plan_of(scanner_queries.c13_fix_proposals(spark, small))
     monkeypatch.setattr(adapters, "BUSY", 1)  # row groups enough
     assert raw_files(spark, small, heavy=True).rdd.getNumPartitions() == 1
+
+
+def test_fixes_of_some_folders_are_those_of_all_filtered(spark, small):
+    files = raw_files(spark, small)
+    told, ann = context.folder_context(files), F.contains("folder_path", F.lit("Ann"))
+    every, some = fixes.all_fixes(files, told).filter(ann), fixes.all_fixes(files, told, within=ann)
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and not some.isEmpty()
+    assert plan_of(scanner_queries.p13_pending_fixes(spark, small)).count("Contains(") >= 4  # files of each pass and of the context
