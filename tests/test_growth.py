@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from sleevenotes import scanner_queries
+from sleevenotes import catalog, scanner_queries
 from sleevenotes.functions import tags as G
 from sleevenotes.operators import containment, context, fixes, groups, library, proposals
 from sleevenotes.sources import adapters
@@ -94,3 +94,19 @@ def test_fixes_of_some_folders_are_those_of_all_filtered(spark, small):
     every, some = fixes.all_fixes(files, told).filter(ann), fixes.all_fixes(files, told, within=ann)
     assert sorted(map(str, some.collect())) == sorted(map(str, every.collect())) and not some.isEmpty()
     assert plan_of(scanner_queries.p13_pending_fixes(spark, small)).count("Contains(") >= 4  # files of each pass and of the context
+
+
+@pytest.mark.parametrize("name", ["c01_folder_proposals", "c28_what_if_album", "c29_track_renames", "c29_guarded_renames", "c34_explained"])
+def test_files_are_dealt_before_they_are_judged(spark, small, monkeypatch, name):
+    asked = []
+
+    def judged(files):
+        asked.append(files)
+        raise StopIteration  # what is judged is all that is looked at
+
+    for step in ("propose", "what_if"):
+        monkeypatch.setattr(proposals, step, judged)
+    monkeypatch.setattr(adapters, "WORTH", 1)
+    with pytest.raises(StopIteration):
+        catalog.QUERIES[name](spark, small)
+    assert "RoundRobinPartitioning" in plan_of(asked[0])
