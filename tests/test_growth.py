@@ -110,3 +110,16 @@ def test_files_are_dealt_before_they_are_judged(spark, small, monkeypatch, name)
     with pytest.raises(StopIteration):
         catalog.QUERIES[name](spark, small)
     assert "RoundRobinPartitioning" in plan_of(asked[0])
+
+
+def test_fixes_of_one_risk_are_those_of_all_filtered(spark, small):
+    files = raw_files(spark, small)
+    told = context.folder_context(files)
+    mine = lambda df: sorted(map(str, df.filter(G.risk(F.col("fix_type")) == "moderate").collect()))
+    assert mine(fixes.all_fixes(files, told, risk="moderate")) == mine(fixes.all_fixes(files, told))
+    assert {r.fix_type for r in fixes.proposals(files, "safe").select("fix_type").distinct().collect()} <= {k for k, v in G.RISK.items() if v == "safe"}
+
+
+def test_bulk_verdicts_are_given_in_one_pass(spark, small):
+    plan = plan_of(scanner_queries.c18_bulk_verdicts(spark, small))
+    assert plan.count("Scan parquet") <= 5  # files for two passes (spellings are of another risk), labels, and the context's rows by themselves
