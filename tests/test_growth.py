@@ -123,3 +123,12 @@ def test_fixes_of_one_risk_are_those_of_all_filtered(spark, small):
 def test_bulk_verdicts_are_given_in_one_pass(spark, small):
     plan = plan_of(scanner_queries.c18_bulk_verdicts(spark, small))
     assert plan.count("Scan parquet") <= 5  # files for two passes (spellings are of another risk), labels, and the context's rows by themselves
+
+
+def test_a_folder_s_files_are_dealt_once_for_its_context(spark, small, monkeypatch):
+    files = raw_files(spark, small).limit(400)
+    told = context.folder_context(files)
+    assert plan_of(told).count("Exchange hash") == 1
+    one = sorted(map(str, told.collect()))
+    monkeypatch.setattr(groups.by_key, "__defaults__", (3, None, True))  # no folder of more than three files is small
+    assert sorted(map(str, context.folder_context(files).collect())) == one
