@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sleevenotes import catalog, scanner_queries
 from sleevenotes.functions import tags as G
+from sleevenotes.functions import text as T
 from sleevenotes.operators import containment, context, fixes, groups, library, proposals
 from sleevenotes.sources import adapters
 from sleevenotes.sources.raw import raw_files
@@ -132,3 +133,10 @@ def test_a_folder_s_files_are_dealt_once_for_its_context(spark, small, monkeypat
     one = sorted(map(str, told.collect()))
     monkeypatch.setattr(groups.by_key, "__defaults__", (3, None, True))  # no folder of more than three files is small
     assert sorted(map(str, context.folder_context(files).collect())) == one
+
+
+def test_names_are_cut_into_tokens_once(spark):
+    df = spark.createDataFrame([("Ann Lee - Night Drive 1999 web", "Ann Lee - Night Drive"), ("", "x"), ("one two", "One  Two"), (None, "a b"), ("Blue River", "Who - River of Blue")], "f string, p string")
+    told = df.select(T.alignment(F.col("f"), F.col("p")).alias("a"), T.similarity(F.col("f"), F.col("p")).alias("s"))
+    assert [r.a for r in told.collect()] == [1.0, 0.5, 1.0, 0.5, 2 / 3]
+    assert plan_of(told).count("[^a-z0-9]+") == 3  # own tokens, wanted ones, and those after the dash

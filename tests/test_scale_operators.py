@@ -9,6 +9,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from sleevenotes import catalog
 from sleevenotes.functions import names as N
 from sleevenotes.functions import text as T
 from sleevenotes.operators import alike, containment, dedupe, library, order, patterns, proposals, routing, runs
@@ -222,3 +223,23 @@ def sources_stream(spark, path, schema):
     return jobs.stream_files(spark, path, spark.createDataFrame([], schema).schema)
 
 
+
+
+def test_holders_of_names_without_numbering(spark, monkeypatch):
+    rows = [(f"p{i:02d}", "n", ("A", "B", "C", None)[i % 4 if i % 5 else 0], 0.9) for i in range(24)] + [("q", "n", "D", 0.9)]
+    df = spark.createDataFrame(rows, "folder_path string, folder_name string, proposed_name string, confidence double").repartition(3)
+    known = spark.createDataFrame([("B", True)], "proposed_name string, _known boolean")
+    want = {(p, name == "B" or None): (min(q for q, _, m, _ in rows if m == name) if p != min(q for q, _, m, _ in rows if m == name) else None) for p, _, name, _ in rows}
+    for names, most in ((100, 100), (0, 100), (0, 6), (0, 0)):
+        monkeypatch.setattr(routing, "NAMES", names)
+        monkeypatch.setattr(routing, "ROWS", most)
+        got = routing.holders(df, "proposed_name", "folder_path", known).collect()
+        assert len(got) == len(rows) and {(r.folder_path, r._known): r.other for r in got} == want and all((r.occurrence == 2) == (r.other is not None) for r in got)
+
+
+def test_routing_does_not_sort_all_folders(spark, small, monkeypatch):
+    def numbered(*_):
+        raise AssertionError("all folders are sorted and numbered")
+
+    monkeypatch.setattr(routing, "number_within", numbered)
+    assert catalog.QUERIES["c09_routing"](spark, small).count() == catalog.QUERIES["c07_confidence"](spark, small).count()
