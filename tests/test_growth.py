@@ -140,3 +140,13 @@ def test_names_are_cut_into_tokens_once(spark):
     told = df.select(T.alignment(F.col("f"), F.col("p")).alias("a"), T.similarity(F.col("f"), F.col("p")).alias("s"))
     assert [r.a for r in told.collect()] == [1.0, 0.5, 1.0, 0.5, 2 / 3]
     assert plan_of(told).count("[^a-z0-9]+") == 3  # own tokens, wanted ones, and those after the dash
+
+
+def test_files_stay_where_their_folder_is(spark, small, monkeypatch):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(catalog.QUERIES["a03_multi_field_vote"](spark, small))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hash") == 4  # two sides of two joins; none for the votes
