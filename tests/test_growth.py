@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sleevenotes import catalog, scanner_queries
 from sleevenotes.functions import tags as G
 from sleevenotes.functions import text as T
-from sleevenotes.operators import containment, context, fixes, groups, library, proposals
+from sleevenotes.operators import alike, containment, context, fixes, groups, library, proposals
 from sleevenotes.sources import adapters
 from sleevenotes.sources.raw import raw_files
 
@@ -150,3 +151,20 @@ def test_files_stay_where_their_folder_is(spark, small, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hash") == 4  # two sides of two joins; none for the votes
+
+
+def test_names_of_common_words_do_not_all_meet(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    names = [" ".join(r.sample(words, r.randint(13, 18))) for _ in range(400)]
+    more = [" ".join(r.sample(n.split()[k % 3 == 0 :], len(n.split()) - (k % 3 == 0))) for k, n in enumerate(names[:90])]
+    x, y = (alike._worded(spark.createDataFrame([(n,) for n in some], "name string")) for some in (names, names[200:] + more))
+    assert 290 <= alike._met(x, y, 0.92).count() < 900  # of 116,000 pairs, most of which share a rare word
+
+
+def test_two_catalogs_are_read_once_each(spark, small):
+    assert plan_of(catalog.QUERIES["j15_same_artists"](spark, small)).count("Scan parquet") == 0  # both are settled
+
+
+def test_names_are_made_once_for_all_patterns(spark, small):
+    assert plan_of(catalog.QUERIES["p02_not_ignored"](spark, small)).count("Scan parquet") == 0
