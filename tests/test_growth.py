@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sleevenotes import catalog, scanner_queries
+from sleevenotes.functions import names as N
 from sleevenotes.functions import tags as G
 from sleevenotes.functions import text as T
 from sleevenotes.operators import alike, containment, context, fixes, groups, library, proposals
@@ -168,3 +169,20 @@ def test_two_catalogs_are_read_once_each(spark, small):
 
 def test_names_are_made_once_for_all_patterns(spark, small):
     assert plan_of(catalog.QUERIES["p02_not_ignored"](spark, small)).count("Scan parquet") == 0
+
+
+def test_tracks_of_a_crate_meet_their_releases_in_one_shuffle(spark, small):
+    plan = plan_of(catalog.QUERIES["c06_crate_tracks"](spark, small))
+    assert plan.count("Scan parquet") == 2  # for the releases and for the tracks; none for the names that releases show
+
+
+def test_names_with_both_cases_are_shown_as_they_are(spark):
+    names = ["Ann Lee", "ANN LEE", "ann lee", " Of x ", "of Xy", "OF XyZ", "DJ of", "Ab", "AB C", "the Ox & Fox", "", None, "aBc DEF", "Éa bc", "e.g Abc"]
+    slow = lambda c: N.title_case(F.when(F.forall(F.filter(N.words(N.strip(c)), lambda w: F.length(w) > 2), N.shouted), "x").otherwise(N.strip(c)))
+    rows = spark.createDataFrame([(n,) for n in names], "n string").filter(r"n rlike '[A-Z][a-z]\\S'").select(slow(F.col("n")).alias("a"), N.strip(F.col("n")).alias("b")).collect()
+    assert len(rows) == 4 and all(r.a == r.b for r in rows)
+
+
+def test_a_dump_s_names_are_keyed_once(spark, small):
+    plan = plan_of(catalog.QUERIES["c24_dump_plan"](spark, small))
+    assert "array_sort" not in plan.lower() and plan.count("Scan parquet") == 2
