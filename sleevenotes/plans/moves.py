@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.runs import free_names
+from ..tables import settled
 
 
 def move_plan(routed: DataFrame, taken: DataFrame, root: str) -> DataFrame:
@@ -57,3 +60,18 @@ def apply_plan(proposals: DataFrame, protected: list[str], cap: int | None = Non
     """Accepted fixes of unprotected fields as snapshots of old and new values, the first ``cap`` by file and kind (the batch)."""
     some = proposals.filter((F.col("status") == "accepted") & ~F.col("field_name").isin(*protected)).orderBy("file_id", "fix_type", "field_name")
     return (some.limit(cap) if cap else some).select("proposal_id", "file_id", "field_name", F.col("old_value").alias("original_value"), "new_value", F.lit(False).alias("written"), F.lit(False).alias("undone"))
+
+
+def first_batch(files: DataFrame, plan: Callable[[DataFrame], DataFrame], cap: int, tries: tuple[int, ...] = (4, 64)) -> DataFrame:
+    """``plan(files)``, which gives the first ``cap`` rows by ``file_id`` and makes each row of one file alone.
+
+    Rows of later files come after those of earlier ones, so if the files up to some id fill the batch, it is the batch of all
+    files. All ids are read; only if a few times ``cap`` files do not fill it is every file worked on."""
+    for n in tries:
+        edge = files.select("file_id").orderBy("file_id").limit(n * cap).agg(F.max("file_id").alias("last"), F.count("*").alias("n")).first()
+        if edge["n"] < n * cap:
+            break
+        found = settled(plan(files.filter(F.col("file_id").isNull() | (F.col("file_id") <= edge["last"]))))
+        if found.count() >= cap:
+            return found
+    return plan(files)

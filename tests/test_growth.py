@@ -12,6 +12,7 @@ from sleevenotes.functions import names as N
 from sleevenotes.functions import tags as G
 from sleevenotes.functions import text as T
 from sleevenotes.operators import alike, containment, context, fixes, groups, library, proposals
+from sleevenotes.plans import moves
 from sleevenotes.sources import adapters
 from sleevenotes.sources.raw import raw_files
 
@@ -186,3 +187,18 @@ def test_names_with_both_cases_are_shown_as_they_are(spark):
 def test_a_dump_s_names_are_keyed_once(spark, small):
     plan = plan_of(catalog.QUERIES["c24_dump_plan"](spark, small))
     assert "array_sort" not in plan.lower() and plan.count("Scan parquet") == 2
+
+
+@pytest.mark.parametrize("every", [1, 3, 40, 5000])
+def test_a_batch_is_filled_from_the_first_files(spark, every):
+    files = spark.range(1000).select(F.when(F.col("id") != 7, F.format_string("f%04d", F.col("id"))).alias("file_id"), "id").repartition(3)
+    asked = []
+
+    def plan(some):
+        asked.append(some.count())
+        rows = some.filter(F.col("id") % every == 0).select("file_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("kind"))
+        return rows.orderBy("file_id", "kind").limit(5)
+
+    whole = [tuple(r) for r in plan(files).collect()]
+    assert [tuple(r) for r in moves.first_batch(files, plan, 5).collect()] == whole
+    assert asked[1:] == {1: [20], 3: [20], 40: [20, 320], 5000: [20, 320, 1000]}[every]
