@@ -202,3 +202,8 @@ def test_a_batch_is_filled_from_the_first_files(spark, every):
     whole = [tuple(r) for r in plan(files).collect()]
     assert [tuple(r) for r in moves.first_batch(files, plan, 5).collect()] == whole
     assert asked[1:] == {1: [20], 3: [20], 40: [20, 320], 5000: [20, 320, 1000]}[every]
+
+
+def test_an_artist_s_name_is_read_once(spark, small):
+    plan = plan_of(scanner_queries.f24_tag_expressions(spark, small))
+    assert plan.count(G.KEY_SIGN) == 1 and plan.count("Scan parquet") == 2  # a title's key once; artists on their own
