@@ -10,9 +10,9 @@ product is the sum over planes of the tables' entries at the candidate's bytes,
 counts negative): no multiplication, and exact in 64 bits.
 
 *Scale.* Candidates are packed into blocks of at most ``block`` rows, a checkpointed table. The anchors, a stated set of
-queries, meet every block: in chunks of about ``chunk`` anchors, a copy of each chunk for each block, joined by the
-block's number. A task holds one block and one chunk, whatever the corpus, the labels or the ids. Each pair of them sends
-no more than the best few of each anchor (or each positive), and those are cut again before the shuffle that ranks them.
+queries, are grouped into chunks of about ``chunk``. Every chunk meets every block in a grid of tasks: a band of at most
+`BAND` blocks by a band of at most `BEAM` chunks, no row copied for a pair before it is met. A task reads its blocks one by one,
+holds one beside its chunks, keeps each anchor's (or each positive's) best few over all its blocks and sends those only.
 Scoring is done twice: first against rows of an anchor's own label, then, when its positives are known, against the rest.
 
 Defined cases: rows with a null label or vector, or with a null or non-finite component, take no part; vectors of unequal
@@ -33,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .codes import finite, whole_numbers
-from .common import settle, tidy
+from .common import settle, small_batches, tidy
 
 SCALE = 256
 BOUND = 1 << 24
 BLOCK, CHUNK = 4096, 256
+#: Blocks, and chunks of anchors, that one task meets at most.
+BAND, BEAM = 256, 16
 #: Anchors scored at a time.
 STRIP = 32
 GROUP = 8
@@ -57,7 +59,7 @@ def bit_planes(x: np.ndarray) -> np.ndarray:
 def subset_sums(x: np.ndarray) -> np.ndarray:
     """Groups x 256 x rows: for every group of eight dimensions, the sums of all subsets of a row's numbers."""
     v = x.reshape(len(x), -1, GROUP).transpose(1, 2, 0)
-    sums = np.zeros((v.shape[0], 1, v.shape[2]), np.int64)
+    sums = np.zeros((v.shape[0], 1, v.shape[2]), x.dtype)
     for k in range(GROUP):
         sums = np.concatenate([sums, sums + v[:, k : k + 1]], axis=1)
     return sums
@@ -66,7 +68,10 @@ def subset_sums(x: np.ndarray) -> np.ndarray:
 def scores(tables: np.ndarray, planes: np.ndarray) -> np.ndarray:
     """Rows (of the planes) x anchors (of the tables): their inner products."""
     width, groups, n = planes.shape
-    total = np.zeros((n, tables.shape[2]), np.int64)
+    # No sum exceeds the largest one of a row's numbers at the planes' largest number: half as wide where that fits.
+    reach = int(np.abs(tables).max(axis=1, initial=0).sum(axis=0).max(initial=0)) << width
+    tables = tables.astype(np.int32 if reach < 1 << 30 else np.int64, copy=False)
+    total = np.zeros((n, tables.shape[2]), tables.dtype)
     for b in range(width - 1, -1, -1):  # from the sign plane down: double, and add the next plane
         plane = np.zeros_like(total)
         for g in range(min(groups, len(tables))):
@@ -144,16 +149,21 @@ class Block:
         """Places ``some`` by falling score (``score[k]`` is that of ``some[k]``), rising id, null ids last."""
         return np.lexsort((self.ids[some], self.none[some], -score))
 
-
-def _chunked(anchors: DataFrame, chunk: int, blocks: int) -> DataFrame:
-    """A row for each chunk of anchors and each block: ``block, anchors`` (list of structs)."""
-    chunks = max(1, -(-anchors.count() // chunk))
-    grouped = anchors.groupBy(F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("_chunk")).agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
-    return grouped.select("anchors", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    def told(self, place: int, score: int) -> tuple[int, bool, int]:
+        """What orders a row, first the best."""
+        return -int(score), bool(self.none[place]), int(self.ids[place])
 
 
 def _met(blocks: DataFrame, anchors: DataFrame, chunk: int, count: int) -> DataFrame:
-    return blocks.select("block", "ids", "labels", "planes", "groups").join(_chunked(anchors, chunk, count), "block")
+    """A row for each block and each chunk of anchors (``anchors``, a list of structs): a grid of bands, without a copy of
+    either side for every row of the other."""
+    context = blocks.sparkSession.sparkContext
+    chunks = max(1, -(-anchors.count() // chunk))
+    beams = min(chunks, max(-(-chunks // BEAM), context.defaultParallelism))
+    bands = min(count, max(-(-count // BAND), -(-2 * context.defaultParallelism // beams)))
+    grouped = anchors.groupBy(F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("_chunk")).agg(F.collect_list(F.struct(*anchors.columns)).alias("anchors"))
+    some = blocks.select("block", "ids", "labels", "planes", "groups").repartition(bands)
+    return some.crossJoin(grouped.select("anchors").repartition(beams).hint("shuffle_replicate_nl"))
 
 
 ROW = 1 << 20  # a row's number: its block's number times this, and its place in the block
@@ -173,15 +183,15 @@ def _strips(anchors: list[dict]) -> Iterator[tuple[list[dict], np.ndarray]]:
 
 
 def _positives(met: DataFrame, positives: int) -> DataFrame:
-    """row, positive_id, positive_score: each block's best of an anchor's label, itself left out."""
+    """row, positive_id, positive_score: each task's best of an anchor's label, itself left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple]] = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 block, by_label = Block(batch, i), {}
                 for a in batch.column("anchors")[i].as_py():
                     by_label.setdefault(a["label"], []).append(a)
-                rows: list[tuple] = []
                 for label, own in by_label.items():
                     alike = np.flatnonzero(block.labels == label)
                     planes = block.planes[:, :, alike]
@@ -193,30 +203,46 @@ def _positives(met: DataFrame, positives: int) -> DataFrame:
                             if len(s) > positives:  # all that reach the last place, ties included
                                 high = s >= np.partition(s, len(s) - positives)[len(s) - positives]
                                 some, s = some[high], s[high]
-                            for j in block.best_first(some, s)[:positives]:
-                                rows.append((a["row"], None if block.none[some[j]] else int(block.ids[some[j]]), int(s[j])))
-                columns = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["row", "positive_id", "positive_score"])
+                            _merge(best, a["row"], positives, [block.told(some[j], s[j]) for j in block.best_first(some, s)[:positives]])
+        rows = [(row, None if none else id, -s) for row, held in best.items() for s, none, id in held]
+        columns = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["row", "positive_id", "positive_score"])
 
     return met.mapInArrow(tidy(run), "row long, positive_id long, positive_score long")
 
 
+def _merge(best: dict, key: object, most: int, new: list[tuple]) -> None:
+    """The first of what is held for a key and what is new (falling score, whether the id is null, id)."""
+    if new:
+        best[key] = sorted(best[key] + new)[:most] if key in best else new
+
+
 def least_negative(positive: int, low: int) -> int:
     """The least whole number n with ``100 * n >= low * positive``."""
     return -(-low * positive // 100)
 
 
 def _negatives(met: DataFrame, negatives: int, low: int) -> DataFrame:
-    """row, place (of the positive), negative_id, negative_score: each block's best of other labels between the bounds."""
+    """row, place (of the positive), negative_id, negative_score: each task's best of other labels between the bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list[tuple]] = {}
+
+        def bounds_of(a: dict) -> list[tuple[int, int]]:
+            """Least and most of each place; where it is full, nothing below its last is looked for."""
+            bounds = []
+            for place, p in enumerate(a["positives"]):
+                held = best.get((a["row"], place), ())
+                bounds.append((-held[-1][0] if len(held) == negatives else least_negative(p, low), p))
+            return bounds
+
         for batch in batches:
             for i in range(batch.num_rows):
-                block, rows = Block(batch, i), []
+                block = Block(batch, i)
                 for strip, tables in _strips(batch.column("anchors")[i].as_py()):
                     found = np.ascontiguousarray(scores(tables, block.planes).T)
                     for a, s in zip(strip, found, strict=True):
-                        bounds = [(least_negative(p, low), p) for p in a["positives"]]
+                        bounds = bounds_of(a)
                         some = np.flatnonzero((s >= min(b[0] for b in bounds)) & (s <= max(b[1] for b in bounds)) & (block.labels != a["label"]))
                         if not len(some):
                             continue
@@ -224,10 +250,10 @@ def _negatives(met: DataFrame, negatives: int, low: int) -> DataFrame:
                         falling = -s[some]
                         for place, (least, most) in enumerate(bounds):
                             begin, end = np.searchsorted(falling, -most, "left"), np.searchsorted(falling, -least, "right")
-                            for k in some[begin : min(end, begin + negatives)]:
-                                rows.append((a["row"], place, None if block.none[k] else int(block.ids[k]), int(s[k])))
-                columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["row", "place", "negative_id", "negative_score"])
+                            _merge(best, (a["row"], place), negatives, [block.told(k, s[k]) for k in some[begin : min(end, begin + negatives)]])
+        rows = [(row, place, None if none else id, -s) for (row, place), held in best.items() for s, none, id in held]
+        columns = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["row", "place", "negative_id", "negative_score"])
 
     return met.mapInArrow(tidy(run), "row long, place int, negative_id long, negative_score long")
 
@@ -237,6 +263,7 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 5
 
     ``anchor`` tells of a row whether it is an anchor."""
     spark = rows.sparkSession
+    small_batches(spark)  # a row of the grid holds a block and a chunk
     taken = rows.filter(F.col("label").isNotNull() & finite("embedding"))
     narrow = taken.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "embedding", F.coalesce(anchor & F.col("vec_id").isNotNull(), F.lit(False)).alias("anchor"))
     blocks = numbered(settle(packed(narrow, scale, block)))

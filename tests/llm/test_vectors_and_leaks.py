@@ -136,6 +136,21 @@ def test_negatives_match_brute_force(spark, crowd, block, chunk):
     assert len(want) > 50 and got == want
 
 
+def test_negatives_send_the_best_of_a_task_not_of_every_block(spark, monkeypatch):
+    """Chunks of anchors meet blocks without a copy for each, and what is sent does not grow with their number."""
+    monkeypatch.setattr(negatives, "BAND", 1 << 20)
+    rng = np.random.default_rng(12)
+    rows = [(i, as_float(v), i % 2) for i, v in enumerate(rng.random((600, 8)))]
+    narrow = vectors(spark, rows).select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), "embedding", (F.col("vec_id") % 20 == 0).alias("anchor"))
+    blocks = negatives.numbered(negatives.settle(negatives.packed(narrow.coalesce(1), block=4)))
+    met = negatives._met(blocks, negatives._own(blocks), 2, blocks.count())
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate explode(sequence" not in plan
+    tasks = met.rdd.getNumPartitions()
+    assert blocks.count() == 150 and met.count() >= 150 * 8
+    assert negatives._positives(met, 5).count() <= 30 * 5 * tasks < 30 * 4 * 150
+
+
 def test_negatives_empty_and_alone(spark):
     anchor = F.col("vec_id") % 100 == 0
     assert negatives.mine(vectors(spark, []), anchor).count() == 0
