@@ -59,3 +59,21 @@ def test_duplicate_outcomes(spark):
     schema = "pair string, title string, ext string, size long"
     got = {r["pair"]: r["outcome"] for r in library.compare_folders(spark.createDataFrame(inc, schema), spark.createDataFrame(exi, schema)).collect()}
     assert got == {"a": "format_upgrade", "b": "missing_tracks", "c": "exact_duplicate", "d": "partial_overlap", "e": "partial_overlap"}
+
+
+def test_a_name_is_worked_out_once(spark):
+    """What an expression uses several times is bound: a title's loop stands in it once, an empty text is not cast, and votes
+    are not made once more for a filter on their number."""
+    from sleevenotes.functions.binding import digits
+    from sleevenotes.operators import proposals
+    from sleevenotes.sources.raw import raw_files
+
+    one = spark.createDataFrame([("x",), ("",), (None,)], "t string")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert plan(one.select(N.clean_title(F.col("t")).alias("x"))).count("aggregate(") == 1
+    assert [r[0] for r in spark.createDataFrame([("07",), ("",), (None,)], "t string").select(digits(F.col("t"))).collect()] == [7, None, None]
+    votes = proposals._voted(
+        raw_files(spark, "/root/testdata/sf0.001").selectExpr("folder_path", "folder_name", "parent_name", "file_id", "ext", "album", "album AS _album", "album_artist AS _aa", "artist AS _artist", "genre", "label", "key", "year AS _year", "false AS _unread", "false AS _flagged", "1 AS _number", "1.0D AS _bpm"),
+        "file_id", F.count_distinct,
+    )
+    assert "size(array(struct" not in votes._jdf.queryExecution().optimizedPlan().toString().replace("named_struct", "struct")
