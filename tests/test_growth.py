@@ -207,3 +207,21 @@ def test_a_batch_is_filled_from_the_first_files(spark, every):
 def test_an_artist_s_name_is_read_once(spark, small):
     plan = plan_of(scanner_queries.f24_tag_expressions(spark, small))
     assert plan.count(G.KEY_SIGN) == 1 and plan.count("Scan parquet") == 2  # a title's key once; artists on their own
+
+
+def test_fixes_meet_their_folder_once_and_are_not_dealt_again(spark, small):
+    files = raw_files(spark, small)
+    told = context.folder_context(files)
+    made = fixes.all_fixes(files, told)
+    plan = plan_of(made)
+    assert "Aggregate(key=[file_id" not in plan and plan.count("Join") == 2  # the context, and the spellings
+    # Files that share an id: the first fix of a kind for a field stays, and others' are as they were.
+    again = files.limit(40).withColumn("title", F.concat(F.lit("a "), "title"))
+    both = fixes.all_fixes(files.unionByName(again), told)
+    key = ["file_id", "field_name", "fix_type"]
+    assert both.groupBy(*key).count().filter("count > 1").isEmpty()
+    rest = lambda df: sorted(map(str, df.join(again.select("file_id").distinct(), "file_id", "left_anti").filter("fix_type <> 'artist_normalize'").collect()))
+    assert rest(both) == rest(made) and both.join(again.select("file_id"), "file_id", "left_semi").count() > 40
+    # What tallies need is the same without the values.
+    short = fixes.all_fixes(files, told, values=False).select(*key, "folder_path", "confidence")
+    assert sorted(map(str, short.collect())) == sorted(map(str, made.select(*key, "folder_path", "confidence").collect()))
