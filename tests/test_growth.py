@@ -225,3 +225,9 @@ def test_fixes_meet_their_folder_once_and_are_not_dealt_again(spark, small):
     # What tallies need is the same without the values.
     short = fixes.all_fixes(files, told, values=False).select(*key, "folder_path", "confidence")
     assert sorted(map(str, short.collect())) == sorted(map(str, made.select(*key, "folder_path", "confidence").collect()))
+
+
+def test_what_if_reads_the_files_once(spark, small, monkeypatch):
+    asked, votes = [], proposals.tag_votes
+    monkeypatch.setattr(proposals, "tag_votes", lambda files: asked.append(1) or votes(files))
+    assert "parquet" not in plan_of(proposals.what_if(raw_files(spark, small))).lower() and asked == [1]
